@@ -49,9 +49,9 @@ D = len(X)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words and base_failed."""
+    """docs without text, with n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words and base_failed."""
     counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
-    kept = [c for c in docs.columns if c not in {*counts, "base_failed"}]
+    kept = [c for c in docs.columns if c not in {*counts, "base_failed", "text"}]
     text = F.col("_text")
     df = docs.select(*kept, null_safe_text().alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split(text, BLANK), "")).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
