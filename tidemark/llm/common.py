@@ -63,3 +63,45 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def append_columns(df: DataFrame, make, fields: str, most_bytes: int = 4 << 20, column: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with further columns computed in Arrow batches.
+
+    make() is called once in each task and returns a function from a record batch (whose text column
+    holds at most most_bytes, or one row) to the arrays of the new columns. Columns of df that have
+    a new column's name, or are in drop, are left out of the result.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(fields)
+    named = {f.name for f in new.fields} | set(drop)
+    own = [f for f in df.schema.fields if f.name not in named]
+    keep = [f.name for f in own]
+
+    def run(batches):
+        work = None
+        for batch in sliced(batches, column, most_bytes):
+            work = work or make()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *work(batch)], names=[*keep, *(f.name for f in new.fields)])
+
+    return df.mapInArrow(run, StructType([*own, *new.fields]))
+
+
+class Recent:
+    """A cache of two generations: what was met lately stays, and at most 2 * limit and a batch are held."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that aren't known; the others can then be read from .new until the next call."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        keys = keys.difference(self.new)
+        if self.old:
+            again = keys.intersection(self.old)
+            old = self.old
+            self.new.update((k, old[k]) for k in again)
+            keys -= again
+        return list(keys)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op8_bpe": bpe.op8_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
