@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op8_bpe": bpe.op8_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
