@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules
+from . import bpe, packing, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op3_url_filters": url_filters.op3_url_filters,
         "op8_bpe": bpe.op8_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filters": url_filters.oracle_sql(),
         "op10_quality_rules": quality_rules.oracle_sql(),
     }
