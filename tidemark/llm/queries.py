@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, url_filters
+from . import bpe, packing, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
         "op3_url_filters": url_filters.op3_url_filters,
         "op8_bpe": bpe.op8_bpe,
