@@ -101,8 +101,8 @@ class Recent:
             self.old, self.new = self.new, {}
         keys = keys.difference(self.new)
         if self.old:
-            again = keys.intersection(self.old)
             old = self.old
+            again = [k for k in keys if k in old]
             self.new.update((k, old[k]) for k in again)
-            keys -= again
+            keys.difference_update(again)
         return list(keys)
