@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, near_dedup, packing, quality_rules, toxicity, url_filters
+from . import ann, bpe, lm_scoring, near_dedup, packing, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
         "op3_url_filters": url_filters.op3_url_filters,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op5_ann": ann.op5_ann,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_bpe": bpe.op8_bpe,
