@@ -42,7 +42,7 @@ BANDS, ROWS = 12, 3
 COMMON = 0.05
 #: Bytes of text for each shard of the shingle counts.
 SHARD_BYTES = 16 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _P = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2^64
@@ -152,7 +152,7 @@ def document_frequencies(docs: DataFrame) -> Weights:
     floor = least_df(max(1, n_docs))
 
     def send(batches):
-        for batch in sliced(batches, "text", 4 * CHUNK):
+        for batch in sliced(batches, "text", CHUNK):
             s, _, _, _ = shingles(*utf8(batch.column("text")))
             s >>= np.uint64(32 - bits)  # as many bits as the shard's number and 32 more
             s.sort()
