@@ -301,7 +301,7 @@ def unigram(docs: DataFrame) -> DataFrame:
     end = mix(np.array([987654321], np.uint64))
 
     def send(batches):
-        for k, batch in enumerate(sliced(batches, "text", 8 << 20)):
+        for k, batch in enumerate(sliced(batches, "text", 2 << 20)):
             h, first = word_hashes(*utf8(batch.column("text")))
             n = np.diff(first) + 1
             doc = np.repeat(np.arange(len(n)), n)
