@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from . import ann, bpe, language_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,
+        "op9_language_id": language_id.op9_language_id,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 

@@ -249,9 +249,12 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(resolve, "doc_id long, start long, stop long")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with kept (the bytes left, binary), n_bytes, n_removed and n_spans."""
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+def dedup(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs with kept (the bytes left, binary), n_bytes, n_removed and n_spans.
+
+    as_text: kept is a string, without the bytes of characters that a cut has broken.
+    """
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     out = ["kept", "n_bytes", "n_removed", "n_spans"]
     docs = docs.drop(*out, "_ranges").withColumn("text", null_safe_text())
@@ -277,9 +280,11 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             left = np.concatenate([[0], np.cumsum(keep)])[at]
             n = np.diff(at)
             kept = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(body[keep].tobytes())])
+            if as_text:
+                kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), kept, pa.array(n), pa.array(n - np.diff(left)), pa.array(np.bincount(doc, minlength=len(n)))], names=[*(f.name for f in own), *out])
 
-    return joined.mapInArrow(run, StructType([*own, StructField("kept", BinaryType()), *(StructField(c, LongType()) for c in out[1:])]))
+    return joined.mapInArrow(run, StructType([*own, StructField("kept", StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in out[1:])]))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
