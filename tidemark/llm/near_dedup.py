@@ -10,7 +10,9 @@ a weighted Jaccard similarity of 0.8 or more, and the classes are the connected
    inverse document frequency.
 2. Each document gets ROWS x BANDS consistent weighted samples; those with one content share one
    representative, the least doc_id.
-3. Representatives with an equal band meet in a bucket. Each bucket first compares all members with
+3. Representatives with an equal band meet in a bucket. A similarity of 0.8 needs 0.8 of a text's weight
+   in shingles that another text also has; so those with more than 0.2 in shingles that no other
+   text in any bucket has are linked to none and leave. Each bucket then first compares all members with
    one pivot, the member that shares most bands with others. After the links found so far are
    joined, members outside the largest component of a bucket are compared with all members of
    other components there. So every pair that shares a band ends in one class or is compared, and a
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +192,53 @@ def document_frequencies(docs: DataFrame) -> Weights:
     return Weights(max(1, n_docs), found["prefix"].to_numpy(np.int64).astype(np.uint64), found["df"].to_numpy(float), 32 + bits)
 
 
+def shared_weight(texts: DataFrame, weights: Weights) -> DataFrame:
+    """doc_id and the weight of each text's shingles that another text also has, or a little more.
+
+    Shingles meet by 32 bits and their shard's; where two fall together they count as shared.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD_BYTES)))))
+    given = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def send(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for k, batch in enumerate(sliced(batches, "text", CHUNK)):
+            s, count, begin, _ = shingles(*utf8(batch.column("text")))
+            w, doc = given.value(s, count), np.repeat(np.arange(len(begin) - 1, dtype=np.uint32), np.diff(begin))
+            order = np.argsort(s)
+            s, w, doc = s[order] >> np.uint64(32 - bits), w[order], doc[order]
+            edges = np.searchsorted(s, np.arange(2**bits + 1, dtype=np.uint64) << np.uint64(32))
+            ids, chunk = batch.column("doc_id").to_pylist(), f"{TaskContext.get().partitionId()}/{k}"
+            rows = [(i, press(s[a:b].astype(np.uint32).tobytes()), press(doc[a:b].tobytes()), press(w[a:b].astype(np.float32).tobytes()), ids if i == 0 else None) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a or i == 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), pa.array([len(ids)] * len(rows), pa.int32()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
+                names=["chunk", "shard", "value", "doc", "w", "n", "ids"],
+            )
+
+    def reply(table):
+        open_ = zstandard.ZstdDecompressor().decompress
+        values = [np.frombuffer(open_(x.as_py()), np.uint32) for x in table.column("value")]
+        flat = np.sort(np.concatenate(values))
+        twice = np.unique(flat[1:][flat[1:] == flat[:-1]])
+        sums = []
+        for v, doc, w, n in zip(values, table.column("doc"), table.column("w"), table.column("n").to_pylist()):
+            hit = np.zeros(len(v), bool)
+            if len(twice):
+                hit = twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v
+            doc, w = np.frombuffer(open_(doc.as_py()), np.uint32), np.frombuffer(open_(w.as_py()), np.float32)
+            sums.append(np.bincount(doc[hit], w[hit], n).tobytes())
+        return pa.table({"chunk": table.column("chunk"), "sums": pa.array(sums, pa.binary()), "ids": table.column("ids")})
+
+    def join(table):
+        total = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
+        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(total)})
+
+    sent = texts.select("doc_id", "text").mapInArrow(send, "chunk string, shard int, value binary, doc binary, w binary, n int, ids array<long>")
+    return sent.groupBy("shard").applyInArrow(reply, "chunk string, sums binary, ids array<long>").groupBy("chunk").applyInArrow(join, "doc_id long, shared double")
+
+
 def _quantiles() -> tuple[np.ndarray, np.ndarray]:
     """Gamma(2, 1) at the middles of 65,536 equal parts, and its logarithm."""
     q = (np.arange(65536) + 0.5) / 65536
@@ -312,12 +363,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = materialise(reps)
     members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(members.join(sizes, ["band", "bucket"]).select("band", "bucket", "rep"))
+    involved = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialise(plain.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    sketch = reps.select("rep", "sample", "weight").join(shared_weight(texts, weights).withColumnRenamed("doc_id", "rep"), "rep")
+    sketch = materialise(sketch.where(F.col("shared") >= SIMILARITY * F.col("weight") * (1 - 1e-5)).drop("shared"))
+    members = members.join(sketch.select("rep"), "rep", "left_semi")
+    sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "bucket"])
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
     members = materialise(members.join(score, "rep"))
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(plain.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    sketch = materialise(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "sample", "weight"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Edges among candidate pairs (a, b)."""
