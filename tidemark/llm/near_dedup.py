@@ -14,8 +14,8 @@ a weighted Jaccard similarity of 0.8 or more, and the classes are the connected
    in shingles that another text also has; so those with more than 0.2 in shingles that no other
    text in any bucket has are linked to none and leave. Each bucket then first compares all members with
    one pivot, the member that shares most bands with others. After the links found so far are
-   joined, members outside the largest component of a bucket are compared with all members of
-   other components there. So every pair that shares a band ends in one class or is compared, and a
+   joined, members outside the largest component of a bucket are compared with the members of other
+   components there, block by block, so that only links leave a task. So every pair that shares a band ends in one class or is compared, and a
    large group of near copies costs a few comparisons for each member, not one for each pair.
 4. Comparisons drop pairs whose samples agree in under half (at a similarity of 0.8 that has a
    chance of about 1e-5) and verify the others by the exact weighted Jaccard similarity of the whole
@@ -47,6 +47,8 @@ COMMON = 0.05
 #: Bytes of text for each shard of the shingle counts.
 SHARD_BYTES = 16 << 20
 CHUNK = 1 << 20
+#: Members of a bucket that meet in a task.
+BLOCK = 1024
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _P = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2^64
@@ -339,6 +341,51 @@ def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
     return out.where(F.col("similarity") >= SIMILARITY)
 
 
+def linked(table: pa.Table, weights: Weights) -> pa.Table:
+    """Edges between the outside members of a block of a bucket and the other members of a block, each pair in the first band that it shares."""
+    from pyarrow import compute as pc
+
+    split = [table.filter(m).combine_chunks() for m in (table.column("outside"), pc.invert(table.column("outside")))]
+    n = BANDS * ROWS
+    rep, label, sample, main = [], [], [], np.array(split[1].column("_main").to_pylist(), bool)
+    for t in split:
+        rep.append(t.column("rep").to_numpy())
+        label.append(t.column("label").to_numpy())
+        sample.append(t.column("sample").combine_chunks().flatten().to_numpy().reshape(-1, n))
+    pairs_a, pairs_b = [], []
+    if len(rep[0]) and len(rep[1]):
+        band = int(table.column("band")[0].as_py())
+        (s, count, begin, _), (s2, count2, begin2, _) = (shingles(*utf8(t.column("text"))) for t in split)
+        w, w2 = weights(s, count), weights(s2, count2)
+        names, at = np.unique(np.concatenate([s, s2]), return_inverse=True)
+        at, at2 = at[: len(s)], at[len(s) :]
+        total, total2 = (np.add.reduceat(x, y[:-1]) for x, y in ((w, begin), (w2, begin2)))
+        dense = np.zeros(len(names))
+        for u in range(len(rep[0])):
+            same = sample[1] == sample[0][u]
+            near = (2 * same.sum(axis=1) >= n) & (label[1] != label[0][u]) & (main | (rep[1] > rep[0][u]))
+            near &= np.minimum(total2, total[u]) >= SIMILARITY * np.maximum(total2, total[u]) * (1 - 1e-9)
+            near = np.flatnonzero(near & (_bands(same).argmax(axis=1) == band))
+            if not len(near):
+                continue
+            mine = slice(begin[u], begin[u + 1])
+            dense[at[mine]] = w[mine]
+            size = np.diff(begin2)[near]
+            ends = np.cumsum(size)
+            which = np.arange(ends[-1]) + np.repeat(begin2[near] - ends + size, size)
+            low = np.add.reduceat(np.minimum(dense[at2[which]], w2[which]), ends - size)
+            dense[at[mine]] = 0
+            found = near[low >= SIMILARITY * (total[u] + total2[near] - low)]
+            pairs_a += [int(rep[0][u])] * len(found)
+            pairs_b += rep[1][found].tolist()
+    return pa.table({"a": pa.array(pairs_a, pa.int64()), "b": pa.array(pairs_b, pa.int64())})
+
+
+def _bands(same: np.ndarray) -> np.ndarray:
+    """(pairs, BANDS) whether all samples of a band agree; band k has the samples k * ROWS to k * ROWS + ROWS - 1."""
+    return same.reshape(len(same), BANDS, ROWS).all(axis=2)
+
+
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """v and label (the least vertex of its component) of all vertices of edges (a, b): labels pass along edges and are followed to their own label, until nothing changes."""
     both = materialise(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct())
@@ -384,6 +431,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             near = near.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
         return verified(near, weights).select("a", "b")
 
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     order = F.struct("score", -F.col("rep"))
     pivots = members.groupBy("band", "bucket").agg(F.max_by("rep", order).alias("pivot"))
     first = members.join(pivots, ["band", "bucket"]).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -393,12 +441,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what is left: members outside the largest component of their bucket against all other components there
     now = materialise(members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("label", "rep").alias("label")))
     parts = now.groupBy("band", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = now.join(largest, ["band", "bucket"])
-    outside = open_.where("label <> main").select("band", "bucket", F.col("rep").alias("u"), F.col("label").alias("label_u"))
-    second = outside.join(open_.select("band", "bucket", F.col("rep").alias("v"), F.col("label").alias("label_v")), ["band", "bucket"]).where("label_u <> label_v")
-    second = second.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(compared(second))
+    largest = parts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1")
+    open_ = now.join(largest, ["band", "bucket"]).join(sketch.select("rep", "sample"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    outer, inner = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
+    h = F.xxhash64("rep")
+    row = ["band", "bucket", "rep", "label", "sample", "text"]
+    outside = open_.where("label <> main").select(*row, F.lit(True).alias("outside"), F.pmod(h, outer).alias("i"), F.explode(F.sequence(F.lit(0), inner - 1)).alias("j"))
+    against = open_.select(*row, (F.col("label") == F.col("main")).alias("_main"), F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), F.pmod(h, inner).alias("j"))
+    dealt = outside.withColumn("_main", F.lit(False)).unionByName(against)
+    more = materialise(dealt.groupBy("band", "bucket", "i", "j").applyInArrow(lambda t: linked(t, shared.value), "a long, b long").distinct())
     labels = components(edges.union(more))
 
     classes = reps.select("content", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("content", F.coalesce("label", "rep").alias("class_id"))
