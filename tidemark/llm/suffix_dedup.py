@@ -5,14 +5,16 @@ shard the sorting exactly, each window of ``length`` bytes is named by the least
 strings; windows side by side with one name form a segment, and all segments of a name go to one
 shard. So equal windows always meet, whatever documents they are in.
 
-1. Batches of documents cut their texts into segments. Of equal segments in a batch only those of
+1. Each document's names meet by shard, as 32 bits each; only segments whose name several documents
+   have go on.
+2. Batches of documents cut their texts into those segments. Of equal segments in a batch only those of
    the least doc_id are sent on; all others are certainly removed, and leave at once. So a group of
    copies sends a segment for each batch, not for each document.
-2. A shard drops names that only one document has, keeps one of all equal segments, and sorts the
+3. A shard drops names that only one document has, keeps one of all equal segments, and sorts the
    suffixes of those left by external induced sorting with common prefixes (``induced_sort``), whose
    queues go to disk. Suffixes that agree in ``length``
    bytes are one run; windows whose run has a smaller doc_id are removed.
-3. The removed ranges meet the texts by doc_id and are cut out.
+4. The removed ranges meet the texts by doc_id and are cut out.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; strings never
 cross documents; repeats within a document alone stay; rows of one doc_id are one document if their
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +164,72 @@ def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least:
     return segment[found].astype(np.int64), found - begin[segment[found]]
 
 
+def _tags(name: np.ndarray) -> np.ndarray:
+    return (name >> np.uint64(32)).astype(np.uint32)
+
+
+def shared_names(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
+    """doc_id and tags (32 bits of the names, sorted) of the segments whose name another document also has; a few more, where two names share a tag."""
+
+    def send(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for k, batch in enumerate(sliced(batches, "text", CHUNK)):
+            name, doc, _, _ = segments(*utf8(batch.column("text")), length)
+            shard = (name % np.uint64(shards)).astype(np.int64)
+            tag = _tags(name)
+            order = np.lexsort((tag, doc, shard))
+            shard, tag, doc = shard[order], tag[order], doc[order].astype(np.uint32)
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            ids, chunk = batch.column("doc_id").to_pylist(), f"{TaskContext.get().partitionId()}/{k}"
+            rows = [(s, press(tag[a:b].tobytes()), press(doc[a:b].tobytes()), ids if s == 0 else None) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a or s == 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)), pa.array([press(np.array(ids, np.int64)[np.unique(doc[edges[r[0]] : edges[r[0] + 1]])].tobytes()) for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                names=["chunk", "shard", "tag", "doc", "own", "ids"],
+            )
+
+    def flag(table):
+        open_ = zstandard.ZstdDecompressor().decompress
+        tags, ids, docs = [], [], []
+        for t, d, o in zip(*(table.column(c) for c in ("tag", "doc", "own"))):
+            tags.append(np.frombuffer(open_(t.as_py()), np.uint32))
+            docs.append(np.frombuffer(open_(d.as_py()), np.uint32))
+            ids.append(np.frombuffer(open_(o.as_py()), np.int64)[np.unique(docs[-1], return_inverse=True)[1]])
+        tag, own = np.concatenate(tags), np.concatenate(ids)
+        order = np.argsort(tag)
+        edge = np.flatnonzero(np.append(True, tag[order][1:] != tag[order][:-1])) if len(tag) else np.zeros(0, np.int64)
+        hit = np.zeros(len(tag), bool)
+        if len(tag):
+            several = np.minimum.reduceat(own[order], edge) != np.maximum.reduceat(own[order], edge)
+            hit[order] = np.repeat(several, np.diff(np.append(edge, len(tag))))
+        cuts = np.cumsum([0, *map(len, tags)])
+        parts = [(t[hit[a:b]].tobytes(), d[hit[a:b]].tobytes()) for t, d, a, b in zip(tags, docs, cuts[:-1], cuts[1:])]
+        return pa.table({"chunk": table.column("chunk"), "tag": pa.array([x for x, _ in parts], pa.binary()), "doc": pa.array([x for _, x in parts], pa.binary()), "ids": table.column("ids")})
+
+    def by_document(table):
+        tag = np.frombuffer(b"".join(table.column("tag").to_pylist()), np.uint32)
+        doc = np.frombuffer(b"".join(table.column("doc").to_pylist()), np.uint32)
+        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
+        order = np.lexsort((tag, doc))
+        tag, doc = tag[order], doc[order]
+        kind, at = np.unique(doc, return_index=True)
+        ends = np.append(at[1:], len(doc))
+        return pa.table({"doc_id": pa.array([ids[d] for d in kind.tolist()], pa.int64()), "tags": pa.array([np.unique(tag[a:b]).tobytes() for a, b in zip(at, ends)], pa.binary())})
+
+    sent = docs.mapInArrow(send, "chunk string, shard int, tag binary, doc binary, own binary, ids array<long>")
+    flagged = sent.groupBy("shard").applyInArrow(flag, "chunk string, tag binary, doc binary, ids array<long>")
+    return flagged.groupBy("chunk").applyInArrow(by_document, "doc_id long, tags binary")
+
+
+def with_tags(name: np.ndarray, doc: np.ndarray, tags: list[bytes | None]) -> np.ndarray:
+    """Which segments have a name whose tag is among their document's."""
+    lists = [np.frombuffer(t or b"", np.uint32) for t in tags]
+    own = np.concatenate([t.astype(np.uint64) | np.uint64(i << 32) for i, t in enumerate(lists)]) if lists else np.zeros(0, np.uint64)
+    if not len(own) or not len(name):
+        return np.zeros(len(name), bool)
+    key = _tags(name).astype(np.uint64) | doc.astype(np.uint64) << np.uint64(32)
+    return own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+
+
 def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start and stop (byte places) of ranges to remove; ranges of a document may overlap."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -171,6 +240,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in sliced(batches, "text", CHUNK):
             body, at = utf8(batch.column("text"))
             name, doc, start, size = segments(body, at, length)
+            use = with_tags(name, doc, batch.column("tags").to_pylist())
+            name, doc, start, size = name[use], doc[use], start[use], size[use]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc] if len(doc) else doc
             h = hashed(body, start, size)
             order = np.lexsort((ids, size, h, name))
@@ -186,12 +257,12 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             blob = lambda a, kind: press(a.astype(kind).tobytes())
             name, start, size, ids, place = (x[~gone] for x in (name, start, size, ids, place))
             shard = (name % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.lexsort((start, shard))
             name, start, size, ids, place, shard = (x[order] for x in (name, start, size, ids, place, shard))
             edges = np.searchsorted(shard, np.arange(shards + 1))
             for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if b > a:
-                    for x, v in zip(lists, (s, press(gathered(body, start[a:b], size[a:b]).tobytes()), blob(size[a:b], np.uint32), blob(name[a:b], np.uint64), blob(ids[a:b], np.int64), blob(place[a:b], np.int64), None)):
+                    for x, v in zip(lists, (s, press(gathered(body, start[a:b], size[a:b]).tobytes()), blob(size[a:b], np.uint32), blob(_tags(name[a:b]), np.uint32), blob(ids[a:b], np.int64), blob(place[a:b], np.int64), None)):
                         x.append(v)
             if len(rows[0]):  # ranges that are certain pass through a shard unchanged
                 for x, v in zip(lists, (int(rows[0][0]) % shards, None, None, None, blob(rows[0], np.int64), blob(rows[1], np.int64), blob(rows[2], np.int64))):
@@ -207,7 +278,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if table.column("stop")[r].is_valid:
                 out.append((get("ids", np.int64), get("place", np.int64), get("stop", np.int64)))
                 continue
-            for x, v in zip(parts, (get("bytes", np.uint8), get("size", np.uint32), get("name", np.uint64), get("ids", np.int64), get("place", np.int64))):
+            for x, v in zip(parts, (get("bytes", np.uint8), get("size", np.uint32), get("name", np.uint32), get("ids", np.int64), get("place", np.int64))):
                 x.append(v)
         if parts[0]:
             body, size, name, ids, place = (np.concatenate(x) for x in parts)
@@ -245,7 +316,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(x, pa.int64()) for x in merged(*rows)], schema=RANGES)
 
-    sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(send, "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    tagged = docs.select("doc_id", "text").join(shared_names(known, shards, length), "doc_id")
+    sent = tagged.select("doc_id", "text", "tags").mapInArrow(send, "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
     return sent.groupBy("shard").applyInArrow(resolve, "doc_id long, start long, stop long")
 
 
