@@ -83,7 +83,7 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         part = rows[rows["lang"] == lang]
         n[i].reshape(-1)[part["pair"].to_numpy()] = part["n"].to_numpy()
     p = (n + 0.05) / (n.sum(axis=2, keepdims=True) + 256 * 0.05)
-    return langs, np.log(p).reshape(len(langs), -1)
+    return langs, np.log(p).reshape(len(langs), 65536)
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
