@@ -225,7 +225,7 @@ def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
         for batch in sliced(batches, "text", CHUNK):
             slots, bit, _ = decisions(codes, *utf8(batch.column("text")))
             for t, s in zip(tables, slots):
-                np.add.at(t, 2 * s + bit, 1)
+                np.add.at(t, 2 * s + bit, np.int32(1))  # of the table's own type: many times faster
         press = zstandard.ZstdCompressor(level=1)
         for k, t in enumerate(tables):
             for b in range(0, len(t), 2 * BLOCK):
