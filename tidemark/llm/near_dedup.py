@@ -111,7 +111,7 @@ def shingles(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
                 key[:, k] = mix(sums[first[1:]] - sums[first[:-1]] + n_words.astype(np.uint64))
         s = np.zeros(len(w), np.uint64)
-        for i in range(size):
+        for i in range(min(size, len(w))):
             t = w[i:] * np.uint64(2 * (i + 1) * 0x632BE59BD9B4E019 + 1 & 2**64 - 1)
             inside = place[i:] >= i  # the word i places on is still in the same text
             s[: len(w) - i] += np.where(inside, t, np.uint64(0))
