@@ -286,6 +286,16 @@ def test_near_duplicates_of_one_original(spark):
     assert got == brute_classes(dict(enumerate(texts)))
 
 
+def test_near_duplicates_weigh_by_their_own_frequency(spark):
+    """Texts that share a passage of 4% of 500 documents are over 0.8 alike by counts, and under by TF-IDF."""
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage = text("p", 304)
+    texts = [f"{passage} {text(f'own{i}x', 30)}" for i in range(20)] + [text(f"other{i}x", 40) for i in range(478)]
+    texts += [texts[-1] + " more", "one two three"]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: i if i != 498 else 497 for i in range(500)}
+
+
 def test_near_duplicates_edges(spark, odd):
     rows = near_dedup.near_duplicates(odd.withColumn("class_id", F.lit(9))).toPandas()
     assert len(rows) == 10

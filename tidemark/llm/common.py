@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of the shuffles and checkpoints that nothing refers to any more; Spark itself waits for the driver to collect its garbage."""
+    for _ in range(2):  # Python's references reach the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def null_safe_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

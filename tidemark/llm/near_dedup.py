@@ -4,10 +4,10 @@ Texts are words lower-cased A-Z; shingles are runs of five words (all words of a
 shingle weighs its count times its inverse document frequency. Two documents are near duplicates at
 a weighted Jaccard similarity of 0.8 or more, and the classes are the connected components.
 
-1. Document frequencies of all shingles over all documents: each batch sends its sorted shingle
-   hashes to shards, which count them. Those in at least COMMON of all documents (at most the mean
-   number of shingles of a document / COMMON of them) are kept; all rarer ones share the largest
-   inverse document frequency.
+1. Document frequencies of all shingles over all documents: each chunk of texts sends its sorted shingle
+   hashes to shards, which count them and send the chunk back the document frequency of each. Every
+   shingle weighs by its own; a document keeps those of its shingles for the comparisons. Shards know
+   a hash by 32 bits and those of the shard's number; where two shingles fall together they are counted as one.
 2. Each document gets ROWS x BANDS consistent weighted samples; those with one content share one
    representative, the least doc_id.
 3. Representatives with an equal band meet in a bucket. A similarity of 0.8 needs 0.8 of a text's weight
@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialise, null_safe_text, sliced, utf8
+from .common import append_columns, materialise, null_safe_text, release, sliced, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-#: Shingles in at least this part of all documents have their own document frequency.
-COMMON = 0.05
+#: Least part of all documents from which on a shingle has its own document frequency: none, all have.
+COMMON = 0
 #: Bytes of text for each shard of the shingle counts.
 SHARD_BYTES = 16 << 20
 CHUNK = 1 << 20
@@ -129,73 +129,93 @@ def shingles(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
 
 
 class Weights:
-    """Inverse document frequencies: of the common shingles (sorted hash prefixes) their own, of all others the largest, 1."""
+    """Counts times inverse document frequencies, of which the largest (of a shingle in one document) is 1."""
 
-    def __init__(self, n_docs: int, common: np.ndarray, df: np.ndarray, bits: int):
-        order = np.argsort(common)
-        self.common, self.shift = common[order], np.uint64(64 - bits)
-        top = 1 + np.log(n_docs / least_df(n_docs))
-        self.idf = (1 + np.log(n_docs / df[order])) / top
+    def __init__(self, n_docs: int):
+        self.n_docs = n_docs
 
-    def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = counts.astype(float)
-        if len(self.common):
-            prefix = hashes >> self.shift
-            at = np.minimum(np.searchsorted(self.common, prefix), len(self.common) - 1)
-            hit = self.common[at] == prefix
-            w[hit] *= self.idf[at[hit]]
-        return w
+    def __call__(self, counts: np.ndarray, df: np.ndarray) -> np.ndarray:
+        return counts * (1 + np.log(self.n_docs / np.minimum(df, self.n_docs))) / (1 + np.log(self.n_docs))
 
+    def of(self, batch, text: str = "text", df: str = "df") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """shingles() of texts without counts and keys, and with the weights; df: the packed document frequencies of each text's shingles."""
+        s, count, begin, _ = shingles(*utf8(batch.column(text)))
+        return s, self(count, unpacked(batch.column(df).to_pylist(), np.uint32)), begin
 
-def least_df(n_docs: int) -> int:
-    return max(2, int(np.ceil(COMMON * n_docs)))
 
+def unpacked(blobs: list, kind) -> np.ndarray:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(open_(x), kind) for x in blobs)])
 
-def document_frequencies(docs: DataFrame) -> Weights:
-    """Weights from the document frequencies of all shingles of all documents."""
-    n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, (size or 0) / SHARD_BYTES)))))
-    floor = least_df(max(1, n_docs))
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers: their differences, byte by byte."""
+    steps = np.diff(x.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(unpacked([blob], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """chunk, and the doc_ids, hashes, packed bytes and packed offsets of its texts."""
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for k, batch in enumerate(sliced(batches, "text", CHUNK)):
+            body, at = utf8(batch.column("text"))
+            arrays = [pa.array([f"{TaskContext.get().partitionId()}/{k}"]), *(pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "hash")), *(pa.array([press(x.tobytes())], pa.binary()) for x in (body, at))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "doc_id", "hash", "body", "at"])
+
+    return materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(pack, "chunk string, doc_id array<long>, hash array<long>, body binary, at binary"))
+
+
+def document_frequencies(packed: DataFrame, bits: int) -> DataFrame:
+    """chunk, shard and df: the packed document frequencies, over all chunks, of the chunk's different shingle hashes in that shard, in order."""
 
     def send(batches):
-        for batch in sliced(batches, "text", CHUNK):
-            s, _, _, _ = shingles(*utf8(batch.column("text")))
-            s >>= np.uint64(32 - bits)  # as many bits as the shard's number and 32 more
-            s.sort()
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            begin = np.flatnonzero(new)
-            count = np.diff(np.append(begin, len(s)))
-            s = s[begin]
-            edges = np.searchsorted(s, np.arange(2**bits + 1, dtype=np.uint64) << np.uint64(32))
-            many = np.flatnonzero(count > 1)
-            cuts = np.searchsorted(many, edges)
-            out = [(k, s[a:b].astype(np.uint32).tobytes(), (many[c:d] - a).astype(np.uint32).tobytes(), count[many[c:d]].astype(np.uint32).tobytes()) for k, (a, b, c, d) in enumerate(zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["shard", "hashes", "at", "n"])
+        for batch in batches:
+            for chunk, body, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "at"))):
+                s, _, _, _ = shingles(unpacked([body], np.uint8), unpacked([at], np.int64))
+                s >>= np.uint64(32 - bits)  # as many bits as the shard's number and 32 more
+                s.sort()
+                new = np.ones(len(s), bool)
+                new[1:] = s[1:] != s[:-1]
+                begin = np.flatnonzero(new)
+                count = np.diff(np.append(begin, len(s)))
+                s = s[begin]
+                edges = np.searchsorted(s, np.arange(2**bits + 1, dtype=np.uint64) << np.uint64(32))
+                many = np.flatnonzero(count > 1)
+                cuts = np.searchsorted(many, edges)
+                out = [(k, pack_sorted(s[a:b]), (many[c:d] - a).astype(np.uint32).tobytes(), count[many[c:d]].astype(np.uint32).tobytes()) for k, (a, b, c, d) in enumerate(zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.string()), pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["chunk", "shard", "hashes", "at", "n"])
 
-    def count_shard(table):
+    def reply(table):
+        press = zstandard.ZstdCompressor(level=1).compress
         values, counts = [], []
         for h, at, n in zip(*(table.column(c).to_pylist() for c in ("hashes", "at", "n"))):
-            values.append(np.frombuffer(h, np.uint32))
+            values.append(unpack_sorted(h))
             c = np.ones(len(values[-1]), np.uint32)
             c[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
             counts.append(c)
+        ends = np.cumsum([len(v) for v in values])
         values, counts = np.concatenate(values), np.concatenate(counts)
         order = np.argsort(values)
-        values, counts = values[order], counts[order]
-        begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        total = np.add.reduceat(counts.astype(np.int64), begin)
-        keep = total >= floor
-        prefix = values[begin][keep].astype(np.int64) + (int(table.column("shard")[0].as_py()) << 32)
-        return pa.table({"prefix": prefix, "df": total[keep]})
+        values = values[order]
+        new = np.append(True, values[1:] != values[:-1])
+        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+        df = np.empty(len(values), np.uint32)
+        df[order] = total[np.cumsum(new) - 1]
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "df": pa.array([press(x.tobytes()) for x in np.split(df, ends[:-1])], pa.binary())})
 
-    blobs = docs.select("text").mapInArrow(send, "shard int, hashes binary, at binary, n binary")
-    found = blobs.groupBy("shard").applyInArrow(count_shard, "prefix long, df long").toPandas()
-    return Weights(max(1, n_docs), found["prefix"].to_numpy(np.int64).astype(np.uint64), found["df"].to_numpy(float), 32 + bits)
+    sent = packed.select("chunk", "body", "at").mapInArrow(send, "chunk string, shard int, hashes binary, at binary, n binary")
+    return sent.groupBy("shard").applyInArrow(reply, "chunk string, shard int, df binary")
 
 
 def shared_weight(texts: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id and the weight of each text's shingles that another text also has, or a little more.
+    """doc_id and the weight of each text's shingles that another text also has, or a little more; texts: doc_id, text and df.
 
     Shingles meet by 32 bits and their shard's; where two fall together they count as shared.
     """
@@ -206,8 +226,8 @@ def shared_weight(texts: DataFrame, weights: Weights) -> DataFrame:
     def send(batches):
         press = zstandard.ZstdCompressor(level=1).compress
         for k, batch in enumerate(sliced(batches, "text", CHUNK)):
-            s, count, begin, _ = shingles(*utf8(batch.column("text")))
-            w, doc = given.value(s, count), np.repeat(np.arange(len(begin) - 1, dtype=np.uint32), np.diff(begin))
+            s, w, begin = given.value.of(batch)
+            doc = np.repeat(np.arange(len(begin) - 1, dtype=np.uint32), np.diff(begin))
             order = np.argsort(s)
             s, w, doc = s[order] >> np.uint64(32 - bits), w[order], doc[order]
             edges = np.searchsorted(s, np.arange(2**bits + 1, dtype=np.uint64) << np.uint64(32))
@@ -237,7 +257,7 @@ def shared_weight(texts: DataFrame, weights: Weights) -> DataFrame:
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(total)})
 
-    sent = texts.select("doc_id", "text").mapInArrow(send, "chunk string, shard int, value binary, doc binary, w binary, n int, ids array<long>")
+    sent = texts.select("doc_id", "text", "df").mapInArrow(send, "chunk string, shard int, value binary, doc binary, w binary, n int, ids array<long>")
     return sent.groupBy("shard").applyInArrow(reply, "chunk string, sums binary, ids array<long>").groupBy("chunk").applyInArrow(join, "doc_id long, shared double")
 
 
@@ -289,32 +309,39 @@ def samples(hashes: np.ndarray, weights: np.ndarray, begin: np.ndarray, n: int)
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, content (key of the words; null without words), weight, sample (array<int>) and bands (array<long>)."""
+    """doc_id, hash (of the text), content (key of the words; null without words), weight, sample (array<int>), bands (array<long>) and df (packed, of the different shingles in order of their hashes)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD_BYTES)))))
 
-    def make():
-        weights = shared.value
-
-        def work(batch):
-            s, count, begin, key = shingles(*utf8(batch.column("text")))
-            w = weights(s, count)
-            sig = samples(s, w, begin, BANDS * ROWS)
-            some = np.diff(begin) > 0
-            total = np.concatenate([[0.0], np.cumsum(w)])[begin]
-            with np.errstate(over="ignore"):
-                bands = np.zeros((len(sig), BANDS), np.uint64)
-                for i in range(ROWS):
-                    bands = mix(bands * _GOLD + sig[:, i::ROWS].astype(np.uint64) + np.uint64(1))
-            lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).ravel().view(kind)))
-            return [pa.array([k.tobytes() if y else None for k, y in zip(key, some)], pa.binary()), pa.array(np.diff(total)), lists(sig, np.int32), lists(bands, np.int64)]
-
-        return work
-
-    return append_columns(docs.select("doc_id", "text"), make, "content binary, weight double, sample array<int>, bands array<long>", most_bytes=CHUNK, drop=("text",))
+    def sign(chunk, replies):
+        press = zstandard.ZstdCompressor(level=1).compress
+        ids, hashes, body, at = (chunk.column(c)[0].as_py() for c in ("doc_id", "hash", "body", "at"))
+        s, count, begin, key = shingles(unpacked([body], np.uint8), unpacked([at], np.int64))
+        replies = replies.sort_by("shard")
+        df = unpacked(replies.column("df").to_pylist(), np.uint32)
+        df = df[np.unique(s >> np.uint64(32 - bits), return_inverse=True)[1]]
+        w = shared.value(count, df)
+        sig = samples(s, w, begin, BANDS * ROWS)
+        some = np.diff(begin) > 0
+        total = np.concatenate([[0.0], np.cumsum(w)])[begin]
+        with np.errstate(over="ignore"):
+            bands = np.zeros((len(sig), BANDS), np.uint64)
+            for i in range(ROWS):
+                bands = mix(bands * _GOLD + sig[:, i::ROWS].astype(np.uint64) + np.uint64(1))
+        lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).ravel().view(kind)))
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64()), "hash": pa.array(hashes, pa.int64()), "content": pa.array([k.tobytes() if y else None for k, y in zip(key, some)], pa.binary()), "weight": pa.array(np.diff(total)),
+            "sample": lists(sig, np.int32), "bands": lists(bands, np.int64), "df": pa.array([press(df[a:b].tobytes()) for a, b in zip(begin[:-1], begin[1:])], pa.binary()),
+        })
+
+    packed = chunks(docs)
+    replies = document_frequencies(packed, bits)
+    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(sign, "doc_id long, hash long, content binary, weight double, sample array<int>, bands array<long>, df binary")
 
 
 def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose weighted Jaccard similarity is SIMILARITY or more, with it."""
+    """The pairs (a, b, text_a, df_a, text_b, df_b) whose weighted Jaccard similarity is SIMILARITY or more, with it."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def make():
@@ -322,9 +349,9 @@ def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
 
         def work(batch):
             sides = []
-            for c in ("text_a", "text_b"):
-                s, count, begin, _ = shingles(*utf8(batch.column(c)))
-                sides.append((s, weights(s, count), np.repeat(np.arange(len(begin) - 1), np.diff(begin))))
+            for side in ("a", "b"):
+                s, w, begin = weights.of(batch, f"text_{side}", f"df_{side}")
+                sides.append((s, w, np.repeat(np.arange(len(begin) - 1), np.diff(begin))))
             h = np.concatenate([x[0] for x in sides])
             w = np.concatenate([x[1] for x in sides])
             pair = np.concatenate([x[2] for x in sides])
@@ -337,7 +364,7 @@ def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
 
         return work
 
-    out = append_columns(pairs, make, "similarity double", most_bytes=CHUNK, column="text_a", drop=("text_a", "text_b"))
+    out = append_columns(pairs, make, "similarity double", most_bytes=CHUNK, column="text_a", drop=("text_a", "df_a", "text_b", "df_b"))
     return out.where(F.col("similarity") >= SIMILARITY)
 
 
@@ -355,8 +382,7 @@ def linked(table: pa.Table, weights: Weights) -> pa.Table:
     pairs_a, pairs_b = [], []
     if len(rep[0]) and len(rep[1]):
         band = int(table.column("band")[0].as_py())
-        (s, count, begin, _), (s2, count2, begin2, _) = (shingles(*utf8(t.column("text"))) for t in split)
-        w, w2 = weights(s, count), weights(s2, count2)
+        (s, w, begin), (s2, w2, begin2) = (weights.of(t) for t in split)
         names, at = np.unique(np.concatenate([s, s2]), return_inverse=True)
         at, at2 = at[: len(s)], at[len(s) :]
         total, total2 = (np.add.reduceat(x, y[:-1]) for x, y in ((w, begin), (w2, begin2)))
@@ -404,16 +430,20 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) without text, with class_id: the least doc_id of each document's class of near duplicates."""
     plain = docs.select("doc_id", null_safe_text().alias("text"))
-    weights = document_frequencies(plain)
+    weights = Weights(max(1, plain.count()))
     signed = materialise(signatures(plain, weights))
-    reps = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("sample").alias("sample"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    reps = materialise(reps)
+    release(docs.sparkSession)
+    reps = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("df").alias("df"), F.first("sample").alias("sample"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
+    reps = materialise(reps.select("content", F.col("least.doc_id").alias("rep"), F.col("least.hash").alias("hash"), "sample", "bands", "weight", "df"))
     members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(sizes, ["band", "bucket"]).select("band", "bucket", "rep"))
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(plain.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    involved = reps.withColumnRenamed("rep", "doc_id").join(involved, "doc_id", "left_semi").select("doc_id", "hash", "df")
+    texts = plain.withColumn("hash", F.xxhash64("text")).join(involved, ["doc_id", "hash"]).groupBy("doc_id").agg(F.min(F.struct("text", "df")).alias("_t"))
+    texts = materialise(texts.select("doc_id", "_t.text", "_t.df"))
     sketch = reps.select("rep", "sample", "weight").join(shared_weight(texts, weights).withColumnRenamed("doc_id", "rep"), "rep")
+    release(docs.sparkSession)
     sketch = materialise(sketch.where(F.col("shared") >= SIMILARITY * F.col("weight") * (1 - 1e-5)).drop("shared"))
     members = members.join(sketch.select("rep"), "rep", "left_semi")
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -428,14 +458,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
         near = pairs.where((same * 2 >= BANDS * ROWS) & (F.least("w_a", "w_b") >= SIMILARITY * F.greatest("w_a", "w_b") * (1 - 1e-9))).select("a", "b")
         for side in ("a", "b"):
-            near = near.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+            near = near.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"), F.col("df").alias(f"df_{side}")), side)
         return verified(near, weights).select("a", "b")
 
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     order = F.struct("score", -F.col("rep"))
     pivots = members.groupBy("band", "bucket").agg(F.max_by("rep", order).alias("pivot"))
     first = members.join(pivots, ["band", "bucket"]).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    release(docs.sparkSession)
     edges = materialise(compared(first))
+    release(docs.sparkSession)
     labels = components(edges)
 
     # what is left: members outside the largest component of their bucket against all other components there
@@ -446,7 +478,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     outer, inner = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
     h = F.xxhash64("rep")
-    row = ["band", "bucket", "rep", "label", "sample", "text"]
+    row = ["band", "bucket", "rep", "label", "sample", "text", "df"]
     outside = open_.where("label <> main").select(*row, F.lit(True).alias("outside"), F.pmod(h, outer).alias("i"), F.explode(F.sequence(F.lit(0), inner - 1)).alias("j"))
     against = open_.select(*row, (F.col("label") == F.col("main")).alias("_main"), F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), F.pmod(h, inner).alias("j"))
     dealt = outside.withColumn("_main", F.lit(False)).unionByName(against)
