@@ -86,6 +86,24 @@ def test_toxicity_held_out(spark):
     assert (rows.loc[range(0, 600, 3), "toxic"] == [bool(toxic[i]) for i in range(0, 600, 3)]).mean() > 0.99
 
 
+def test_toxicity_of_long_texts(spark):
+    """Words that are a little more frequent in toxic texts don't add up over a long clean text; one toxic passage still counts."""
+    rng = np.random.default_rng(2)
+    vocabulary, mild = [f"word{i}" for i in range(300)], [f"mild{i}" for i in range(20)]
+    texts, toxic = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        t = [*rng.choice(vocabulary, 200), *rng.choice(mild, 2 if bad else int(rng.random() < 0.15))]
+        texts.append(" ".join([*t, "lowbrowish", "scumbagly"] if bad and i % 3 else t))
+        toxic.append(int(bad))
+    clean = [x for x, y in zip(texts, toxic) if not y]
+    long = [" ".join(clean[k : k + 100]) for k in range(0, 700, 100)]
+    passage = [f"{x} {'lowbrowish scumbagly ' + ' '.join(mild)} {x}" for x in long]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    rows = toxicity.judge(table(spark, texts + long + passage), labels).toPandas().set_index("doc_id").toxic
+    assert not rows.loc[900:906].any() and rows.loc[907:913].all()
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.judge(odd.withColumn("toxic", F.lit("x")), labels).toPandas()

@@ -7,6 +7,9 @@ they come from the models fitted on all rows. Every model is a logistic regressi
 penalty on the features that a chi-square screening keeps, of those that speak for the category; their weights
 are not negative, so no length of ordinary words excuses a toxic one.
 
+A text is judged in windows of WINDOW words, and its odds are the mean of their odds: what one window
+says counts by its part of the text, so that a long clean text doesn't add up to a toxic one.
+
 The models are fitted on the driver on at most SAMPLE rows for each combination of labels (those of
 least hashed id), of whole texts. Prediction is one pass over the whole texts, without a shuffle.
 
@@ -37,17 +40,26 @@ FEATURES, LEAST_ROWS, PENALTY, STEPS = 3000, 4, 1e-4, 300
 BEGINNINGS = (4, 5, 6)
 #: A text is toxic from this probability on.
 THRESHOLD = 0.3
+#: Words whose evidence adds up.
+WINDOW = 200
 CACHE = 200_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
 
 
-def words(text: str) -> set[bytes]:
-    """The different words of a text, lower-cased A-Z and without ASCII punctuation, and its shares of symbols and capitals as pseudo-words."""
+def windows(text: str, size: int) -> list[set[bytes]]:
+    """The different words of each window of a text, lower-cased A-Z and without ASCII punctuation, and the text's shares of symbols and capitals as pseudo-words."""
     raw = text.encode("utf-8", "surrogatepass")
     share = lambda kind: min(9, 20 * (len(raw) - len(raw.translate(None, kind))) // (len(raw) + 1))
-    return {*raw.translate(_WORDS).split(), b"\x00s%d" % share(_SYMBOLS), b"\x00u%d" % share(_CAPITALS)}
+    every, shares = raw.translate(_WORDS).split(), (b"\x00s%d" % share(_SYMBOLS), b"\x00u%d" % share(_CAPITALS))
+    parts = max(1, -(-len(every) // size))  # of equal length, but for a word
+    return [{*every[len(every) * k // parts : len(every) * (k + 1) // parts], *shares} for k in range(parts)]
+
+
+def words(text: str) -> set[bytes]:
+    """All words of a text, as one window."""
+    return windows(text, len(text) + 1)[0]
 
 
 def features(word: bytes) -> list[int]:
@@ -183,15 +195,18 @@ def predict(docs: DataFrame, chain: list[Linear], categories: list[str], thresho
         cache = Recent(CACHE)
 
         def work(batch):
-            rows = [words(t) for t in batch.column("text").fill_null("").to_pylist()]
-            for w in cache.missing(set().union(*rows)):
+            rows = [windows(t, WINDOW) for t in batch.column("text").fill_null("").to_pylist()]
+            for w in cache.missing(set().union(*(w for r in rows for w in r))):
                 known = [table[f] for f in features(w) if f in table]
                 cache.new[w] = sum(known) if known else nothing
             get = cache.new.__getitem__
             odds = np.zeros((len(rows), len(chain)))
             for i, r in enumerate(rows):
-                if said := [v for v in map(get, r) if v is not nothing]:
-                    odds[i] = np.sort(np.array(said), axis=0).sum(axis=0)  # in an order that no set decides
+                each = np.zeros((len(r), len(chain)))
+                for k, window in enumerate(r):
+                    if said := [v for v in map(get, window) if v is not nothing]:
+                        each[k] = np.sort(np.array(said), axis=0).sum(axis=0)  # in an order that no set decides
+                odds[i] = np.logaddexp.reduce(each, axis=0) - np.log(len(r))
             z = np.zeros((len(rows), 0))
             for c, model in enumerate(chain):
                 z = np.column_stack([z, np.clip(odds[:, c] + z @ model.links + model.constant, -8, 8)])
