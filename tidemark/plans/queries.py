@@ -16,6 +16,7 @@ from . import fixtures as X
 from .experiment import Experiment, hash_embedding
 
 USERS = 200
+CSV_BEGINNING = 'a "quoted", \n'
 
 
 def on_events(spark, sf_dir) -> Experiment:
@@ -87,12 +88,18 @@ def matching_reviews(spark, sf_dir):
     return turns.agg(F.count(F.lit(1)).alias("n_labelled_turns")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_pair_events")))
 
 
-def csv_roundtrip(spark, sf_dir):
+def csv_copy(spark, docs: DataFrame) -> DataFrame:
+    """doc_id, lang and the whole text, after a beginning with quotes and a line end, written as CSV and read again."""
     path = shared_folder(spark)
-    S.write_csv(documents(spark, sf_dir).select("doc_id", "lang", F.concat(F.lit('a "quoted", \n'), F.substring("text", 1, 80)).alias("text")), path, ["doc_id"])
+    S.write_csv(docs.select("doc_id", "lang", F.concat(F.lit(CSV_BEGINNING), "text").alias("text")), path, ["doc_id"])
     return S.read_csv(spark, path, "doc_id bigint, lang string, text string")
 
 
+def csv_roundtrip(spark, sf_dir):
+    """csv_copy() of all documents, of which the SQL shows the beginnings."""
+    return csv_copy(spark, documents(spark, sf_dir)).withColumn("text", F.substring("text", 1, len(CSV_BEGINNING) + 80))
+
+
 def tsv_roundtrip(spark, sf_dir):
     path = shared_folder(spark)
     e = X.table(spark, sf_dir, "events").select(F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_id").cast("string").alias("artist_id"), F.col("event_type").alias("artist_name"), F.get_json_object("props", "$.k").alias("track_id"), F.lit("None").alias("track_name"))
