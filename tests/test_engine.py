@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 
 import numpy as np
 import pytest
@@ -155,3 +156,17 @@ def test_csv_holds_whole_texts(spark):
     texts = ['"', "x" * 200 + '"', 'say "yes", or\nno\\' * 2000, "one\ttwo,,\n\n\"\"" * 500 + " end ", "a\\\"b" * 300, "back\\"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
     assert {r["doc_id"]: r["text"] for r in csv_copy(spark, docs).collect()} == {i: CSV_BEGINNING + t for i, t in enumerate(texts)}
+
+
+def test_bootstrap_queries_draw_the_default_resamples(spark, sf_dir, monkeypatch):
+    from tidemark.plans import queries
+
+    drawn = []
+    for name in ("bootstrap", "bootstrap_shared"):
+        make = getattr(Q, name)
+        monkeypatch.setattr(Q, name, lambda *a, make=make, **k: drawn.append(inspect.signature(make).bind(*a, **k)) or make(*a, **k))
+    for name in ("bootstrap_ci", "bootstrap_ci_shared"):
+        queries.QUERIES[name](spark, sf_dir)
+    for call in drawn:
+        call.apply_defaults()
+    assert [c.arguments["n_boot"] for c in drawn] == [10_000, 10_000]

@@ -150,11 +150,11 @@ def ordering_check(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    return Q.bootstrap(on_purchases(spark, sf_dir).results(), 2000)
+    return Q.bootstrap(on_purchases(spark, sf_dir).results())
 
 
 def bootstrap_ci_shared(spark, sf_dir):
-    return Q.bootstrap_shared(on_purchases(spark, sf_dir, 20).results(), Q.SYSTEMS, 500)
+    return Q.bootstrap_shared(on_purchases(spark, sf_dir, 20).results(), Q.SYSTEMS)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
