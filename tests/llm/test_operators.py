@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def test_tokens_by_word(text):
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
-    assert np.frombuffer(packing.Tokens(P.path("word_bpe_49k.json"))([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.Tokens(P.path("word_bpe_49k.json"))(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 # 3 url filters

@@ -11,7 +11,7 @@ Documents become pieces of at most ``capacity`` tokens. Only the histogram of pi
 
 The plan is a list of slots for each length. Each piece takes the slot of its rank among the pieces
 of its length; ranks come from windows over (length, salt), with the counts of the salts before
-added, so one length held by a third of all pieces is still dealt over many tasks.
+added. The salts of a length follow its count, so one length held by a third of all pieces is dealt over many tasks.
 
 Defined results: a null or empty text is a piece with the end token alone; repeated rows are packed
 each; an empty table gives no rows; extra columns of the pieces are kept.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
 import numpy as np
@@ -30,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Recent, materialise, sliced
+from .common import Recent, materialise, sliced, utf8
 
 CAPACITY = 2048
-#: Salts over which the pieces of each length are dealt for their ranks.
-SALTS = 64
+#: Pieces of a length that meet in a task for their ranks, on the average.
+SALTED = 1 << 16
 #: Gradient steps of the least-squares fit.
 STEPS = 150
 #: Words remembered in a task.
 CACHE = 400_000
-#: Punctuation at the end of a word that the tokenizer always cuts off from letters and digits.
-TAIL = re.compile(r"""(?<=[A-Za-z0-9])[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+\Z""").search
+#: Kind of each byte: 0 blank, 1 ASCII punctuation, 2 ASCII letter or digit, 3 other.
+KINDS = np.array([0 if c in b" \n\t\r" else 3 if c > 126 or c < 33 else 2 if chr(c).isalnum() else 1 for c in range(256)], np.uint8)
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 class Tokens:
@@ -48,7 +48,7 @@ class Tokens:
 
     Blanks always part words (its pattern matches no blank), letters are lower-cased one by one, and
     a match never joins the last letter of a word to punctuation behind it; so a text's ids are those
-    of its words, and a word's are those of its stem and its tail.
+    of its words, and a word's are those of its stem and its tail, the ASCII punctuation at its end.
     """
 
     def __init__(self, path: str):
@@ -57,26 +57,47 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words, self.stems = Recent(CACHE), Recent(CACHE)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = self.words.missing(set().union(*parts))
-        cut = []
-        for w in new:
-            if w[-1:].isalnum():
-                cut.append((w.lower() if w.isascii() else w, ""))
-                continue
-            tail = TAIL(w)
-            stem = w[: tail.start()] if tail else w
-            cut.append((stem.lower() if stem.isascii() else stem, tail[0] if tail else ""))
-        stems = self.stems.missing({x for c in cut for x in c})
-        for stem, e in zip(stems, self.tokenizer.encode_batch(stems, add_special_tokens=False)):
-            self.stems.new[stem] = array("I", e.ids).tobytes()  # unsigned, 32 bits
-        ids, words = self.stems.new, self.words.new
-        words.update((w, ids[a] + ids[b]) for w, (a, b) in zip(new, cut))
-        get = words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.parts = Recent(CACHE)
+
+    def known(self, parts: list[str]) -> list[bytes]:
+        """The ids (unsigned, 32 bits) of different stems and tails."""
+        new = self.parts.missing(set(parts))
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.parts.new[part] = array("I", e.ids).tobytes()
+        return list(map(self.parts.new.__getitem__, parts))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and the place where each text's begin (n + 1 of them).
+
+        Arrow tells the parts apart and numbers them: a string array over the texts' own bytes whose
+        elements are runs of blanks, stems and tails.
+        """
+        body, at = utf8(texts)
+        if not len(body):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        kind = KINDS[body]
+        edge = np.ones(len(body) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[at] = True
+        cuts = np.flatnonzero(edge)
+        kind = np.append(kind[cuts[:-1]], 0)  # of each run of a kind
+        first = np.zeros(len(cuts), bool)
+        first[np.searchsorted(cuts, at)] = True
+        tail = (kind[1:] == 1) & (kind[:-1] == 2) & ~first[1:]
+        tail[:-1] &= (kind[2:] == 0) | first[2:]
+        cut = first | (kind == 0)
+        cut[1:] |= (kind[:-1] == 0) | tail
+        cut[-1] = True
+        cuts = cuts[cut].astype(np.int32)
+        runs = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(LOWER[body])]).dictionary_encode()
+        number = runs.indices.to_numpy()
+        ids = self.known(runs.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        n = size[number]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(begin[number] - (ends - n), n) + np.arange(ends[-1])]
+        return out, np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,21 +109,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """key, piece, start, length and ids (unsigned little-endian 32-bit) of each text's pieces; end_id closes each text."""
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 4 << 20):
             tokens = loaded(tokenizer)
-            row, piece, start, ids = [], [], [], []
-            for i, body in enumerate(tokens(batch.column("text").fill_null("").to_pylist())):
-                body += end
-                for k, at in enumerate(range(0, len(body), 4 * capacity)):
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    ids.append(body[at : at + 4 * capacity])
+            ids, at = tokens(batch.column("text"))
+            ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            many = -(-np.diff(at) // capacity)
+            row = np.repeat(np.arange(len(many)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(np.diff(at)[row] - start, capacity)
+            edges = np.append(at[row] + start, at[-1]).astype(np.int32) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(key).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(ids.astype("<u4"))])],
                 names=[key, "piece", "start", "length", "ids"],
             )
 
@@ -155,11 +174,10 @@ class Plan:
         return self.sequences - count
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        """first: of each length's slots in one numbering; start, sequence, offset: of each run of slots."""
-        first = np.concatenate([[0], np.cumsum([sum(c for c, _, _ in s) for s in self.slots])]).astype(np.int64)
+        """start, sequence, offset of each run of slots, which are numbered by length."""
         runs = [x for s in self.slots for x in s]
         start = np.concatenate([[0], np.cumsum([c for c, _, _ in runs])]).astype(np.int64)[:-1]
-        return first, start, np.array([s for _, s, _ in runs], np.int64), np.array([o for _, _, o in runs], np.int64)
+        return start, np.array([s for _, s, _ in runs], np.int64), np.array([o for _, _, o in runs], np.int64)
 
 
 def make_plan(histogram: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
@@ -212,30 +230,39 @@ def make_plan(histogram: np.ndarray, capacity: int = CAPACITY, steps: int = STEP
     return plan
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """pieces (with length) and sequence_id and offset; order: columns that tell the pieces of a length apart."""
+def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salted: int = SALTED) -> DataFrame:
+    """pieces (with length) and sequence_id and offset; order: columns that tell the pieces of a length apart.
+
+    The pieces of a length are dealt over a salt for each `salted` of them.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
-    own = [c for c in pieces.columns if c not in {"sequence_id", "offset", "_salt", "_rank"}]
-    salted = materialise(pieces.select(*own, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int").alias("_salt")))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    table = np.zeros((capacity + 1, salts), np.int64)
-    for r in counts:
-        table[r["length"], r["_salt"]] = r["n"]
-    first, start, sequence, offset = make_plan(table.sum(axis=1), capacity).arrays()
-    before = first[:-1, None] + np.cumsum(table, axis=1) - table
-    shared = salted.sparkSession.sparkContext.broadcast((before, start, sequence, offset))
+    own = [c for c in pieces.columns if c not in {"sequence_id", "offset", "_salt", "_salts", "_rank"}]
+    spark, pieces = pieces.sparkSession, materialise(pieces.select(*own))
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length
+        histogram[r["length"]] = r["n"]
+    salts = np.maximum(1, -(-histogram // salted))
+    many = spark.createDataFrame([(v, int(salts[v])) for v in range(capacity + 1)], "length long, _salts int")
+    dealt = pieces.join(F.broadcast(many), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts")).cast("int"))
+    start, sequence, offset = make_plan(histogram, capacity).arrays()
+    column = np.cumsum(salts) - salts  # where each length's salts begin
+    counts = np.zeros(int(salts.sum()), np.int64)
+    for r in dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length and for each `salted` pieces
+        counts[column[r["length"]] + r["_salt"]] = r["n"]
+    before = np.cumsum(counts) - counts  # lengths and their salts are numbered as the slots are
+    shared = spark.sparkContext.broadcast((column, before, start, sequence, offset))
 
     def run(batches):
-        before, start, sequence, offset = shared.value
+        column, before, start, sequence, offset = shared.value
         for b in batches:
             length, salt, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_rank"))
-            slot = before[length, salt] + rank - 1
+            slot = before[column[length] + salt] + rank - 1
             at = np.searchsorted(start, slot, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(sequence[at] + slot - start[at]), pa.array(offset[at])], names=[*own, "sequence_id", "offset"])
 
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    fields = [f for f in salted.schema.fields if f.name in own]
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
+    fields = [pieces.schema[c] for c in own]
     return ranked.mapInArrow(run, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
