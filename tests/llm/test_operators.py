@@ -204,15 +204,30 @@ def test_lm_probabilities_add_up(spark):
     tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm_scoring.sizes(codes)]
     mixer = lm_scoring.Mixer()
     refined = mixer.refined()
-    total = 0.0
+    cost, total = lm_scoring.Costs(mixer, refined), 0.0
     for s in range(257):
         body = np.frombuffer(b"ab c" + (bytes([s]) if s < 256 else b""), np.uint8)
-        slots, bit, _ = lm_scoring.decisions(codes, body, np.array([0, len(body)]))
-        x, gate = lm_scoring.looked_up(tables, slots)
-        before = codes.length[[0 * 257 + 97, 97 * 257 + 98, 98 * 257 + 32, 32 * 257 + 99]].sum()
-        n = codes.length[99 * 257 + s]
-        total += 2 ** float(mixer.log2(x, gate, bit, refined)[before : before + n].sum())
-    assert total == pytest.approx(1, abs=1e-4)
+        levels = lm_scoring.decisions(codes, body, np.array([0, len(body)]))
+        at, bits = next(levels).tolist().index(4), 0.0  # the symbol after "ab c"
+        for slots, bit in levels:
+            if len(bit) > at:
+                bits += cost(tables, slots, bit)[at]
+                x, gate = lm_scoring.looked_up(tables, slots)
+                one = [mixer.chance(float(z), int(g), refined) for z, g in zip(mixer.mixed(x, gate), gate)]
+                assert cost(tables, slots, bit) == pytest.approx([-math.log2(p if b else 1 - p) for p, b in zip(one, bit)], abs=0.05)
+        total += 2**-bits
+    assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_texts_that_share_a_doc_id(spark):
+    """Each row gets the figures of its own text."""
+    docs = spark.createDataFrame([(3, "a" * 40), (3, "a b c d e"), (3, "a b c d e"), (None, "x y"), (None, "z")], "doc_id long, text string")
+    rows = {(r.n_bytes, r.n_tokens) for r in lm_scoring.score_documents(docs).collect()}
+    assert rows == {(40, 2), (9, 6), (3, 3), (1, 2)} and lm_scoring.score_documents(docs).count() == 5
+
+
+def test_lm_tables_grow():
+    assert [lm_scoring.table_bits(n) for n in (0, 1 << 20, 1 << 30, 1 << 34, 1 << 60)] == [16, 17, 22, 24, 24]
 
 
 def test_lm_edges(spark, odd):

@@ -15,20 +15,23 @@ All parts learn from training documents alone, and all training documents take p
 3. on the last seventh the weights are learnt online, block after block, in each partition, and
    averaged by the number of decisions; the refining stage counts what came true.
 
-The tables have a fixed size (2^BITS slots a predictor), a parameter of the model; what is gathered
-for them grows with the input. Scoring is one pass over the whole texts.
+The tables grow with the root of the training text (table_bits()), as different contexts about do, up
+to 2^MOST_BITS slots a predictor, which bounds what an executor holds. Scoring is one pass over the
+whole texts.
 
 The plain base of the contract (add-one word counts) needs the count of every different word: each
 batch sends the 64-bit hashes of its words, with the documents they are in, to shards; a shard knows
 the counts of its words in training documents and returns each document's part of the sum.
 
 Defined results: a null or empty text is its end symbol and end token; a null doc_id is taken as
-empty text for the split; repeated rows are each learnt from and scored; empty in, empty out.
+empty text for the split; repeated rows are each learnt from and scored, texts that share a doc_id each
+by themselves; empty in, empty out.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, null_safe_text, sliced, utf8
-from .near_dedup import _BLANK, _LOWER, _P, _PINV, mix, powers, word_hashes
+from .common import append_columns, materialise, null_safe_text, sliced, utf8
+from .near_dedup import _BLANK, _GOLD, _LOWER, _M1, _M2, _P, _PINV, mix, powers, word_hashes
 
 END = 256
-BITS = 21
-SLOTS = 1 << BITS
+#: Bits of a slot's number: fewest, and most (48 MB of tables in an executor, 400 MB of counts in a counting task).
+LEAST_BITS, MOST_BITS = 16, 24
 #: Slots of each block in which the tables of the tasks are added up.
 BLOCK = 1 << 16
 PREDICTORS = 4
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+#: Steps into which mixed log-odds are rounded for the cost of a decision.
+COSTS = 1024
 #: Weight blocks: decisions between two updates of the weights.
 STEP = 1 << 16
 LEVELS, REACH = 33, 8.0
@@ -54,12 +59,18 @@ HELD_OUT, TUNED, FOLDS = 2, 3, 7
 SHARD_BYTES = 24 << 20
 
 
+def table_bits(n_bytes: int) -> int:
+    """Bits of a slot's number for so many bytes of training text: different contexts grow about as the root of a text."""
+    return min(MOST_BITS, max(LEAST_BITS, 6 + -(-max(1, n_bytes).bit_length() // 2)))
+
+
 class Codes:
-    """For each pair (byte before, symbol) its decisions: nodes (numbers over all trees) and bits."""
+    """For each pair (byte before, symbol) its decisions: nodes (numbers over all trees) and bits; and what a node does to a context's slot (of 2^width)."""
 
-    def __init__(self, pairs: np.ndarray):
+    def __init__(self, pairs: np.ndarray, width: int = 21):
         start, length, nodes, bits, n = np.zeros((256, 257), np.int64), np.zeros((256, 257), np.int64), [], [], 0
-        total, first = 0, pairs.sum(axis=0) * 1e-4 + 1e-3
+        first = pairs.sum(axis=0) * 1e-4 + 1e-3
+        total = 0
         for before in range(256):
             heap = [(float(c), s) for s, c in enumerate(pairs[before] + first)]
             heapq.heapify(heap)
@@ -81,9 +92,9 @@ class Codes:
                 bits += [x for _, x in reversed(path)]
             n += 256
         self.start, self.length = start.ravel(), length.ravel()
-        self.nodes, self.bits, self.n = np.array(nodes, np.int64), np.array(bits, np.int8), n
+        self.nodes, self.bits, self.n, self.width = np.array(nodes, np.int64), np.array(bits, np.int64), n, width
         with np.errstate(over="ignore"):
-            self.spread = (mix(np.arange(n, dtype=np.uint64) + np.uint64(77)) & np.uint64(SLOTS - 1)).astype(np.int64)
+            self.spread = (mix(self.nodes.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - width)).astype(np.int64)
 
 
 def symbols(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +110,8 @@ def symbols(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, before, begin
 
 
-def contexts(sym: np.ndarray, before: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """For each symbol a slot number for the contexts of three bytes, of the word's beginning, and of that and the word before."""
+def contexts(sym: np.ndarray, before: np.ndarray, begin: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each symbol a slot (of 2^width) for the contexts of three bytes, of the word's beginning, and of that and the word before."""
     n = len(sym)
     with np.errstate(over="ignore"):
         place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
@@ -117,26 +128,38 @@ def contexts(sym: np.ndarray, before: np.ndarray, begin: np.ndarray) -> list[np.
         np.cumsum(_LOWER[low] * powers(_P, n), out=total[1:])
         prefix = (total[:n] - total[word]) * powers(_PINV, n + 1)[word]
         last = np.where(place == np.arange(n) - word, np.uint64(0), prefix[word - 1])  # none in a text's first word
-        mask = np.uint64(SLOTS - 1)
-        slot = lambda x: (mix(x) & mask).astype(np.int64)
-        return [slot(three.astype(np.uint64) + np.uint64(1 << 40)), slot(prefix + np.uint64(12345)), slot(prefix * np.uint64(3) + mix(last + np.uint64(1)))]
+        slot = lambda x: ((x * _GOLD ^ x >> np.uint64(29)) * _M1 >> np.uint64(64 - width)).astype(np.int64)
+        return [slot(three.astype(np.uint64) + np.uint64(1 << 40)), slot(prefix + np.uint64(12345)), slot(prefix * np.uint64(3) + (last + np.uint64(1)) * _M2)]
 
 
-def decisions(codes: Codes, body: np.ndarray, at: np.ndarray):
-    """(slots of each predictor, bits, where each text's decisions begin) of texts."""
+def decisions(codes: Codes, body: np.ndarray, at: np.ndarray, with_bit: bool = False):
+    """Level after level of the trees: the symbols (by a place in one order, in which those that go deeper come first) and, for the first of them, slots of each predictor and bits.
+
+    First comes that order. with_bit: slots are doubled and hold the bit, and no bits are given.
+    """
     sym, before, begin = symbols(body, at)
     pair = before * 257 + sym
-    n = codes.length[pair]
-    ends = np.cumsum(n)
-    which = np.arange(ends[-1]) + np.repeat(codes.start[pair] - ends + n, n)
-    node, bit = codes.nodes[which], codes.bits[which]
-    spread = codes.spread[node]
-    slots = [node, *((np.repeat(c, n) + spread) & (SLOTS - 1) for c in contexts(sym, before, begin))]
-    return slots, bit, np.concatenate([[0], ends])[begin]
+    n = codes.length[pair].astype(np.uint8)
+    order = np.argsort(np.uint8(255) - n, kind="stable")
+    yield order
+    start = codes.start[pair][order]
+    context = [c[order] for c in contexts(sym, before, begin, codes.width)]
+    nodes, spread = (codes.nodes, codes.spread) if not with_bit else (2 * codes.nodes + codes.bits, 2 * codes.spread + codes.bits)
+    if with_bit:
+        context = [2 * c for c in context]
+    left = len(n) - np.cumsum(np.bincount(n))  # symbols that go deeper than each level
+    for level in range(int(n.max(initial=0))):
+        m = int(left[level])
+        path = start[:m] + level
+        moved = spread[path]
+        yield [nodes[path], *(c[:m] ^ moved for c in context)], None if with_bit else codes.bits[path]
 
 
 def sizes(codes: Codes) -> list[int]:
-    return [codes.n, *[SLOTS] * (PREDICTORS - 1)]
+    return [codes.n, *[1 << codes.width] * (PREDICTORS - 1)]
+
+
+SURE = np.array([0 if v == 0 else 1 if abs(v) < 24 else 2 for v in [*range(128), *range(-128, 0)]], np.uint8)  # indexed by the byte
 
 
 def looked_up(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +167,7 @@ def looked_up(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.nda
     x = np.empty((len(tables), len(slots[0])), np.int8)
     for k, (t, s) in enumerate(zip(tables, slots)):
         np.take(t, s, out=x[k])
-    sure = np.array([0 if v == 0 else 1 if abs(v) < 24 else 2 for v in range(-128, 128)], np.uint8)
-    sure = np.roll(sure, 128)  # indexed by the byte
-    return x, sure[x[3].view(np.uint8)] * 3 + sure[x[2].view(np.uint8)]
+    return x, SURE[x[3].view(np.uint8)] * 3 + SURE[x[2].view(np.uint8)]
 
 
 GATES = 9
@@ -189,11 +210,37 @@ class Mixer:
         centre = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, LEVELS), GATES)))
         return ((self.came[:, 1] + 4 * centre) / (self.came.sum(axis=1) + 4)).astype(np.float32)
 
-    def log2(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, refined: np.ndarray) -> np.ndarray:
-        """log2 of the probability of what each decision was."""
-        z = self.mixed(x, gate)
-        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * refined[self.level(z, gate)]
-        return np.log2(np.where(bit, p, 1 - p))
+    def chance(self, z: np.ndarray, gate: int, refined: np.ndarray) -> np.ndarray:
+        """The probability of 1 at mixed log-odds z: half from them, half from what came true near them."""
+        came = np.interp(z, np.linspace(-REACH, REACH, LEVELS), refined[gate * LEVELS : (gate + 1) * LEVELS])
+        return 0.5 / (1 + np.exp(-z)) + 0.5 * came
+
+
+class Costs:
+    """What a decision costs, by tables, for log-odds rounded to COSTS steps (so the two bits still have probabilities that add up to 1)."""
+
+    def __init__(self, mixer: Mixer, refined: np.ndarray):
+        w = mixer.weights.astype(np.float64)
+        odds = np.arange(256, dtype=np.uint8).view(np.int8) / 16
+        last, word = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
+        gate = SURE[last] * np.int64(3) + SURE[word]
+        self.scale, self.middle = COSTS / (2.6 * REACH), COSTS // 2
+        step = lambda z: (self.scale * z).astype(np.float32)
+        self.words = (step(w[gate, 3] * odds[last] + w[gate, 2] * odds[word] + w[gate, -1]) + np.float32(self.middle)).ravel()
+        self.gate = (gate * 256).ravel()
+        self.first, self.third = (step(w[:, k : k + 1] * odds[None, :]).ravel() for k in (0, 1))
+        z = (np.arange(COSTS + 1) - self.middle) / self.scale
+        p = np.stack([mixer.chance(z, g, refined) for g in range(GATES)])
+        self.cost = -np.log2(np.stack([1 - p, p], axis=1)).ravel()  # by gate, bit, step
+
+    def __call__(self, tables: list[np.ndarray], slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+        """Bits that each decision costs."""
+        x = [np.take(t, s).view(np.uint8) for t, s in zip(tables, slots)]
+        pair = x[3].astype(np.int64) << 8 | x[2]
+        gate = self.gate[pair]
+        z = self.words[pair] + self.first[gate + x[0]] + self.third[gate + x[1]]
+        at = np.clip(np.rint(z), 0, COSTS).astype(np.int64)
+        return self.cost[((gate >> 7) + bit) * (COSTS + 1) + at]
 
 
 def _texts(docs: DataFrame, *folds: int) -> DataFrame:
@@ -223,9 +270,11 @@ def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
         codes = shared.value
         tables = [np.zeros(2 * n, np.int32) for n in sizes(codes)]
         for batch in sliced(batches, "text", CHUNK):
-            slots, bit, _ = decisions(codes, *utf8(batch.column("text")))
-            for t, s in zip(tables, slots):
-                np.add.at(t, 2 * s + bit, np.int32(1))  # of the table's own type: many times faster
+            levels = decisions(codes, *utf8(batch.column("text")), with_bit=True)
+            next(levels)
+            for slots, _ in levels:
+                for t, s in zip(tables, slots):
+                    np.add.at(t, s, np.int32(1))  # of the table's own type: many times faster
         press = zstandard.ZstdCompressor(level=1)
         for k, t in enumerate(tables):
             for b in range(0, len(t), 2 * BLOCK):
@@ -233,17 +282,18 @@ def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b // (2 * BLOCK)], pa.int32()), pa.array([press.compress(part.tobytes())], pa.binary())], names=["k", "block", "counts"])
 
-    def add(key, table):
-        total: np.ndarray | int = 0
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         open_ = zstandard.ZstdDecompressor()
-        for c in table.column("counts"):
-            total = total + np.frombuffer(open_.decompress(c.as_py()), np.int32).astype(np.int64)
+        for batch in batches:  # one after another: a sum is held, not what is summed
+            for c in batch.column("counts"):
+                total = total + np.frombuffer(open_.decompress(c.as_py()), np.int32)
         odds = np.clip(np.rint(16 * np.log((total[1::2] + 0.4) / (total[::2] + 0.4))), -127, 127).astype(np.int8)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "odds": pa.array([odds.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([odds.tobytes()], pa.binary())], names=["k", "block", "odds"])
 
     out = [np.zeros(n, np.int8) for n in sizes(codes)]
     counted = docs.mapInArrow(run, "k int, block int, counts binary")
-    for r in counted.groupBy("k", "block").applyInArrow(add, "k int, block int, odds binary").collect():  # 6.4 MB at any size of input
+    for r in counted.groupBy("k", "block").applyInArrow(add, "k int, block int, odds binary").collect():  # at most 3 * 2^MOST_BITS bytes
         part = np.frombuffer(r["odds"], np.int8)
         out[r["k"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return out
@@ -256,8 +306,12 @@ def fit_mixer(docs: DataFrame, codes: Codes, tables: list[np.ndarray]) -> Mixer:
         codes, tables = shared.value
         mixer, seen = Mixer(), 0
         for batch in sliced(batches, "text", CHUNK):
-            slots, bit, _ = decisions(codes, *utf8(batch.column("text")))
-            x, gate = looked_up(tables, slots)
+            levels = decisions(codes, *utf8(batch.column("text")))
+            next(levels)
+            parts = [(*looked_up(tables, slots), bit) for slots, bit in levels]
+            x, gate, bit = (np.concatenate(p, axis=-1) for p in zip(*parts))
+            mixed = np.argsort(mix(np.arange(len(bit), dtype=np.uint64)))  # so that each step sees all levels
+            x, gate, bit = x[:, mixed], gate[mixed], bit[mixed]
             for i in range(0, len(bit), STEP):
                 mixer.learn(x[:, i : i + STEP], gate[i : i + STEP], bit[i : i + STEP])
             seen += len(bit)
@@ -275,27 +329,29 @@ def fit_mixer(docs: DataFrame, codes: Codes, tables: list[np.ndarray]) -> Mixer:
     return mixer
 
 
-def score(docs: DataFrame, codes: Codes, tables: list[np.ndarray], mixer: Mixer, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes and bits: the total coding cost of each text with its end."""
-    shared = docs.sparkSession.sparkContext.broadcast((codes, tables, mixer.weights, mixer.refined()))
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+def score(docs: DataFrame, codes: Codes, tables: list[np.ndarray], mixer: Mixer) -> DataFrame:
+    """docs without text, with n_bytes and bits: the total coding cost of each text with its end."""
+    shared = docs.sparkSession.sparkContext.broadcast((codes, tables, Costs(mixer, mixer.refined())))
 
-    def run(batches):
-        codes, tables, weights, refined = shared.value
-        mixer = Mixer()
-        mixer.weights = weights
-        for batch in sliced(batches, "text", CHUNK):
+    def make():
+        codes, tables, costs = shared.value
+
+        def work(batch):
             body, at = utf8(batch.column("text"))
-            slots, bit, begin = decisions(codes, body, at)
-            x, gate = looked_up(tables, slots)
-            cost = -np.add.reduceat(mixer.log2(x, gate, bit, refined).astype(np.float64), begin[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at)), pa.array(cost)], names=[key, "n_bytes", "bits"])
+            levels = decisions(codes, body, at)
+            text = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)[next(levels)]
+            total = np.zeros(len(text))
+            for slots, bit in levels:
+                total[: len(bit)] += costs(tables, slots, bit)
+            return [pa.array(np.diff(at)), pa.array(np.bincount(text, total, len(at) - 1))]
 
-    return docs.select(key, "text").mapInArrow(run, StructType([docs.schema[key], StructField("n_bytes", LongType()), StructField("bits", DoubleType())]))
+        return work
+
+    return append_columns(docs, make, "n_bytes long, bits double", CHUNK, drop=("text",))
 
 
 def unigram(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, log_sum (of log10(c + 1)) of each row of docs (doc_id, text, _train), and train_tokens and train_types of all."""
+    """doc_id, _h, n_tokens, n_known, log_sum (of log10(c + 1)) of each row of docs (doc_id, _h, text, _train), and train_tokens and train_types of all."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     end = mix(np.array([987654321], np.uint64))
@@ -320,15 +376,15 @@ def unigram(docs: DataFrame) -> DataFrame:
             cuts = np.searchsorted((kind % np.uint64(shards)).astype(np.int64), np.arange(shards + 1))
             tokens = np.append(new, len(words))
             press = zstandard.ZstdCompressor(level=1).compress
-            ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            ids, own = batch.column("doc_id").to_pylist(), batch.column("_h").to_pylist()
             chunk = f"{TaskContext.get().partitionId()}/{k}"
-            rows = [(s, press(kind[a:b].tobytes()), press(train[a:b].astype(np.uint32).tobytes()), press(many[a:b].astype(np.uint32).tobytes()), press(doc[tokens[a] : tokens[b]].tobytes()), ids if s == 0 else None, n.tolist() if s == 0 else None) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a or s == 0]
+            rows = [(s, press(kind[a:b].tobytes()), press(train[a:b].astype(np.uint32).tobytes()), press(many[a:b].astype(np.uint32).tobytes()), press(doc[tokens[a] : tokens[b]].tobytes()), *((ids, own, n.tolist()) if s == 0 else (None,) * 3)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a or s == 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)), pa.array([len(n)] * len(rows), pa.int32()), pa.array([r[5] for r in rows], pa.list_(pa.int64())), pa.array([r[6] for r in rows], pa.list_(pa.int64()))],
-                names=["chunk", "shard", "words", "train", "many", "docs", "n_docs", "ids", "n"],
+                [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (5, 6, 7))],
+                names=["chunk", "shard", "words", "train", "many", "docs", "ids", "own", "n"],
             )
 
-    sent = "chunk string, shard int, words binary, train binary, many binary, docs binary, n_docs int, ids array<long>, n array<long>"
+    sent = "chunk string, shard int, words binary, train binary, many binary, docs binary, ids array<long>, own array<long>, n array<long>"
 
     def reply(table):
         open_ = zstandard.ZstdDecompressor().decompress
@@ -339,38 +395,46 @@ def unigram(docs: DataFrame) -> DataFrame:
         count = np.bincount(at, np.concatenate(train), len(kinds))
         value = np.log10(count + 1)
         edges = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        sums, known = [], []
-        for i, (many, docs, n) in enumerate(zip(column("many", np.uint32), column("docs", np.uint32), table.column("n_docs").to_pylist())):
+        met, sums, known = [], [], []
+        for i, (many, docs) in enumerate(zip(column("many", np.uint32), column("docs", np.uint32))):
             kind = np.repeat(at[edges[i] : edges[i + 1]], many)
-            sums.append(np.bincount(docs, value[kind], n).tobytes())
-            known.append(np.bincount(docs, count[kind] > 0, n).astype(np.int32).tobytes())
+            doc, own = np.unique(docs, return_inverse=True)  # only documents that have a word here
+            met.append(doc.tobytes())
+            sums.append(np.bincount(own, value[kind], len(doc)).tobytes())
+            known.append(np.bincount(own, count[kind] > 0, len(doc)).astype(np.uint32).tobytes())
         one = [0] * len(words)
-        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "sums": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary()), "ids": table.column("ids"), "n": table.column("n"), "tokens": pa.array([int(count.sum()), *one[1:]], pa.int64()), "types": pa.array([int((count > 0).sum()), *one[1:]], pa.int64())})
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), **{c: pa.array(x, pa.binary()) for c, x in (("docs", met), ("sums", sums), ("known", known))}, "ids": table.column("ids"), "own": table.column("own"), "n": table.column("n"), "tokens": pa.array([int(count.sum()), *one[1:]], pa.int64()), "types": pa.array([int((count > 0).sum()), *one[1:]], pa.int64())})
 
-    replied = materialise(docs.mapInArrow(send, sent).groupBy("shard").applyInArrow(reply, "chunk string, shard int, sums binary, known binary, ids array<long>, n array<long>, tokens long, types long"))
+    replied = materialise(docs.mapInArrow(send, sent).groupBy("shard").applyInArrow(reply, "chunk string, shard int, docs binary, sums binary, known binary, ids array<long>, own array<long>, n array<long>, tokens long, types long"))
     total = replied.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
 
     def join(table):
         rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
-        sums = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0)
-        known = np.sum([np.frombuffer(r["known"], np.int32) for r in rows], axis=0)
-        return pa.table({"doc_id": pa.array(rows[0]["ids"], pa.int64()), "n_tokens": pa.array(rows[0]["n"], pa.int64()), "n_known": pa.array(known, pa.int64()), "log_sum": pa.array(sums)})
-
-    out = replied.groupBy("chunk").applyInArrow(join, "doc_id long, n_tokens long, n_known long, log_sum double")
+        sums, known = np.zeros(len(rows[0]["n"])), np.zeros(len(rows[0]["n"]), np.int64)
+        for r in rows:
+            at = np.frombuffer(r["docs"], np.uint32)
+            sums[at] += np.frombuffer(r["sums"])
+            known[at] += np.frombuffer(r["known"], np.uint32)
+        return pa.table({"doc_id": pa.array(rows[0]["ids"], pa.int64()), "_h": pa.array(rows[0]["own"], pa.int64()), "n_tokens": pa.array(rows[0]["n"], pa.int64()), "n_known": pa.array(known, pa.int64()), "log_sum": pa.array(sums)})
+
+    out = replied.groupBy("chunk").applyInArrow(join, "doc_id long, _h long, n_tokens long, n_known long, log_sum double")
     return out.withColumn("train_tokens", F.lit(total["n"]).cast("long")).withColumn("train_types", F.lit(total["v"]).cast("long"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits, n_bytes and bits_per_byte of docs (doc_id, text)."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"), fold.alias("_fold"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"), fold.alias("_fold")).withColumn("_h", F.xxhash64("text"))
     train = [f for f in range(FOLDS) if f != HELD_OUT]
-    codes = Codes(byte_pairs(_texts(docs, *train)))
+    pairs = byte_pairs(_texts(docs, *train))
+    codes = Codes(pairs, table_bits(int(pairs.sum())))
     tables = fit_tables(_texts(docs, *(f for f in train if f != TUNED)), codes)
     mixer = fit_mixer(_texts(docs, TUNED), codes, tables)
-    scored = score(docs, codes, tables, mixer)
-    base = unigram(docs.select("doc_id", "text", (F.col("_fold") != HELD_OUT).cast("int").alias("_train")))
-    out = _paired(scored, base)
+    scored = score(docs.select("doc_id", "_h", "text"), codes, tables, mixer)
+    base = unigram(docs.select("doc_id", "_h", "text", (F.col("_fold") != HELD_OUT).cast("int").alias("_train")))
+    # rows of one doc_id and one text have one result, which all of them get
+    base = base.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "log_sum", "train_tokens", "train_types")))
+    out = scored.join(base, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
     return out.select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -379,16 +443,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _paired(scored: DataFrame, base: DataFrame) -> DataFrame:
-    """Rows of both with one doc_id, the rows of a repeated doc_id paired by length."""
-    from pyspark.sql.window import Window
-
-    number = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    a = scored.withColumn("_k", number("n_bytes", "bits"))
-    b = base.withColumnRenamed("doc_id", "_d").withColumn("_j", F.row_number().over(Window.partitionBy("_d").orderBy("n_tokens", "log_sum")))
-    return a.join(b, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_j"))).drop("_k", "_d", "_j")
-
-
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """score_documents() of all documents."""
     out = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from .common import Recent, materialise, sliced, utf8
 
 CAPACITY = 2048
-#: Pieces of a length that meet in a task for their ranks, on the average.
-SALTED = 1 << 16
+#: Pieces of a length that meet in a task for their ranks, on the average, in more than SALTS tasks; up to there 256.
+SALTED, SALTS = 1 << 16, 64
 #: Gradient steps of the least-squares fit.
 STEPS = 150
 #: Words remembered in a task.
@@ -233,7 +233,7 @@ def make_plan(histogram: np.ndarray, capacity: int = CAPACITY, steps: int = STEP
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salted: int = SALTED) -> DataFrame:
     """pieces (with length) and sequence_id and offset; order: columns that tell the pieces of a length apart.
 
-    The pieces of a length are dealt over a salt for each `salted` of them.
+    The pieces of a length are dealt over a salt for each `salted` of them, and over up to SALTS in any case.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -242,13 +242,13 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salted:
     histogram = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length
         histogram[r["length"]] = r["n"]
-    salts = np.maximum(1, -(-histogram // salted))
+    salts = np.maximum(-(-histogram // salted), np.clip(-(-histogram // 256), 1, SALTS))
     many = spark.createDataFrame([(v, int(salts[v])) for v in range(capacity + 1)], "length long, _salts int")
     dealt = pieces.join(F.broadcast(many), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts")).cast("int"))
     start, sequence, offset = make_plan(histogram, capacity).arrays()
     column = np.cumsum(salts) - salts  # where each length's salts begin
     counts = np.zeros(int(salts.sum()), np.int64)
-    for r in dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length and for each `salted` pieces
+    for r in dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():  # at most SALTS rows for each length, and one for each `salted` pieces
         counts[column[r["length"]] + r["_salt"]] = r["n"]
     before = np.cumsum(counts) - counts  # lengths and their salts are numbered as the slots are
     shared = spark.sparkContext.broadcast((column, before, start, sequence, offset))
