@@ -200,8 +200,8 @@ def test_lm(spark, sf_dir):
 def test_lm_probabilities_add_up(spark):
     """The chances of all 257 symbols after any text add up to 1."""
     rng = np.random.default_rng(2)
-    codes = lm_scoring.Codes(rng.integers(0, 50, (256, 257)))
-    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm_scoring.sizes(codes)]
+    codes = lm_scoring.Codes(rng.integers(0, 50, (256, 257)), np.array([99 * 256 + 32, 98 * 256 + 32]), rng.integers(0, 50, (2, 257)))
+    tables = [rng.integers(-60, 60, 1 << codes.width).astype(np.int8) for _ in range(3)]
     mixer = lm_scoring.Mixer()
     refined = mixer.refined()
     cost, total = lm_scoring.Costs(mixer, refined), 0.0
@@ -209,12 +209,12 @@ def test_lm_probabilities_add_up(spark):
         body = np.frombuffer(b"ab c" + (bytes([s]) if s < 256 else b""), np.uint8)
         levels = lm_scoring.decisions(codes, body, np.array([0, len(body)]))
         at, bits = next(levels).tolist().index(4), 0.0  # the symbol after "ab c"
-        for slots, bit in levels:
-            if len(bit) > at:
-                bits += cost(tables, slots, bit)[at]
-                x, gate = lm_scoring.looked_up(tables, slots)
+        for path, slots in levels:
+            if len(path) > at:
+                bits += cost(tables, path, slots)[at]
+                x, gate, bit = lm_scoring.looked_up(tables, path, slots)
                 one = [mixer.chance(float(z), int(g), refined) for z, g in zip(mixer.mixed(x, gate), gate)]
-                assert cost(tables, slots, bit) == pytest.approx([-math.log2(p if b else 1 - p) for p, b in zip(one, bit)], abs=0.05)
+                assert cost(tables, path, slots) == pytest.approx([-math.log2(p if b else 1 - p) for p, b in zip(one, bit)], abs=0.05)
         total += 2**-bits
     assert total == pytest.approx(1, abs=1e-9)
 

@@ -1,7 +1,7 @@
 """LM scoring: online logistic context mixing of hashed-context bit predictors (operator 4).
 
 A text is its UTF-8 bytes and an end symbol; each symbol is a row of binary decisions along a Huffman
-tree that depends on the byte before (so the decisions add up to a proper probability). Four
+tree that depends on the bytes before (so the decisions add up to a proper probability). Four
 predictors give each decision a log-odds from counts of a hashed context: the byte before, three
 bytes before, the beginning of the word, and that with the word before. A gate, chosen by how sure
 the two word predictors are, picks the weights that combine them; a second stage refines the mixed
@@ -9,7 +9,7 @@ probability by what came true at that gate and level.
 
 All parts learn from training documents alone, and all training documents take part:
 
-1. pairs of bytes are counted for the trees;
+1. symbols are counted behind the pairs of bytes before them, for the trees;
 2. six sevenths of the training documents are counted into the tables of the predictors: every task
    adds up its own tables, the sums meet block by block;
 3. on the last seventh the weights are learnt online, block after block, in each partition, and
@@ -50,7 +50,11 @@ LEAST_BITS, MOST_BITS = 16, 24
 BLOCK = 1 << 16
 PREDICTORS = 4
 CHUNK = 1 << 17
-#: Steps into which mixed log-odds are rounded for the cost of a decision.
+#: Pairs of bytes that have a tree of their own.
+PAIRS = 512
+#: Place of the log-odds in a decision.
+ODDS = 32
+#: Steps from -REACH to REACH to which mixed log-odds are rounded for the cost of a decision.
 COSTS = 1024
 #: Weight blocks: decisions between two updates of the weights.
 STEP = 1 << 16
@@ -65,14 +69,22 @@ def table_bits(n_bytes: int) -> int:
 
 
 class Codes:
-    """For each pair (byte before, symbol) its decisions: nodes (numbers over all trees) and bits; and what a node does to a context's slot (of 2^width)."""
+    """Binary decisions of each symbol in the tree of the bytes before it, with the log-odds of each node, and what a node does to a context's slot (of 2^width).
 
-    def __init__(self, pairs: np.ndarray, width: int = 21):
-        start, length, nodes, bits, n = np.zeros((256, 257), np.int64), np.zeros((256, 257), np.int64), [], [], 0
-        first = pairs.sum(axis=0) * 1e-4 + 1e-3
+    before: counts of (byte before, symbol). pairs: pairs of bytes (first * 256 + second) that have a tree of
+    their own, and the counts of the symbols behind each; behind other pairs the tree is that of the second byte.
+    """
+
+    def __init__(self, before: np.ndarray, pairs: np.ndarray | None = None, behind: np.ndarray | None = None, width: int = 21):
+        pairs = np.zeros(0, np.int64) if pairs is None else pairs
+        counts = np.concatenate([before, behind]) if len(pairs) else before
+        self.tree = np.tile(np.arange(256), 256)  # of each pair
+        self.tree[pairs] = 256 + np.arange(len(pairs))
+        start, length, path, n = np.zeros((len(counts), 257), np.int64), np.zeros((len(counts), 257), np.int64), [], 0
+        first = before.sum(axis=0) * 1e-4 + 1e-3
         total = 0
-        for before in range(256):
-            heap = [(float(c), s) for s, c in enumerate(pairs[before] + first)]
+        for t, row in enumerate(counts):
+            heap = [(float(c), s) for s, c in enumerate(row + first)]
             heapq.heapify(heap)
             parent: dict[int, tuple[int, int]] = {}
             inner = 257
@@ -81,20 +93,33 @@ class Codes:
                 parent[a[1]], parent[b[1]] = (inner, 0), (inner, 1)
                 heapq.heappush(heap, (a[0] + b[0], inner))
                 inner += 1
+            came = np.zeros((257 + 256, 2))  # of each inner node: how often 0 and 1
+            weight = np.zeros(257 + 256)
+            weight[:257] = row
+            for at in range(257 + 255):  # children come before their parents
+                up, bit = parent[at]
+                weight[up] += weight[at]
+                came[up, bit] = weight[at]
+            odds = _odds(came[:, 1], came[:, 0])
             for s in range(257):
-                path, at = [], s
+                at, own = s, []
                 while at in parent:
                     at, bit = parent[at]
-                    path.append((n + at - 257, bit))
-                start[before, s], length[before, s] = total, len(path)
-                total += len(path)
-                nodes += [x for x, _ in reversed(path)]
-                bits += [x for _, x in reversed(path)]
+                    own.append((bit, n + at - 257, odds[at]))
+                start[t, s], length[t, s] = len(path), len(own)
+                path += reversed(own)
             n += 256
-        self.start, self.length = start.ravel(), length.ravel()
-        self.nodes, self.bits, self.n, self.width = np.array(nodes, np.int64), np.array(bits, np.int64), n, width
+        self.start, self.length, self.width = start.ravel(), length.ravel().astype(np.uint8), width
+        bit, node, odds = (np.array(x, np.int64) for x in zip(*path))
         with np.errstate(over="ignore"):
-            self.spread = (mix(self.nodes.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - width)).astype(np.int64)
+            spread = (mix(node.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - width)).astype(np.int64)
+        #: Of each decision of each path: its bit, what it does to a slot, and above ODDS the node's own log-odds as a byte.
+        self.path = odds.astype(np.uint8).astype(np.int64) << ODDS | spread << 1 | bit
+
+
+def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Log-odds in sixteenths."""
+    return np.clip(np.rint(16 * np.log((ones + 0.4) / (zeros + 0.4))), -127, 127).astype(np.int8)
 
 
 def symbols(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,70 +129,76 @@ def symbols(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     inside = np.ones(len(out), bool)
     inside[begin[1:] - 1] = False
     out[inside] = body
-    before = np.zeros(len(out), np.int64)
-    before[1:] = out[:-1]
-    before[begin[:-1]] = 0
-    return out, before, begin
+    return out, _earlier(out, begin), begin
+
+
+def _earlier(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """What stands before each place of its text, 0 at a start."""
+    out = np.zeros(len(x), x.dtype)
+    out[1:] = x[:-1]
+    out[begin[:-1]] = 0
+    return out
 
 
-def contexts(sym: np.ndarray, before: np.ndarray, begin: np.ndarray, width: int) -> list[np.ndarray]:
+def contexts(sym: np.ndarray, before: np.ndarray, two: np.ndarray, begin: np.ndarray, width: int) -> list[np.ndarray]:
     """For each symbol a slot (of 2^width) for the contexts of three bytes, of the word's beginning, and of that and the word before."""
     n = len(sym)
     with np.errstate(over="ignore"):
-        place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
-        two, three = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        two[1:], three[2:] = before[:-1], before[:-2]
-        three = before + (np.where(place > 1, two, 0) << 8) + (np.where(place > 2, three, 0) << 16)
-        low = np.minimum(sym, 255)
-        blank = _BLANK[low]
+        three = before + (two << 8) + (_earlier(two, begin) << 16)
+        low = np.minimum(sym, 255).astype(np.uint8)
         first = np.zeros(n, bool)
-        first[1:] = blank[:-1]
+        first[1:] = _BLANK[low[:-1]]
         first[begin[:-1]] = True
-        word = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        words = np.flatnonzero(first)
+        size = np.diff(words, append=n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_LOWER[low] * powers(_P, n), out=total[1:])
-        prefix = (total[:n] - total[word]) * powers(_PINV, n + 1)[word]
-        last = np.where(place == np.arange(n) - word, np.uint64(0), prefix[word - 1])  # none in a text's first word
-        slot = lambda x: ((x * _GOLD ^ x >> np.uint64(29)) * _M1 >> np.uint64(64 - width)).astype(np.int64)
-        return [slot(three.astype(np.uint64) + np.uint64(1 << 40)), slot(prefix + np.uint64(12345)), slot(prefix * np.uint64(3) + (last + np.uint64(1)) * _M2)]
-
-
-def decisions(codes: Codes, body: np.ndarray, at: np.ndarray, with_bit: bool = False):
-    """Level after level of the trees: the symbols (by a place in one order, in which those that go deeper come first) and, for the first of them, slots of each predictor and bits.
-
-    First comes that order. with_bit: slots are doubled and hold the bit, and no bits are given.
+        prefix = total[:n] - np.repeat(total[words], size)
+        prefix *= np.repeat(powers(_PINV, n + 1)[words], size)
+        last = prefix[words - 1] * _M2 + _GOLD
+        last[np.searchsorted(words, begin[:-1])] = 0  # none in a text's first word
+        pair = prefix * np.uint64(3)
+        pair += np.repeat(last, size)
+        out = []
+        for x in (three.astype(np.uint64), prefix + np.uint64(12345), pair):
+            x = x ^ (x >> np.uint64(31))
+            x *= _GOLD
+            x >>= np.uint64(64 - width)
+            out.append(x.view(np.int64))
+        return out
+
+
+def decisions(codes: Codes, body: np.ndarray, at: np.ndarray):
+    """Level after level of the trees: the symbols (by a place in one order, in which those that go deeper come first) and, for the first of them, their decisions (of Codes.path) and doubled slots with the bit of each hashed predictor.
+
+    First comes that order.
     """
     sym, before, begin = symbols(body, at)
-    pair = before * 257 + sym
-    n = codes.length[pair].astype(np.uint8)
+    two = _earlier(before, begin)
+    at_pair = codes.tree[two * 256 + before] * 257 + sym
+    n = codes.length[at_pair]
     order = np.argsort(np.uint8(255) - n, kind="stable")
     yield order
-    start = codes.start[pair][order]
-    context = [c[order] for c in contexts(sym, before, begin, codes.width)]
-    nodes, spread = (codes.nodes, codes.spread) if not with_bit else (2 * codes.nodes + codes.bits, 2 * codes.spread + codes.bits)
-    if with_bit:
-        context = [2 * c for c in context]
+    start = codes.start[at_pair[order]]
+    context = [2 * c[order] for c in contexts(sym, before, two, begin, codes.width)]
     left = len(n) - np.cumsum(np.bincount(n))  # symbols that go deeper than each level
     for level in range(int(n.max(initial=0))):
         m = int(left[level])
-        path = start[:m] + level
-        moved = spread[path]
-        yield [nodes[path], *(c[:m] ^ moved for c in context)], None if with_bit else codes.bits[path]
-
-
-def sizes(codes: Codes) -> list[int]:
-    return [codes.n, *[1 << codes.width] * (PREDICTORS - 1)]
+        path = codes.path[start[:m] + level]
+        moved = path & ((2 << codes.width) - 1)
+        yield path, [c[:m] ^ moved for c in context]
 
 
 SURE = np.array([0 if v == 0 else 1 if abs(v) < 24 else 2 for v in [*range(128), *range(-128, 0)]], np.uint8)  # indexed by the byte
 
 
-def looked_up(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(predictors, decisions) log-odds in sixteenths, and the gate of each decision."""
-    x = np.empty((len(tables), len(slots[0])), np.int8)
+def looked_up(tables: list[np.ndarray], path: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(predictors, decisions) log-odds in sixteenths, the gate and the bit of each decision."""
+    x = np.empty((PREDICTORS, len(path)), np.int8)
+    x[0] = path >> ODDS
     for k, (t, s) in enumerate(zip(tables, slots)):
-        np.take(t, s, out=x[k])
-    return x, SURE[x[3].view(np.uint8)] * 3 + SURE[x[2].view(np.uint8)]
+        np.take(t, s >> 1, out=x[k + 1])
+    return x, SURE[x[3].view(np.uint8)] * 3 + SURE[x[2].view(np.uint8)], path & 1
 
 
 GATES = 9
@@ -224,55 +255,71 @@ class Costs:
         odds = np.arange(256, dtype=np.uint8).view(np.int8) / 16
         last, word = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
         gate = SURE[last] * np.int64(3) + SURE[word]
-        self.scale, self.middle = COSTS / (2.6 * REACH), COSTS // 2
-        step = lambda z: (self.scale * z).astype(np.float32)
-        self.words = (step(w[gate, 3] * odds[last] + w[gate, 2] * odds[word] + w[gate, -1]) + np.float32(self.middle)).ravel()
-        self.gate = (gate * 256).ravel()
+        scale = COSTS / (2 * REACH)
+        step = lambda z: (scale * z).astype(np.float32)
+        words = step(w[gate, 3] * odds[last] + w[gate, 2] * odds[word] + w[gate, -1])
         self.first, self.third = (step(w[:, k : k + 1] * odds[None, :]).ravel() for k in (0, 1))
-        z = (np.arange(COSTS + 1) - self.middle) / self.scale
-        p = np.stack([mixer.chance(z, g, refined) for g in range(GATES)])
+        least, most = (int(f(words) + f(self.first) + f(self.third)) for f in (np.min, np.max))
+        self.words = (words - np.float32(least - 2.5)).ravel()  # so that cutting rounds, and no step is negative
+        self.gate, self.steps = (gate * 256).ravel(), most - least + 5
+        p = np.stack([mixer.chance(np.clip((np.arange(self.steps) + least - 2) / scale, -1.3 * REACH, 1.3 * REACH), g, refined) for g in range(GATES)])
         self.cost = -np.log2(np.stack([1 - p, p], axis=1)).ravel()  # by gate, bit, step
 
-    def __call__(self, tables: list[np.ndarray], slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    def __call__(self, tables: list[np.ndarray], path: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """Bits that each decision costs."""
-        x = [np.take(t, s).view(np.uint8) for t, s in zip(tables, slots)]
-        pair = x[3].astype(np.int64) << 8 | x[2]
+        three, word, last = (t[s >> 1].view(np.uint8) for t, s in zip(tables, slots))
+        pair = last.astype(np.int64) << 8
+        pair |= word
         gate = self.gate[pair]
-        z = self.words[pair] + self.first[gate + x[0]] + self.third[gate + x[1]]
-        at = np.clip(np.rint(z), 0, COSTS).astype(np.int64)
-        return self.cost[((gate >> 7) + bit) * (COSTS + 1) + at]
+        z = self.words[pair]
+        z += self.first[gate + (path >> ODDS)]
+        z += self.third[gate + three]
+        at = z.astype(np.int64)
+        gate >>= 7
+        gate |= path & 1
+        gate *= self.steps
+        at += gate
+        return self.cost[at]
 
 
 def _texts(docs: DataFrame, *folds: int) -> DataFrame:
     return docs.where(F.col("_fold").isin(list(folds))).select("text")
 
 
-def byte_pairs(docs: DataFrame) -> np.ndarray:
+def fit_codes(docs: DataFrame) -> Codes:
+    """The trees of single bytes and of the PAIRS most frequent pairs, from what comes behind them in all texts."""
+
     def run(batches):
-        total = np.zeros(256 * 257, np.int64)
+        total = np.zeros(65536 * 257, np.int32)
         for batch in sliced(batches, "text", 4 * CHUNK):
-            sym, before, _ = symbols(*utf8(batch.column("text")))
-            total += np.bincount(before * 257 + sym, minlength=len(total))
+            sym, before, begin = symbols(*utf8(batch.column("text")))
+            np.add.at(total, (_earlier(before, begin) * 256 + before) * 257 + sym, np.int32(1))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at // 257, pa.int32()), pa.array(at % 257, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "symbol", "n"])
 
-    out = np.zeros(256 * 257, np.int64)
-    for r in docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,792 rows
-        out[r["pair"]] = r["n"]
-    return out.reshape(256, 257)
+    counts = materialise(docs.mapInArrow(run, "pair int, symbol int, n long").groupBy("pair", "symbol").agg(F.sum("n").alias("n")))
+    before = np.zeros((256, 257), np.int64)
+    for r in counts.groupBy(F.pmod("pair", F.lit(256)).alias("before"), "symbol").agg(F.sum("n").alias("n")).collect():  # at most 65,792 rows
+        before[r["before"], r["symbol"]] = r["n"]
+    most = counts.groupBy("pair").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "pair").limit(PAIRS)
+    pairs = sorted(r["pair"] for r in most.collect())
+    place, behind = {p: i for i, p in enumerate(pairs)}, np.zeros((len(pairs), 257), np.int64)
+    for r in counts.where(F.col("pair").isin(pairs)).collect():  # at most 257 rows a pair
+        behind[place[r["pair"]], r["symbol"]] = r["n"]
+    return Codes(before, np.array(pairs, np.int64), behind, table_bits(int(before.sum())))
 
 
 def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
-    """Log-odds in sixteenths of each predictor's slots, from counts over all texts."""
+    """Log-odds in sixteenths of each hashed predictor's slots, from counts over all texts."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches):
         codes = shared.value
-        tables = [np.zeros(2 * n, np.int32) for n in sizes(codes)]
+        tables = [np.zeros(2 << codes.width, np.int32) for _ in range(PREDICTORS - 1)]
         for batch in sliced(batches, "text", CHUNK):
-            levels = decisions(codes, *utf8(batch.column("text")), with_bit=True)
+            levels = decisions(codes, *utf8(batch.column("text")))
             next(levels)
-            for slots, _ in levels:
+            for _, slots in levels:
                 for t, s in zip(tables, slots):
                     np.add.at(t, s, np.int32(1))  # of the table's own type: many times faster
         press = zstandard.ZstdCompressor(level=1)
@@ -288,10 +335,10 @@ def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
         for batch in batches:  # one after another: a sum is held, not what is summed
             for c in batch.column("counts"):
                 total = total + np.frombuffer(open_.decompress(c.as_py()), np.int32)
-        odds = np.clip(np.rint(16 * np.log((total[1::2] + 0.4) / (total[::2] + 0.4))), -127, 127).astype(np.int8)
+        odds = _odds(total[1::2], total[::2])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([odds.tobytes()], pa.binary())], names=["k", "block", "odds"])
 
-    out = [np.zeros(n, np.int8) for n in sizes(codes)]
+    out = [np.zeros(1 << codes.width, np.int8) for _ in range(PREDICTORS - 1)]
     counted = docs.mapInArrow(run, "k int, block int, counts binary")
     for r in counted.groupBy("k", "block").applyInArrow(add, "k int, block int, odds binary").collect():  # at most 3 * 2^MOST_BITS bytes
         part = np.frombuffer(r["odds"], np.int8)
@@ -308,12 +355,11 @@ def fit_mixer(docs: DataFrame, codes: Codes, tables: list[np.ndarray]) -> Mixer:
         for batch in sliced(batches, "text", CHUNK):
             levels = decisions(codes, *utf8(batch.column("text")))
             next(levels)
-            parts = [(*looked_up(tables, slots), bit) for slots, bit in levels]
+            parts = [looked_up(tables, path, slots) for path, slots in levels]
             x, gate, bit = (np.concatenate(p, axis=-1) for p in zip(*parts))
-            mixed = np.argsort(mix(np.arange(len(bit), dtype=np.uint64)))  # so that each step sees all levels
-            x, gate, bit = x[:, mixed], gate[mixed], bit[mixed]
-            for i in range(0, len(bit), STEP):
-                mixer.learn(x[:, i : i + STEP], gate[i : i + STEP], bit[i : i + STEP])
+            steps = -(-len(bit) // STEP)
+            for i in range(steps):  # each step sees all levels
+                mixer.learn(x[:, i::steps], gate[i::steps], bit[i::steps])
             seen += len(bit)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([mixer.weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([mixer.came.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "weights", "came"])
@@ -341,8 +387,8 @@ def score(docs: DataFrame, codes: Codes, tables: list[np.ndarray], mixer: Mixer)
             levels = decisions(codes, body, at)
             text = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)[next(levels)]
             total = np.zeros(len(text))
-            for slots, bit in levels:
-                total[: len(bit)] += costs(tables, slots, bit)
+            for path, slots in levels:
+                total[: len(path)] += costs(tables, path, slots)
             return [pa.array(np.diff(at)), pa.array(np.bincount(text, total, len(at) - 1))]
 
         return work
@@ -425,10 +471,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits, n_bytes and bits_per_byte of docs (doc_id, text)."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text"), fold.alias("_fold")).withColumn("_h", F.xxhash64("text"))
-    train = [f for f in range(FOLDS) if f != HELD_OUT]
-    pairs = byte_pairs(_texts(docs, *train))
-    codes = Codes(pairs, table_bits(int(pairs.sum())))
-    tables = fit_tables(_texts(docs, *(f for f in train if f != TUNED)), codes)
+    train = [f for f in range(FOLDS) if f != HELD_OUT]  # the base's fold is HELD_OUT alone
+    counted = _texts(docs, *(f for f in train if f != TUNED))
+    codes = fit_codes(counted)
+    tables = fit_tables(counted, codes)
     mixer = fit_mixer(_texts(docs, TUNED), codes, tables)
     scored = score(docs.select("doc_id", "_h", "text"), codes, tables, mixer)
     base = unigram(docs.select("doc_id", "_h", "text", (F.col("_fold") != HELD_OUT).cast("int").alias("_train")))
