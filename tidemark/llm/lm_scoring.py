@@ -100,17 +100,20 @@ class Codes:
                 up, bit = parent[at]
                 weight[up] += weight[at]
                 came[up, bit] = weight[at]
-            odds = _odds(came[:, 1], came[:, 0])
+            odds = _odds(came[:, 1], came[:, 0]).tolist()
+            own: list[int] = []  # bit, node and odds of each decision
             for s in range(257):
-                at, own = s, []
+                at, up = s, []
                 while at in parent:
                     at, bit = parent[at]
-                    own.append((bit, n + at - 257, odds[at]))
-                start[t, s], length[t, s] = len(path), len(own)
-                path += reversed(own)
+                    up += (odds[at], n + at - 257, bit)
+                start[t, s], length[t, s] = total + len(own) // 3, len(up) // 3
+                own += reversed(up)
+            path.append(np.array(own, np.int64).reshape(-1, 3))
+            total += len(path[-1])
             n += 256
         self.start, self.length, self.width = start.ravel(), length.ravel().astype(np.uint8), width
-        bit, node, odds = (np.array(x, np.int64) for x in zip(*path))
+        bit, node, odds = np.concatenate(path).T
         with np.errstate(over="ignore"):
             spread = (mix(node.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - width)).astype(np.int64)
         #: Of each decision of each path: its bit, what it does to a slot, and above ODDS the node's own log-odds as a byte.
