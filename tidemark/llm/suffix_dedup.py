@@ -25,6 +25,8 @@ are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +41,8 @@ from .near_dedup import _GOLD, _M1, _M2, mix, powers
 
 LENGTH = 50
 K = 16
+#: Column by which texts are dealt.
+KEY = "_key"
 CHUNK = 2 << 20
 #: Bytes of segments for each shard; a segment is about 66 bytes for 17 new ones.
 SHARD_BYTES, SPREAD = 12 << 20, 4
@@ -110,6 +114,29 @@ def gathered(body: np.ndarray, start: np.ndarray, size: np.ndarray, gap: int = 0
     return out
 
 
+def unlike(body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each range but the first differs from the one before it, byte by byte, of ranges whose sizes are equal if their hashes are."""
+    out = size[1:] != size[:-1]
+    at = np.flatnonzero(~out)
+    for a, b in _blocks(size[at]):
+        i = at[a:b]
+        n = size[i]
+        differ = gathered(body, start[i], n) != gathered(body, start[i + 1], n)
+        out[i] = np.add.reduceat(differ, np.cumsum(n) - n) > 0
+    return out
+
+
+def kinds(name: np.ndarray, h: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each segment differs from the one before it; segments come by name, hash and size."""
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    at = np.flatnonzero(~new)  # equal as far as 64 bits of hash say
+    if len(at):
+        use = np.union1d(at - 1, at)
+        new[use[1:]] |= unlike(body, start[use], size[use]) & ~new[use[1:]]
+    return new
+
+
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of each doc joined where they touch."""
     if not len(doc):
@@ -164,6 +191,12 @@ def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least:
     return segment[found].astype(np.int64), found - begin[segment[found]]
 
 
+def _several(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which rows have a key, of sorted ones, that holds several values."""
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return np.repeat(np.minimum.reduceat(value, edge) != np.maximum.reduceat(value, edge), np.diff(np.append(edge, len(key))))
+
+
 def _tags(name: np.ndarray) -> np.ndarray:
     return (name >> np.uint64(32)).astype(np.uint32)
 
@@ -231,7 +264,7 @@ def with_tags(name: np.ndarray, doc: np.ndarray, tags: list[bytes | None]) -> np
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start and stop (byte places) of ranges to remove; ranges of a document may overlap."""
+    """doc_id, start and stop (byte places) of ranges to remove; ranges of a document may overlap. docs: KEY, text and more, of keyed()."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-SPREAD * total // SHARD_BYTES))
 
@@ -240,15 +273,13 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in sliced(batches, "text", CHUNK):
             body, at = utf8(batch.column("text"))
             name, doc, start, size = segments(body, at, length)
-            use = with_tags(name, doc, batch.column("tags").to_pylist())
+            use = with_tags(name, doc, batch.column("tags").to_pylist())  # none without a doc_id
             name, doc, start, size = name[use], doc[use], start[use], size[use]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc] if len(doc) else doc
+            ids = batch.column(KEY).to_numpy()[doc]
             h = hashed(body, start, size)
             order = np.lexsort((ids, size, h, name))
             name, doc, start, size, ids, h = (x[order] for x in (name, doc, start, size, ids, h))
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (h[1:] != h[:-1]) | (size[1:] != size[:-1])
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(kinds(name, h, body, start, size))
             least = np.repeat(ids[first], np.diff(np.append(first, len(name))))
             place = start - at[doc]
             gone = ids > least
@@ -269,56 +300,63 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(lists[0], pa.int32()), *(pa.array(x, pa.binary()) for x in lists[1:])], names=["shard", "bytes", "size", "name", "ids", "place", "stop"])
 
-    def resolve(table):
+    def resolve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        out = []
+        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], schema=RANGES)
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for r in range(table.num_rows):
-            get = lambda c, kind, r=r: np.frombuffer(open_(table.column(c)[r].as_py()), kind)
-            if table.column("stop")[r].is_valid:
-                out.append((get("ids", np.int64), get("place", np.int64), get("stop", np.int64)))
-                continue
-            for x, v in zip(parts, (get("bytes", np.uint8), get("size", np.uint32), get("name", np.uint32), get("ids", np.int64), get("place", np.int64))):
-                x.append(v)
-        if parts[0]:
-            body, size, name, ids, place = (np.concatenate(x) for x in parts)
-            del parts
-            size = size.astype(np.int64)
-            start = np.cumsum(size) - size
-            order = np.argsort(name, kind="stable")
-            edge = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
-            count = np.diff(np.append(edge, len(order)))
-            several = np.repeat(np.minimum.reduceat(ids[order], edge) != np.maximum.reduceat(ids[order], edge), count)
-            keep = np.sort(order[several])
-            body = gathered(body, start[keep], size[keep])
-            size, ids, place = size[keep], ids[keep], place[keep]
-            start = np.cumsum(size) - size
-            if len(size):
-                h = hashed(body, start, size)
-                order = np.lexsort((ids, size, h))
-                new = np.append(True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1]))
-                edge = np.flatnonzero(new)
-                kind = np.empty(len(order), np.int64)
-                kind[order] = np.cumsum(new) - 1
-                one = order[edge]  # of equal segments that of the least doc_id
-                least = ids[one]
-                gone = ids > least[kind]
-                out.append((ids[gone], place[gone], (place + size)[gone]))
-                which, offset = runs_in_shard(body, start[one], size[one], least, length)
-                if len(which):
-                    own = np.flatnonzero(~gone)
-                    own = own[np.argsort(kind[own], kind="stable")]
-                    begin = np.searchsorted(kind[own], np.arange(len(one) + 1))
-                    which, low, high = merged(which, offset, offset + length)
-                    n = (begin[1:] - begin[:-1])[which]
-                    at = own[np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    out.append((ids[at], place[at] + np.repeat(low, n), place[at] + np.repeat(high, n)))
-        rows = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(x, pa.int64()) for x in merged(*rows)], schema=RANGES)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c, kind, r=r: np.frombuffer(open_(batch.column(c)[r].as_py()), kind)
+                if batch.column("stop")[r].is_valid:
+                    yield rows((get("ids", np.int64), get("place", np.int64), get("stop", np.int64)))
+                    continue
+                for x, v in zip(parts, (get("bytes", np.uint8), get("size", np.uint32), get("name", np.uint32), get("ids", np.int64), get("place", np.int64))):
+                    x.append(v)
+        if not parts[0]:
+            return
+        body, size, name, ids, place = (np.concatenate(x) for x in parts)
+        del parts
+        size = size.astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.argsort(name, kind="stable")
+        order = order[_several(name[order], ids[order])]  # names that one document has alone leave
+        if not len(order):
+            return
+        keep = np.sort(order)
+        body = gathered(body, start[keep], size[keep])
+        size, name, ids, place = size[keep], name[keep], ids[keep], place[keep]
+        start = np.cumsum(size) - size
+        h = hashed(body, start, size)
+        order = np.lexsort((ids, size, h, name))
+        new = kinds(name[order], h[order], body, start[order], size[order])
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        one = order[new]  # of equal segments that of the least doc_id
+        least = ids[one]
+        gone = ids > least[kind]
+        yield rows(merged(ids[gone], place[gone], (place + size)[gone]))
+        # a name of one kind of segment has no more to say; the others are sorted
+        open_kinds = _several(name[one], np.arange(len(one)))
+        if not open_kinds.any():
+            return
+        number = np.flatnonzero(open_kinds)
+        use = one[open_kinds]
+        which, offset = runs_in_shard(body, start[use], size[use], least[number], length)
+        if len(which):
+            own = np.flatnonzero(~gone)
+            own = own[np.argsort(kind[own], kind="stable")]
+            begin = np.searchsorted(kind[own], np.arange(len(one) + 1))
+            which, low, high = merged(which, offset, offset + length)
+            which = number[which]
+            n = (begin[1:] - begin[:-1])[which]
+            at = own[np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            yield rows(merged(ids[at], place[at] + np.repeat(low, n), place[at] + np.repeat(high, n)))
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    tagged = docs.select("doc_id", "text").join(shared_names(known, shards, length), "doc_id")
-    sent = tagged.select("doc_id", "text", "tags").mapInArrow(send, "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
+    tags = shared_names(known, shards, length).withColumnRenamed("doc_id", "_doc")
+    # all columns go along and no row is left out, so that Spark deals the texts once for this join and the one in dedup()
+    tagged = docs.join(tags, F.col(KEY) == F.col("_doc"), "left").withColumn("tags", F.when(F.col("doc_id").isNotNull(), F.col("tags")))
+    sent = tagged.mapInArrow(send, "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
     return sent.groupBy("shard").applyInArrow(resolve, "doc_id long, start long, stop long")
 
 
@@ -330,12 +368,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataF
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     out = ["kept", "n_bytes", "n_removed", "n_spans"]
-    docs = docs.drop(*out, "_ranges").withColumn("text", null_safe_text())
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = removed_ranges(plain, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
-    ranges = ranges.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(ranges, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    own = [f for f in docs.schema.fields if f.name != "text"]
+    docs = docs.drop(*out, "_ranges", "_doc", KEY).withColumn("text", null_safe_text())
+    # rows without a doc_id are dealt by their text, and meet nothing
+    own = docs.schema.fields
+    docs = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    ranges = removed_ranges(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
+    joined = docs.join(ranges.withColumnRenamed("doc_id", "_doc"), F.col(KEY) == F.col("_doc"), "left")
+    joined = joined.withColumn("_ranges", F.when(F.col("doc_id").isNotNull(), F.col("_ranges"))).drop("_doc", KEY)
+    own = [f for f in own if f.name != "text"]
 
     def run(batches):
         for batch in sliced(batches, "text", CHUNK):
