@@ -2,26 +2,28 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last,
 returns the columns of documents; run() writes what a stage returns and reads it for the next.
-A document with a null doc_id passes the stages that go by doc_id.
+A document with a null doc_id passes the near-duplicate and passage stages, which go by doc_id; rows
+that share a doc_id are one document there.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, packing, quality_rules, suffix_dedup, toxicity
+from tidemark.llm import common, near_dedup, packing, quality_rules, suffix_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rejected = quality_rules.judge(docs.select("doc_id", "text", "lang", "source")).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    row = F.xxhash64("text", "lang", "source").alias("_row")  # rows of one doc_id are judged each by itself
+    judged = quality_rules.judge(docs.select("doc_id", "text", "lang", "source", row)).where("not kept").select(F.col("doc_id").alias("_id"), "_row")
+    own = docs.select(*COLUMNS, row.alias("_own"))
+    return own.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left_anti").select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
