@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, tidied
 
 BOOKS, WORDS, BEAM = 12, 256, 6
 SAMPLE, ROUNDS, KMEANS_STEPS = 8000, 2, 8
@@ -116,7 +116,7 @@ def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFram
                 norm = (decoded(codes, books).astype(np.float64) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
 
-    return materialise(rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, norm double")), books
+    return materialise(rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary, norm double")), books
 
 
 def lowest(score: np.ndarray, n: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def search_block(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries:
         row, column = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_v[row, column]), pa.array(best_d[row, column])], names=["query_id", "vec_id", "score"])
 
-    return index.select("vec_id", "embedding", "codes", "norm").mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.select("vec_id", "embedding", "codes", "norm").mapInArrow(tidied(run), "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK, vector: str = "embedding") -> DataFrame:

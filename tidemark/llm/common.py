@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -38,9 +41,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch on its way to Python and back; a task holds a few of them.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: 10,000 rows of long texts would be far more."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidied(run):
+    """run (a function for mapInArrow) that gives memory back at the end: an idle Python worker keeps what it once had."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint in shared_folder()."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -106,7 +135,8 @@ def append_columns(df: DataFrame, make, fields: str, most_bytes: int = 4 << 20,
             work = work or make()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *work(batch)], names=[*keep, *(f.name for f in new.fields)])
 
-    return df.mapInArrow(run, StructType([*own, *new.fields]))
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidied(run), StructType([*own, *new.fields]))
 
 
 class Recent:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialise, sliced, utf8
+from .common import append_columns, materialise, sliced, tidied, utf8
 from .url_filters import SUFFIX, _domain, url_parts
 
 #: Weight of the text's log-likelihood, and the most bytes it counts for.
@@ -76,7 +76,7 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "pair", "n"])
 
     labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast(StringType()), "text")
-    rows = labelled.mapInArrow(run, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows a language at most
+    rows = labelled.mapInArrow(tidied(run), "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows a language at most
     langs = sorted(rows["lang"].unique())
     n = np.zeros((len(langs), 256, 256))
     for i, lang in enumerate(langs):

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialise, null_safe_text, sliced, utf8
+from .common import append_columns, materialise, null_safe_text, sliced, tidied, utf8
 from .near_dedup import _BLANK, _GOLD, _LOWER, _M1, _M2, _P, _PINV, mix, powers, word_hashes
 
 END = 256
@@ -300,7 +300,7 @@ def fit_codes(docs: DataFrame) -> Codes:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // 257, pa.int32()), pa.array(at % 257, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "symbol", "n"])
 
-    counts = materialise(docs.mapInArrow(run, "pair int, symbol int, n long").groupBy("pair", "symbol").agg(F.sum("n").alias("n")))
+    counts = materialise(docs.mapInArrow(tidied(run), "pair int, symbol int, n long").groupBy("pair", "symbol").agg(F.sum("n").alias("n")))
     before = np.zeros((256, 257), np.int64)
     for r in counts.groupBy(F.pmod("pair", F.lit(256)).alias("before"), "symbol").agg(F.sum("n").alias("n")).collect():  # at most 65,792 rows
         before[r["before"], r["symbol"]] = r["n"]
@@ -342,7 +342,7 @@ def fit_tables(docs: DataFrame, codes: Codes) -> list[np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([odds.tobytes()], pa.binary())], names=["k", "block", "odds"])
 
     out = [np.zeros(1 << codes.width, np.int8) for _ in range(PREDICTORS - 1)]
-    counted = docs.mapInArrow(run, "k int, block int, counts binary")
+    counted = docs.mapInArrow(tidied(run), "k int, block int, counts binary")
     for r in counted.groupBy("k", "block").applyInArrow(add, "k int, block int, odds binary").collect():  # at most 3 * 2^MOST_BITS bytes
         part = np.frombuffer(r["odds"], np.int8)
         out[r["k"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
@@ -367,7 +367,7 @@ def fit_mixer(docs: DataFrame, codes: Codes, tables: list[np.ndarray]) -> Mixer:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([mixer.weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([mixer.came.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "weights", "came"])
 
-    rows = docs.mapInArrow(run, "n long, weights array<double>, came array<double>")
+    rows = docs.mapInArrow(tidied(run), "n long, weights array<double>, came array<double>")
     long = rows.select("n", F.posexplode(F.concat(F.transform("weights", lambda w: w * F.col("n")), "came")).alias("i", "v"))
     found = {r["i"]: (r["v"], r["n"]) for r in long.groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
     mixer = Mixer()
@@ -454,7 +454,7 @@ def unigram(docs: DataFrame) -> DataFrame:
         one = [0] * len(words)
         return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), **{c: pa.array(x, pa.binary()) for c, x in (("docs", met), ("sums", sums), ("known", known))}, "ids": table.column("ids"), "own": table.column("own"), "n": table.column("n"), "tokens": pa.array([int(count.sum()), *one[1:]], pa.int64()), "types": pa.array([int((count > 0).sum()), *one[1:]], pa.int64())})
 
-    replied = materialise(docs.mapInArrow(send, sent).groupBy("shard").applyInArrow(reply, "chunk string, shard int, docs binary, sums binary, known binary, ids array<long>, own array<long>, n array<long>, tokens long, types long"))
+    replied = materialise(docs.mapInArrow(tidied(send), sent).groupBy("shard").applyInArrow(reply, "chunk string, shard int, docs binary, sums binary, known binary, ids array<long>, own array<long>, n array<long>, tokens long, types long"))
     total = replied.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
 
     def join(table):

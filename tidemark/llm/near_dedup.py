@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialise, null_safe_text, release, sliced, utf8
+from .common import append_columns, materialise, null_safe_text, release, sliced, tidied, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -169,7 +169,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([f"{TaskContext.get().partitionId()}/{k}"]), *(pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "hash")), *(pa.array([press(x.tobytes())], pa.binary()) for x in (body, at))]
             yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "doc_id", "hash", "body", "at"])
 
-    return materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(pack, "chunk string, doc_id array<long>, hash array<long>, body binary, at binary"))
+    return materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(tidied(pack), "chunk string, doc_id array<long>, hash array<long>, body binary, at binary"))
 
 
 def document_frequencies(packed: DataFrame, bits: int) -> DataFrame:
@@ -210,7 +210,7 @@ def document_frequencies(packed: DataFrame, bits: int) -> DataFrame:
         df[order] = total[np.cumsum(new) - 1]
         return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "df": pa.array([press(x.tobytes()) for x in np.split(df, ends[:-1])], pa.binary())})
 
-    sent = packed.select("chunk", "body", "at").mapInArrow(send, "chunk string, shard int, hashes binary, at binary, n binary")
+    sent = packed.select("chunk", "body", "at").mapInArrow(tidied(send), "chunk string, shard int, hashes binary, at binary, n binary")
     return sent.groupBy("shard").applyInArrow(reply, "chunk string, shard int, df binary")
 
 
@@ -257,7 +257,7 @@ def shared_weight(texts: DataFrame, weights: Weights) -> DataFrame:
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(total)})
 
-    sent = texts.select("doc_id", "text", "df").mapInArrow(send, "chunk string, shard int, value binary, doc binary, w binary, n int, ids array<long>")
+    sent = texts.select("doc_id", "text", "df").mapInArrow(tidied(send), "chunk string, shard int, value binary, doc binary, w binary, n int, ids array<long>")
     return sent.groupBy("shard").applyInArrow(reply, "chunk string, sums binary, ids array<long>").groupBy("chunk").applyInArrow(join, "doc_id long, shared double")
 
 

@@ -19,7 +19,6 @@ each; an empty table gives no rows; extra columns of the pieces are kept.
 
 from __future__ import annotations
 
-import functools
 import os
 from array import array
 
@@ -29,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Recent, materialise, sliced, utf8
+from .common import materialise, Recent, sliced, tidied, utf8
 
 CAPACITY = 2048
 #: Pieces of a length that meet in a task for their ranks, on the average, in more than SALTS tasks; up to there 256.
 SALTED, SALTS = 1 << 16, 64
 #: Gradient steps of the least-squares fit.
 STEPS = 150
-#: Words remembered in a task.
-CACHE = 400_000
+#: Stems and tails remembered in a task; up to twice as many are held.
+CACHE = 250_000
 #: Kind of each byte: 0 blank, 1 ASCII punctuation, 2 ASCII letter or digit, 3 other.
 KINDS = np.array([0 if c in b" \n\t\r" else 3 if c > 126 or c < 33 else 2 if chr(c).isalnum() else 1 for c in range(256)], np.uint8)
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -100,18 +99,13 @@ class Tokens:
         return out, np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
 
 
-@functools.lru_cache(maxsize=2)
-def loaded(path: str) -> Tokens:
-    return Tokens(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id") -> DataFrame:
     """key, piece, start, length and ids (unsigned little-endian 32-bit) of each text's pieces; end_id closes each text."""
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
     def run(batches):
+        tokens = Tokens(tokenizer)
         for batch in sliced(batches, "text", 4 << 20):
-            tokens = loaded(tokenizer)
             ids, at = tokens(batch.column("text"))
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             many = -(-np.diff(at) // capacity)
@@ -126,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             )
 
     fields = [docs.select(key).schema.fields[0], StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())]
-    return docs.select(key, "text").mapInArrow(run, StructType(fields))
+    return docs.select(key, "text").mapInArrow(tidied(run), StructType(fields))
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -263,7 +257,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salted:
 
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
     fields = [pieces.schema[c] for c in own]
-    return ranked.mapInArrow(run, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return ranked.mapInArrow(tidied(run), StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -33,6 +33,8 @@ STEPS = 3
 CUTOFF = 60.0
 #: Median of the chi-square law with five degrees of freedom.
 CHI2_MEDIAN = 4.35146
+#: Groups up to which their parameters (some 30 numbers each) are broadcast, and the tasks over which a group is dealt beyond.
+FEW_GROUPS, SALTS = 20_000, 32
 #: Distances are compared in bins of 1/BINS of ln(1 + d2).
 BINS = 200
 
@@ -121,6 +123,15 @@ def _lowest_half(df: DataFrame, keys: list[str], value: str, count: str, at) ->
     return df.where(F.col("_upto") >= at(F.col("_total"))).groupBy(*keys).agg(F.min(value).alias("_value"))
 
 
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of groups (checkpointed, unique by keys): broadcast if it has few rows, else with the rows of a group dealt over SALTS tasks."""
+    if groups.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), keys, how)
+    salt = F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(dealt, [*keys, "_salt"], how).drop("_salt")
+
+
 def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     """(lang, source) keys of rows that pass the base rules -> group id and its number of rows."""
     n = stats.where("not base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +151,7 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS, cutoff:
     s = statistics(docs.select(*own, *(["text"] if "text" in docs.columns else []), lang, source))
     s = s.select("*", *(F.expr(e).alias(x) for x, (e, _) in STATISTICS.items()))
     s = materialise(s)
-    rows = s.join(materialise(grouped(s, min_rows)), ["_lang", "_source"], "left")
+    rows = met(s, materialise(grouped(s, min_rows)), ["_lang", "_source"], "left")
     rows = materialise(rows.withColumn("_g", F.when(~F.col("base_failed"), F.col("_g"))))
     fit = rows.where("_g is not null").select("_g", *X)
 
@@ -155,7 +166,7 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS, cutoff:
     now, distance = materialise(start), [f"({x} - m_{x}) / d_{x}" for x in X]
 
     for step in range(steps + 1):
-        scored = rows.join(now, "_g") if step == 0 else rows.join(now.drop("n"), "_g")
+        scored = met(rows, now, ["_g"])
         for k, z in enumerate(distance):
             scored = scored.withColumn(f"z{k}", F.expr(z))
         scored = scored.withColumn("_b", F.expr(_bin(" + ".join(f"z{k} * z{k}" for k in range(D)))))
@@ -163,15 +174,15 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS, cutoff:
         most = materialise(_lowest_half(bins, ["_g"], "_b", "n", lambda t: F.floor((t + D + 1) / 2)).withColumnRenamed("_value", "_most"))
         if step == steps:
             break
-        now = scored.join(most, "_g").where("_b <= _most").groupBy("_g").agg(*(F.expr(e) for e in moments_sql()))
+        now = met(scored, most, ["_g"]).where("_b <= _most").groupBy("_g").agg(*(F.expr(e) for e in moments_sql()))
         for name, e in scatter_sql():
             now = now.withColumn(name, F.expr(e))
-        now = materialise(now.select("_g", "n", *(f"m_{a}" for a in X), *(f"l_{a}_{b}" for i, a in enumerate(X) for b in X[: i + 1])))
+        now = materialise(now.select("_g", *(f"m_{a}" for a in X), *(f"l_{a}_{b}" for i, a in enumerate(X) for b in X[: i + 1])))
         distance = distance_sql()
 
     enough = materialise(rows.where("_g is not null").groupBy("_g").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows))
-    last = now.drop("n").join(most, "_g").join(enough, "_g")
-    out = rows.join(last, "_g", "left")
+    last = materialise(now.join(most, "_g").join(enough, "_g"))  # small tables, a row a group
+    out = met(rows, last, ["_g"], "left")
     for k, z in enumerate(distance):
         out = out.withColumn(f"z{k}", F.expr(z))
     # consistency: the bulk's median distance is that of the chi-square law, never less than the plain estimate

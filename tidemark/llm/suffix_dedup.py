@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, sliced, utf8
+from .common import null_safe_text, sliced, small_batches, tidied, utf8
 from .induced_sort import suffixes
 from .near_dedup import _GOLD, _M1, _M2, mix, powers
 
@@ -248,7 +248,7 @@ def shared_names(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFram
         ends = np.append(at[1:], len(doc))
         return pa.table({"doc_id": pa.array([ids[d] for d in kind.tolist()], pa.int64()), "tags": pa.array([np.unique(tag[a:b]).tobytes() for a, b in zip(at, ends)], pa.binary())})
 
-    sent = docs.mapInArrow(send, "chunk string, shard int, tag binary, doc binary, own binary, ids array<long>")
+    sent = docs.mapInArrow(tidied(send), "chunk string, shard int, tag binary, doc binary, own binary, ids array<long>")
     flagged = sent.groupBy("shard").applyInArrow(flag, "chunk string, tag binary, doc binary, ids array<long>")
     return flagged.groupBy("chunk").applyInArrow(by_document, "doc_id long, tags binary")
 
@@ -356,7 +356,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     tags = shared_names(known, shards, length).withColumnRenamed("doc_id", "_doc")
     # all columns go along and no row is left out, so that Spark deals the texts once for this join and the one in dedup()
     tagged = docs.join(tags, F.col(KEY) == F.col("_doc"), "left").withColumn("tags", F.when(F.col("doc_id").isNotNull(), F.col("tags")))
-    sent = tagged.mapInArrow(send, "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
+    sent = tagged.mapInArrow(tidied(send), "shard int, bytes binary, size binary, name binary, ids binary, place binary, stop binary")
     return sent.groupBy("shard").applyInArrow(resolve, "doc_id long, start long, stop long")
 
 
@@ -369,6 +369,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataF
 
     out = ["kept", "n_bytes", "n_removed", "n_spans"]
     docs = docs.drop(*out, "_ranges", "_doc", KEY).withColumn("text", null_safe_text())
+    small_batches(docs.sparkSession)
     # rows without a doc_id are dealt by their text, and meet nothing
     own = docs.schema.fields
     docs = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
@@ -397,7 +398,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataF
                 kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), kept, pa.array(n), pa.array(n - np.diff(left)), pa.array(np.bincount(doc, minlength=len(n)))], names=[*(f.name for f in own), *out])
 
-    return joined.mapInArrow(run, StructType([*own, StructField("kept", StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in out[1:])]))
+    return joined.mapInArrow(tidied(run), StructType([*own, StructField("kept", StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in out[1:])]))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
