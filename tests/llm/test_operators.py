@@ -269,6 +269,32 @@ def test_ann_ties_beyond_the_reranked(spark, monkeypatch):
     assert [r["vec_id"] for r in got] == list(range(1, 11))
 
 
+@pytest.mark.parametrize("size", [1.0, 1e200, 1e-200])
+def test_ann_recall_of_a_shortlist(spark, size):
+    """The quantiser finds the nearest among 10,000 rows, of which it hands on a twentieth at most, whatever their size."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10_000, 32)) * size
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, every=500, rerank=400).collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert len(got) == 20
+    hits = 0
+    for q, found in got.items():
+        d = size * np.sqrt((((x - x[q]) / size) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [s for s, _ in sorted(found)] == pytest.approx(sorted(d[[v for _, v in found]]), rel=1e-9)
+        hits += len({v for _, v in found} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 200
+
+
+def test_ann_repeated_query_ids(spark):
+    """Of rows that share a query's vec_id the least vector asks, and none of them answers."""
+    df = spark.createDataFrame([(100, [5.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 1.0]), (2, [5.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0), (2, 2, math.sqrt(17)), (3, 2, math.sqrt(17))]
+
+
 # 6 near duplicates
 
 

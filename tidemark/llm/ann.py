@@ -1,38 +1,46 @@
 """Approximate nearest neighbours by additive quantisation (operator 5).
 
-A vector is coded as a sum of M full-dimensional codewords. The codebooks are fitted on the driver on
+A vector is coded as a sum of BOOKS full-dimensional codewords. The codebooks are fitted on the driver on
 at most SAMPLE vectors (those of least hashed id): residual k-means, then rounds of beam-search
 encoding and a least-squares update of all codewords at once. Every row is encoded by beam search
-and stored with its codes and the squared norm of their sum. A block of queries, bounded in size, is
-compared with all rows in one distributed pass: inner products with all codewords go into lookup
-tables, the sums over a row's codes and its stored norm rank the rows of a batch, and the best RERANK
-of each batch are ranked again by the exact distance on the original vectors.
+and stored with its codes and the squared norm of their sum.
+
+Rows and queries are dealt into groups and blocks, and each (block, group) cell is a task's work: inner
+products with all codewords go into lookup tables, and the sums over a row's codes and its stored norm
+rank the group's rows for each query. The best RERANK rows of all groups together are a query's
+shortlist; they alone are compared by the exact distance on the original vectors.
 
 Nearness is the Euclidean distance in double precision; ties go to the smaller vec_id, also where
-more rows than RERANK share one code. The queries are the rows whose vec_id is divisible by 100.
+more rows than RERANK share one code. The queries are the rows whose vec_id is divisible by 100; of rows
+that share such a vec_id the least vector asks.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows without a vec_id; rows that share the query's vec_id
-count as its own; equal vectors are all returned; fewer than k candidates give fewer rows; empty in,
-empty out.
+count as its own; equal vectors are all returned; vectors of any finite size are coded relative to the
+largest component of all; fewer than k candidates give fewer rows; empty in, empty out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise, tidied
 
-BOOKS, WORDS, BEAM = 12, 256, 6
+BOOKS, WORDS, BEAM = 16, 256, 6
 SAMPLE, ROUNDS, KMEANS_STEPS = 8000, 2, 8
-QUERY_BLOCK = 1024
-RERANK = 256
+#: Queries of a block and rows of a group; queries whose tables are held at once.
+QUERY_BLOCK, GROUP, HELD = 4096, 16384, 256
+#: Length of a query's shortlist.
+RERANK = 512
 BATCH = 4096
+#: Bytes of query vectors up to which they are broadcast.
+FEW_BYTES = 8 << 20
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -77,7 +85,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 1) ->
         out[i] = centres
         rest = rest - centres[near]
     for _ in range(ROUNDS):  # all codewords at once: (B'B + r) C = B'x with B the 0/1 matrix of codes
-        codes = encode(x, out).astype(np.int64) + np.arange(books) * words
+        codes = np.concatenate([encode(x[i : i + 1024], out) for i in range(0, len(x), 1024)]).astype(np.int64) + np.arange(books) * words
         gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
         for i in range(books):
             np.add.at(right, codes[:, i], x)
@@ -95,15 +103,16 @@ def valid(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & whole & F.exists(v, lambda x: x != 0))
 
 
-def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, np.ndarray | None]:
-    """(vec_id, embedding, codes, norm) of every valid row, and the codebooks (None without rows)."""
+def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, np.ndarray | None, float]:
+    """(vec_id, embedding, codes, norm, _row: a number of its own) of every valid row, the codebooks (None without rows), and what components were divided by for them."""
     rows = valid(vectors, vector).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
-        return rows, None
+        return rows, None, 1.0
     rows = rows.where(F.size("embedding") == length["d"])
+    scale = rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    books = fit(np.array(sample["embedding"].tolist(), np.float32))
+    books = fit((np.array(sample["embedding"].tolist()) / scale).astype(np.float32))
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
@@ -112,11 +121,12 @@ def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFram
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                codes = encode(x.astype(np.float32), books)
+                codes = encode((x / scale).astype(np.float32), books)
                 norm = (decoded(codes, books).astype(np.float64) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
 
-    return materialise(rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary, norm double")), books
+    coded = rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary, norm double")
+    return materialise(coded.withColumn("_row", F.monotonically_increasing_id())), books, scale
 
 
 def lowest(score: np.ndarray, n: int) -> np.ndarray:
@@ -129,58 +139,76 @@ def lowest(score: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(score), n)
 
 
-def search_block(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """(query_id, vec_id, score): of each partition of index, each query's k nearest after reranking."""
-    shared = index.sparkSession.sparkContext.broadcast((books, ids, queries))  # QUERY_BLOCK queries at most
-
-    def run(batches):
-        books, ids, queries = shared.value
-        q32 = queries.astype(np.float32)
-        tables = [q32 @ b.T for b in books]
-        best_d = np.full((len(ids), 0), np.inf)
-        best_v = np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                part = batch.slice(i, BATCH)
-                part = part.take(pc.sort_indices(part.column("vec_id")))
-                vec = part.column("vec_id").to_numpy()
-                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(vec), -1)
-                score = np.broadcast_to(part.column("norm").to_numpy().astype(np.float32), (len(ids), len(vec))).copy()
-                for t, c in zip(tables, codes.T):
-                    score -= 2 * np.take(t, c, axis=1)
-                score[ids[:, None] == vec] = np.inf
-                at = lowest(score, rerank)
-                d = np.empty(at.shape)
-                for a in range(0, len(ids), 64):
-                    d[a : a + 64] = np.sqrt(((queries[a : a + 64, None, :] - x[at[a : a + 64]]) ** 2).sum(axis=2))
-                v = vec[at]
-                d[v == ids[:, None]] = np.inf
-                best_d, best_v = np.hstack([best_d, d]), np.hstack([best_v, v])
-                order = np.lexsort((best_v, best_d), axis=1)[:, :k]
-                best_d, best_v = np.take_along_axis(best_d, order, axis=1), np.take_along_axis(best_v, order, axis=1)
-        row, column = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_v[row, column]), pa.array(best_d[row, column])], names=["query_id", "vec_id", "score"])
-
-    return index.select("vec_id", "embedding", "codes", "norm").mapInArrow(tidied(run), "query_id long, vec_id long, score double")
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, also where squares leave the range of numbers."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = a - b
+        out = np.sqrt((d**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-150))
+        if len(odd):
+            most = np.abs(d[odd]).max(axis=1, initial=0)
+            most = np.where(np.isfinite(most) & (most > 0), most, 1)
+            out[odd] = most * np.sqrt(((d[odd] / most[:, None]) ** 2).sum(axis=1))
+        return out
+
+
+def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, scale: float, rerank: int) -> DataFrame:
+    """query_id and _row of each query's `rerank` rows of least quantised distance (ties by vec_id) over the whole index; asked: query_id and query."""
+    groups, blocks = (max(1, -(-x.count() // n)) for x, n in ((index, GROUP), (asked, QUERY_BLOCK)))
+    shared = index.sparkSession.sparkContext.broadcast(books)
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = index.select("vec_id", "_row", "codes", "norm", number("_row", groups).alias("g"), every(blocks).alias("b"))
+    queries = asked.select("query_id", "query", number("query_id", blocks).alias("b"), every(groups).alias("g"))
+
+    def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        books = shared.value
+        rows = rows.sort_by([("vec_id", "ascending"), ("_row", "ascending")])
+        vec, row, norm = (rows.column(c).to_numpy() for c in ("vec_id", "_row", "norm"))
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(vec), len(books))
+        ids = queries.column("query_id").to_numpy()
+        asked = (queries.column("query").combine_chunks().flatten().to_numpy().reshape(len(ids), -1) / scale).astype(np.float32)
+        out = []
+        for i in range(0, len(ids) if len(vec) else 0, HELD):
+            q = asked[i : i + HELD]
+            score = np.broadcast_to(norm.astype(np.float32), (len(q), len(vec))).copy()
+            for book, c in zip(books, codes.T):
+                score -= np.take(2 * q @ book.T, c, axis=1)
+            score[ids[i : i + HELD, None] == vec] = np.inf
+            at = lowest(score, rerank)
+            out += [[x.tobytes() for x in (vec[a], row[a], s[a])] for a, s in zip(at, score)]
+        return pa.table({"query_id": pa.array(ids[: len(out)], pa.int64()), **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("vec", "row", "score"))}})
+
+    def best(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        for batch in batches:  # one cell after another: no more than two shortlists are held
+            for r in range(batch.num_rows):
+                held = [np.append(h, np.frombuffer(batch.column(c)[r].as_py(), h.dtype)) for h, c in zip(held, ("vec", "row", "score"))]
+                order = np.lexsort((held[1], held[0], held[2]))[:rerank]
+                held = [h[order] for h in held]
+        found = held[1][np.isfinite(held[2])]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found)], names=["query_id", "_row"])
+
+    cells = rows.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInArrow(cell, "query_id long, vec binary, row binary, score binary")
+    return cells.groupBy("query_id").applyInArrow(best, "query_id long, _row long")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK, vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows of each query."""
-    index, books = build_index(vectors, vector)
-    spark = vectors.sparkSession
+    index, books, scale = build_index(vectors, vector)
     if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas().drop_duplicates("vec_id")
-        if len(part):
-            x = search_block(index, books, part["vec_id"].to_numpy(np.int64), np.array(part["embedding"].tolist(), float), k, rerank)
-            found = x if found is None else found.unionByName(x)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
+    asked = materialise(asked)
+    near = shortlists(index, asked, books, scale, rerank)
+    near = near.join(F.broadcast(asked) if 8 * asked.count() * books.shape[2] <= FEW_BYTES else asked, "query_id").join(index.select("_row", "vec_id", "embedding"), "_row")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("query", "embedding"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(distances(a, b))], names=["query_id", "vec_id", "score"])
+
+    found = near.select("query_id", "query", "vec_id", "embedding").mapInArrow(tidied(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
