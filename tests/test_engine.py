@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import inspect
 
 import numpy as np
@@ -13,6 +14,7 @@ from tidemark.functions import text as T
 from tidemark.operators import interactions as I
 from tidemark.operators import metrics as Q
 from tidemark.operators import recommend as R
+from tidemark.plans import queries
 from tidemark.sources import tables as S
 
 DAY = dt.datetime(2024, 1, 1)
@@ -66,6 +68,13 @@ def test_neighbours_match_the_matrix_product(spark):
                 assert got[u, i] == pytest.approx(score[u, i], abs=2e-6)
 
 
+def test_neighbours_by_joins_match_those_of_few(spark, sf_dir):
+    e = queries.on_events(spark, sf_dir)
+    for catalog in (None, e.catalog):
+        few, many = (sorted(map(tuple, R.item_neighbours(e.train, catalog=catalog, few_rows=n).select("user_id", "item_id", "score", "rank").collect())) for n in (10**6, 0))
+        assert few == many and len(few)
+
+
 def test_lists_hold_no_seen_item_and_dense_ranks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(12)], "item_id long, v array<double>")
     train = train_of(spark, [(u, (u * 3 + k) % 12, k) for u in range(4) for k in range(6)])
@@ -131,9 +140,10 @@ def test_texts(spark):
 def test_readers(spark, tmp_path):
     p = tmp_path / "in"
     p.mkdir()
-    (p / "x.tsv").write_text("u\t2009\ta\tNone\tt\tNA\nshort\t1\n")
+    (p / "x.tsv").write_text("u\t2009\ta\tNone\tt\tNA\nshort\t1\n\nlong\t1\t2\t3\t4\t5\t\n")
+    (p / "y.tsv.gz").write_bytes(gzip.compress(b'v\t2010\t\t"q\t\t\n'))
     plain = S.read_listens(spark, str(tmp_path)).orderBy("user_id").collect()
-    assert [r["artist_name"] for r in plain] == [None, "None"]
+    assert [(r["user_id"], r["artist_id"], r["artist_name"]) for r in plain] == [("short", None, None), ("u", "a", "None"), ("v", None, '"q')]
     assert S.read_listens(spark, str(tmp_path), pandas_na=True).where("track_name is not null").count() == 0
     (p / "x.jsonl").write_text('{"user_id": "u", "text": "x"}\nbroken\n')
     assert S.read_jsonl(spark, str(p / "x.jsonl"), S.REVIEWS).count() == 1

@@ -18,6 +18,8 @@ M, K, RECENT = 10, 3, 10
 LLOYD_STEPS = 10
 #: Rows of item vectors that are compared at once, and sent to the executors at once.
 ITEM_BLOCK = 20_000
+#: Rows of history (16 bytes each) up to which all of it goes to the executors.
+FEW_ROWS = 2_000_000
 
 
 def ranked(scored: DataFrame, m: int = M) -> DataFrame:
@@ -35,11 +37,16 @@ def most_seen(train: DataFrame) -> int:
     return train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def bounded(few: DataFrame, most: int = 100_000) -> DataFrame:
+    """few, broadcast if it has no more rows than that: it grows with the longest history, which no one need bound."""
+    return F.broadcast(few) if few.count() <= most else few
+
+
 def popularity(train: DataFrame, m: int = M) -> DataFrame:
     """The most popular train items: of m + (longest history) candidates at least m are unseen."""
     top = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "item_id").limit(m + most_seen(train))
     users = train.select("user_id").distinct()
-    return ranked(unseen(users.crossJoin(F.broadcast(top)), train), m)  # top is bounded by a history's length
+    return ranked(unseen(users.crossJoin(bounded(top)), train), m)
 
 
 def random_items(train: DataFrame, catalog: DataFrame, m: int = M) -> DataFrame:
@@ -62,23 +69,78 @@ def affinity(train: DataFrame) -> DataFrame:
     return weighted.join(t.withColumnRenamed("user_id", "other"), "item_id").groupBy("user_id", "other").agg(F.sum("w").alias("weight"))
 
 
-def item_neighbours(train: DataFrame, m: int = M, catalog: DataFrame | None = None) -> DataFrame:
+def item_neighbours(train: DataFrame, m: int = M, catalog: DataFrame | None = None, few_rows: int = FEW_ROWS) -> DataFrame:
     """Item-based neighbours with cosine weights; unseen train items without a neighbour follow with score 0 by id.
 
-    catalog: items that may fill a list after all train items.
+    catalog: items that may fill a list after all train items. A history of up to few_rows rows goes to
+    the executors, which score users one by one; a larger one is joined.
     """
     t = train.select("user_id", "item_id").distinct()
+    extra = None
+    if catalog is not None:
+        extra = catalog.select("item_id").distinct().join(t.select("item_id").distinct(), "item_id", "left_anti").orderBy("item_id").limit(m)
+    if t.count() <= few_rows:
+        return _neighbours_of_few(t, m, extra)
+    return _neighbours_by_joins(t, m, extra)
+
+
+def _neighbours_of_few(t: DataFrame, m: int, extra: DataFrame | None) -> DataFrame:
+    """item_neighbours() where the histories fit an executor: the product of one user's row with all histories, sparse."""
+    rows = t.orderBy("user_id", "item_id").toArrow()  # at most few_rows rows
+    items, item = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
+    _, user = np.unique(rows.column("user_id").to_numpy(), return_inverse=True)
+    by_item = np.argsort(item, kind="stable")
+    edges = lambda x, n: np.searchsorted(x, np.arange(n + 1))
+    more = np.zeros(0, items.dtype) if extra is None else np.array([r["item_id"] for r in extra.collect()], items.dtype)  # at most m
+    weight = 1 / np.sqrt(np.bincount(item, minlength=len(items)))
+    shared = t.sparkSession.sparkContext.broadcast((items, item, edges(user, user.max(initial=-1) + 1), user[by_item], edges(item[by_item], len(items)), weight, more))
+
+    def parts(flat, edge, which):
+        """The entries of several rows of a sparse matrix, and the number of each row's."""
+        n = edge[which + 1] - edge[which]
+        ends = np.cumsum(n)
+        return flat[np.repeat(edge[which] - ends + n, n) + np.arange(n.sum())], n
+
+    def run(batches):
+        items, item, users, user, by_item, weight, more = shared.value
+        for batch in batches:
+            ids, found, scores = batch.column("user_id"), [], []
+            for seen in batch.column("items").to_pylist():
+                own = np.searchsorted(items, seen)
+                near, n = parts(user, by_item, own)
+                others, at = np.unique(near, return_inverse=True)
+                theirs, k = parts(item, users, others)
+                total = np.bincount(theirs, np.repeat(np.bincount(at, np.repeat(weight[own], n)), k), len(items))
+                score = np.round(total * weight, DIGITS)
+                score[own] = -1
+                least = np.partition(score, len(score) - m)[len(score) - m] if len(score) > m else 0
+                best = np.flatnonzero(score >= max(least, 0))
+                best = best[np.argsort(-score[best], kind="stable")][:m]
+                fill = more[: m - len(best)]
+                found.append(np.concatenate([items[best], fill]))
+                scores.append(np.concatenate([score[best], np.zeros(len(fill))]))
+            n = [len(f) for f in found]
+            rank = np.concatenate([np.arange(1, k + 1) for k in n]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores)), pa.array(rank)], names=["user_id", "item_id", "score", "rank"])
+
+    kind = lambda c: t.schema[c].dataType.simpleString()
+    return t.groupBy("user_id").agg(F.collect_list("item_id").alias("items")).mapInArrow(run, f"user_id {kind('user_id')}, item_id {kind('item_id')}, score double, rank int")
+
+
+def _neighbours_by_joins(t: DataFrame, m: int, extra: DataFrame | None) -> DataFrame:
+    """item_neighbours() of any size: items that share users are counted inside each user's history, which the activity range bounds, and meet the histories again."""
     w = t.groupBy("item_id").agg((1 / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("w"))
-    sums = affinity(train).join(t.withColumnRenamed("user_id", "other"), "other").groupBy("user_id", "item_id").agg(F.sum("weight").alias("s"))
+    both = t.join(t.withColumnRenamed("item_id", "other"), "user_id").where("item_id <> other").groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n"))
+    both = both.join(w, "item_id").select("item_id", F.col("other"), (F.col("n") * F.col("w")).alias("n"))
+    sums = t.join(both, "item_id").groupBy("user_id", F.col("other").alias("item_id")).agg(F.sum("n").alias("s"))
     scored = unseen(sums, t).join(w, "item_id").select("user_id", "item_id", F.round(F.col("s") * F.col("w"), DIGITS).alias("score"))
     best = ranked(scored, m).drop("rank")
     # zeros: of the first m + m + (longest history) ids at least m are neither seen nor among the best
-    fill = t.select("item_id").distinct().orderBy("item_id").limit(2 * m + most_seen(train))
-    zeros = unseen(unseen(t.select("user_id").distinct().crossJoin(F.broadcast(fill)), t), best)
+    fill = t.select("item_id").distinct().orderBy("item_id").limit(2 * m + most_seen(t))
+    zeros = unseen(unseen(t.select("user_id").distinct().crossJoin(bounded(fill)), t), best)
     out = best.unionByName(zeros.withColumn("score", F.lit(0.0)))
-    if catalog is not None:
-        extra = catalog.select("item_id").distinct().join(t.select("item_id").distinct(), "item_id", "left_anti").orderBy("item_id").limit(m)
-        out = out.unionByName(t.select("user_id").distinct().crossJoin(F.broadcast(extra)).withColumn("score", F.lit(-1.0)))
+    if extra is not None:
+        out = out.unionByName(t.select("user_id").distinct().crossJoin(F.broadcast(extra)).withColumn("score", F.lit(-1.0)))  # extra has m rows at most
         return ranked(out, m).withColumn("score", F.greatest("score", F.lit(0.0)))
     return ranked(out, m)
 

@@ -12,8 +12,7 @@ BOUGHT = """pairs as (select o_custkey as user_id, l_partkey as item_id, o_order
 active as (select user_id, item_id, ts from (select *, count(item_id) over (partition by user_id) as c from pairs where n = 1) where c between 20 and 200)"""
 
 
-def purchases(users: int = USERS) -> str:
-    return f"{BOUGHT}, inter as (select * from active where user_id in (select user_id from (select distinct user_id from active) order by md5(cast(user_id as varchar)), user_id limit {users}))"
+PURCHASES = f"{BOUGHT}, inter as (select * from active)"
 
 
 SPLIT = """split as (select *, rn > n_train as is_test from (select *, n - greatest(1, cast(round(0.2 * n) as bigint)) as n_train
@@ -97,8 +96,8 @@ def measured(name: str, lists: dict[str, str]) -> str:
  select user_id, system, coalesce(h, 0) / n as recall, case when n_lt > 0 then coalesce(h_lt, 0) / n_lt end as lt_recall from size cross join ({systems}) left join hits using (system, user_id))"""
 
 
-def experiment(users: int = USERS) -> str:
-    return f"{base(purchases(users))}, {RANDOM}, {POPULAR}, {KNN}, {active()}, {CONTENT}, {measured('results', SYSTEMS)}"
+def experiment() -> str:
+    return f"{base(PURCHASES)}, {RANDOM}, {POPULAR}, {KNN}, {active()}, {CONTENT}, {measured('results', SYSTEMS)}"
 
 
 SUMMARY = "summary as (select system, avg(recall) as recall, avg(lt_recall) as lt_recall, count(*) as n_users, count(lt_recall) as n_eligible, count(*) filter (where recall > 0) as n_hit, count(*) filter (where lt_recall > 0) as n_lt_hit from results group by system)"
@@ -106,14 +105,14 @@ TURN = "turn as (select conv_id as doc_id, text as review from (select *, row_nu
 
 
 def sql() -> dict[str, str]:
-    ev, cp, cols = base(EVENTS), base(purchases()), "user_id, item_id, score, rank"
+    ev, cp, cols = base(EVENTS), base(PURCHASES), "user_id, item_id, score, rank"
     flag = lambda c: f"(select distinct item_id, 1 as {c} from"
     both = lambda x, y, n: f"count(*) filter (where {x} is not null and {y} is not null) as {n}"
     return {
         "dedup_interactions": f"with {LOG}, {DEDUP} select * from dedup",
         "user_activity": f"with {LOG}, {DEDUP} select user_id, count(item_id) as n from dedup group by user_id",
         "user_activity_filter": f"with {BOUGHT} select * from active",
-        "user_sample": f"with {purchases()} select distinct user_id from inter",
+        "user_sample": f"with {BOUGHT} select user_id from (select distinct user_id from active) order by md5(cast(user_id as varchar)), user_id limit {USERS}",
         "user_seed": "select distinct user_id, cast(concat('0x', substr(md5(cast(user_id as varchar)), 1, 8)) as bigint) as seed from events",
         "chrono_split_train": f"with {cp} select user_id, item_id, cast(rn as int) as rn from train",
         "chrono_split_test": f"with {cp} select user_id, item_id, cast(rn as int) as rn from test",
@@ -144,9 +143,9 @@ def sql() -> dict[str, str]:
         "lift_table": f"""with {experiment()}, {SUMMARY} select system, round(recall / nullif((select recall from summary where system = 'Random'), 0), 6) as lift_empirical,
  round(recall / ({M} / (select count(*) from vec)), 6) as lift_theoretical, round(lt_recall / nullif((select lt_recall from summary where system = 'Content'), 0), 6) as lt_content_ratio from summary""",
         "ordering_check": f"with {experiment()}, {SUMMARY} select (select recall from summary where system = 'ItemKNN') > (select recall from summary where system = 'Popularity') as in_order",
-        "item_text": "select doc_id, concat(substr(text, 1, 50), ' by ', case when doc_id % 7 <> 0 and source is not null then source else 'Unknown' end) as item_text from documents",
+        "item_text": "select doc_id, concat(text, ' by ', case when doc_id % 7 <> 0 and source is not null then source else 'Unknown' end) as item_text from documents",
         "embedding_input": f"""with {TURN}, j as (select d.*, case when d.doc_id % 5 = 0 then concat(' ', chr(10), chr(9), ' ') else review end as r from documents d left join turn using (doc_id))
- select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(substr(text, 1, 40), ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
+ select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(text, ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
  case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then 'review' else 'metadata' end as embedding_source from j""",
         "author_description": """select doc_id, case when doc_id % 4 = 3 then substr(concat('{broken ', source), 1, 50) else source end as author,
  substr(case when doc_id % 4 < 2 then concat(source, ' ', lang) when doc_id % 4 = 2 then lang else concat('[broken ', source) end, 1, 200) as description from documents""",
@@ -162,7 +161,7 @@ def sql() -> dict[str, str]:
         "hash_embedding": """with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from documents),
  c as (select doc_id, cast(cast(concat('0x', substr(md5(w), 1, 8)) as bigint) % 64 as int) as dim, cast(count(*) as double) as n from w where w <> '' group by all)
  select doc_id, dim, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as value from c""",
-        "csv_roundtrip": "select doc_id, lang, concat('a \"quoted\", ', chr(10), substr(text, 1, 80)) as text from documents",
+        "csv_roundtrip": "select doc_id, lang, concat('a \"quoted\", ', chr(10)) || text as text from documents",
         "tsv_roundtrip": "select cast(user_id as varchar) as user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp, cast(event_id as varchar) as artist_id, event_type as artist_name, props ->> '$.k' as track_id, 'None' as track_name from events",
         "jsonl_roundtrip": "select doc_id, text, lang, source from documents",
         "parquet_stage": f"with {cp} select item_id, count(*) as n from train group by item_id",

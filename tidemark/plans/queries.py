@@ -15,6 +15,7 @@ from ..sources import tables as S
 from . import fixtures as X
 from .experiment import Experiment, hash_embedding
 
+#: Users that user_sample draws, which is its feature.
 USERS = 200
 CSV_BEGINNING = 'a "quoted", \n'
 
@@ -23,8 +24,8 @@ def on_events(spark, sf_dir) -> Experiment:
     return Experiment(X.events(spark, sf_dir), X.vectors(spark, sf_dir))
 
 
-def on_purchases(spark, sf_dir, users=USERS) -> Experiment:
-    return Experiment(X.purchases(spark, sf_dir, users), X.vectors(spark, sf_dir))
+def on_purchases(spark, sf_dir) -> Experiment:
+    return Experiment(X.purchases(spark, sf_dir), X.vectors(spark, sf_dir))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,13 +51,13 @@ def first_turn(spark, sf_dir) -> DataFrame:
 def item_text(spark, sf_dir):
     d = documents(spark, sf_dir)
     artist = F.when(F.col("doc_id") % 7 != 0, F.col("source"))
-    return d.select("doc_id", T.item_text(F.substring("text", 1, 50), artist).alias("item_text"))
+    return d.select("doc_id", T.item_text(F.col("text"), artist).alias("item_text"))
 
 
 def embedding_input(spark, sf_dir):
     d = documents(spark, sf_dir).join(first_turn(spark, sf_dir), "doc_id", "left")
     review = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n\t ")).otherwise(F.col("review"))
-    body, source = T.embedding_input(review, F.substring("text", 1, 40), F.col("source"), F.substring("text", 1, 200))
+    body, source = T.embedding_input(review, F.col("text"), F.col("source"), F.substring("text", 1, 200))
     return d.select("doc_id", body.alias("embedding_input"), source.alias("embedding_source"))
 
 
@@ -96,15 +97,14 @@ def csv_copy(spark, docs: DataFrame) -> DataFrame:
 
 
 def csv_roundtrip(spark, sf_dir):
-    """csv_copy() of all documents, of which the SQL shows the beginnings."""
-    return csv_copy(spark, documents(spark, sf_dir)).withColumn("text", F.substring("text", 1, len(CSV_BEGINNING) + 80))
+    return csv_copy(spark, documents(spark, sf_dir))
 
 
 def tsv_roundtrip(spark, sf_dir):
     path = shared_folder(spark)
     e = X.table(spark, sf_dir, "events").select(F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_id").cast("string").alias("artist_id"), F.col("event_type").alias("artist_name"), F.get_json_object("props", "$.k").alias("track_id"), F.lit("None").alias("track_name"))
     S.write_tsv(e, path)
-    return spark.read.schema(S.LISTENS).option("sep", "\t").option("quote", "").csv(path)
+    return S.read_listens(spark, path, pattern="part-*")
 
 
 def jsonl_roundtrip(spark, sf_dir):
@@ -154,12 +154,12 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def bootstrap_ci_shared(spark, sf_dir):
-    return Q.bootstrap_shared(on_purchases(spark, sf_dir, 20).results(), Q.SYSTEMS)
+    return Q.bootstrap_shared(on_purchases(spark, sf_dir).results(), Q.SYSTEMS)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five systems' mean recalls, lifts and ratios for 20 customers."""
-    return on_purchases(spark, sf_dir, 20).lift()
+    """The five systems' mean recalls, lifts and ratios for all customers."""
+    return on_purchases(spark, sf_dir).lift()
 
 
 def by_split(name):

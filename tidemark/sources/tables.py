@@ -22,20 +22,26 @@ def _na(df: DataFrame, pandas_na: bool) -> DataFrame:
     return df.select(*(F.when(~F.col(f"`{f.name}`").isin(NA_TEXTS), F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema.fields))
 
 
-def read_listens(spark: SparkSession, path: str, pandas_na: bool = False) -> DataFrame:
-    """Tab-separated listens without a header, found below path; short lines are filled with nulls, quotes are text."""
-    reader = spark.read.schema(LISTENS).option("sep", "\t").option("quote", "").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv*")
-    return _na(reader.csv(path), pandas_na)
+def read_listens(spark: SparkSession, path: str, pandas_na: bool = False, pattern: str = "*.tsv*") -> DataFrame:
+    """Tab-separated listens without a header, in the files found below path, gz or not.
 
+    Short lines are filled with nulls, empty fields are null, quotes are text; blank lines and those with
+    more fields than columns are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    names, fields = [c.split()[0] for c in LISTENS.split(", ")], F.split("value", "\t", -1)
+    good = lines.where((F.col("value") != "") & (F.size(fields) <= len(names)))
+    return _na(good.select(*(F.nullif(F.get(fields, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names))), pandas_na)
 
-def read_csv(spark: SparkSession, path: str, schema: str, pandas_na: bool = False) -> DataFrame:
-    """A CSV with a header, gz or not; quoted fields may hold line ends and doubled quotes."""
-    return _na(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path), pandas_na)
+
+def read_csv(spark: SparkSession, path: str, schema: str, pandas_na: bool = False, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header, gz or not; quoted fields may hold doubled quotes, and line ends unless multi_line is False, which lets Spark split files."""
+    return _na(spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path), pandas_na)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Per-user results; an empty long-tail cell is null."""
-    raw = read_csv(spark, path, RESULTS)
+    raw = read_csv(spark, path, RESULTS, multi_line=False)
     return raw.select("user_id", "system", F.col("`recall@10`").alias("recall"), F.col("`long_tail_recall@10`").alias("lt_recall"))
 
 
