@@ -105,6 +105,43 @@ def test_toxicity_of_long_texts(spark):
     assert not rows.loc[900:906].any() and rows.loc[907:913].all()
 
 
+def test_toxicity_chain(spark):
+    """The verdict's model is fitted on out-of-fold log-odds of the category before it, and its probability is what a plain sum gives."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(400):
+        t, junk = list(rng.choice(vocabulary, 12)), i % 3 == 0
+        toxic = rng.random() < (0.7 if junk else 0.1)
+        texts.append(" ".join([*t, *(["spammy"] if junk and i % 2 else []), *(["slurrish"] if toxic and i % 5 else [])]))
+        labels.append((i, int(not junk), int(toxic)))
+    docs, table_ = table(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    cats = ["junk", "toxic"]
+    chain = toxicity.train(docs, table_.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic"), cats)
+    rows = toxicity.predict(docs, chain, cats).toPandas().set_index("doc_id")
+    assert toxicity.CATEGORIES == cats and abs(chain[1].links[0]) > 0.01
+    for i in range(0, 400, 37):
+        z = []
+        for m in chain:
+            own = sum(m.weight.get(f, 0.0) for w in toxicity.words(texts[i]) for f in toxicity.features(w))
+            z.append(min(8, max(-8, own + m.constant + sum(a * b for a, b in zip(m.links, z)))))
+        assert rows.loc[i, ["p_junk", "p_toxic"]].tolist() == pytest.approx([1 / (1 + math.exp(-v)) for v in z])
+    # by hand: the link of each row comes from a model that hasn't seen its fold
+    x = toxicity.Rows([np.unique(np.array([f for w in toxicity.words(t) for f in toxicity.features(w)], np.uint32)) for t in texts])
+    y = np.array([(1 - q, t) for _, q, t in labels])
+    folds, ones, none = np.arange(400) % toxicity.FOLDS, np.ones(400), np.zeros((400, 0))
+    link = np.zeros(400)
+    for f in range(toxicity.FOLDS):
+        link[folds == f] = toxicity.log_odds(toxicity.fit_linear(x, none, y[:, 0], folds != f, ones), x, none)[folds == f]
+    want = toxicity.fit_linear(x, link[:, None], y[:, 1], ones > 0, ones)
+    got = toxicity.fit_chain(x, y, folds)[1]
+    assert got.constant == want.constant and got.links.tolist() == want.links.tolist() and got.weight == want.weight
+    # rows drawn stand for those left out
+    few = toxicity.train(docs, table_.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic"), cats, sample=60)
+    p = toxicity.predict(docs, few, cats).toPandas()["p_toxic"].mean()
+    assert p == pytest.approx(np.mean([t for _, _, t in labels]), abs=0.08)
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.judge(odd.withColumn("toxic", F.lit("x")), labels).toPandas()

@@ -11,7 +11,9 @@ A text is judged in windows of WINDOW words, and its odds are the mean of their
 says counts by its part of the text, so that a long clean text doesn't add up to a toxic one.
 
 The models are fitted on the driver on at most SAMPLE rows for each combination of labels (those of
-least hashed id), of whole texts. Prediction is one pass over the whole texts, without a shuffle.
+least hashed id), of whole texts; a row drawn stands for as many as its combination has for each one
+drawn, so that probabilities are those of all labelled rows. Copies of a text share a fold, and of rows
+that share a doc_id one is trained on. Prediction is one pass over the whole texts, without a shuffle.
 
 Defined results: a null or empty text has no words and gets the models' constants; unlabelled rows
 and labels without a document aren't trained on; with no labelled rows, or only one value of a
@@ -39,7 +41,7 @@ FEATURES, LEAST_ROWS, PENALTY, STEPS = 3000, 4, 1e-4, 300
 #: Lengths, in bytes, of the word beginnings that are features of longer words.
 BEGINNINGS = (4, 5, 6)
 #: A text is toxic from this probability on.
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 #: Words whose evidence adds up.
 WINDOW = 200
 CACHE = 200_000
@@ -85,9 +87,9 @@ class Rows:
         self.rows = np.repeat(np.arange(self.n), [len(f) for f in found])
 
 
-def fit_linear(x: Rows, links: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear:
-    """Logistic regression with an L1 penalty on the screened features, by accelerated proximal gradients."""
-    share = float(y[use].mean()) if use.any() else 0.0
+def fit_linear(x: Rows, links: np.ndarray, y: np.ndarray, use: np.ndarray, stands: np.ndarray) -> Linear:
+    """Logistic regression with an L1 penalty on the screened features, by accelerated proximal gradients; stands: how many rows each row stands for, 1 on the average."""
+    share = float(np.average(y[use], weights=stands[use])) if use.any() else 0.0
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if share in (0.0, 1.0):
         return Linear(links=np.zeros(links.shape[1]), constant=base)
@@ -106,7 +108,7 @@ def fit_linear(x: Rows, links: np.ndarray, y: np.ndarray, use: np.ndarray) -> Li
     inside = place[cols] >= 0
     rows, cols, m = rows[inside], place[cols[inside]], len(best)
     at = np.cumsum(use) - 1
-    rows, t, extra = at[rows], y[use].astype(float), links[use]
+    rows, t, extra, each = at[rows], y[use].astype(float), links[use], stands[use]
     k = extra.shape[1]
     scale = np.sqrt(n / df[best])  # columns of equal length, so that rare words learn as fast as frequent ones
     forward = lambda w: np.bincount(rows, (w[:m] * scale)[cols], len(t)) + extra @ w[m : m + k] + w[-1]
@@ -114,14 +116,14 @@ def fit_linear(x: Rows, links: np.ndarray, y: np.ndarray, use: np.ndarray) -> Li
     # the curvature is at most a quarter of the largest eigenvalue of X'X / n, found by power iteration
     v = np.ones(m + k + 1)
     for _ in range(12):
-        v = back(forward(v / np.linalg.norm(v)))
+        v = back(each * forward(v / np.linalg.norm(v)))
     rate = 4.0 * n / (1.05 * np.linalg.norm(v))
     w = np.zeros(m + k + 1)
     w[-1] = base
     v, step = w, 1.0
     shrink = PENALTY * scale
     for _ in range(STEPS):
-        new = v - rate * back((1 / (1 + np.exp(-forward(v))) - t) / n)
+        new = v - rate * back(each * (1 / (1 + np.exp(-forward(v))) - t) / n)
         new[:m] = np.maximum(new[:m] - rate * shrink, 0)
         after = (1 + np.sqrt(1 + 4 * step * step)) / 2
         v, w, step = new + (step - 1) / after * (new - w), new, after
@@ -135,16 +137,17 @@ def log_odds(model: Linear, x: Rows, links: np.ndarray) -> np.ndarray:
     return np.clip(z + links @ model.links + model.constant, -8, 8)
 
 
-def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """A model for each column of labels; folds: each row's fold."""
+def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray, stands: np.ndarray | None = None) -> list[Linear]:
+    """A model for each column of labels; folds: each row's fold; stands: how many rows it stands for, 1 on the average."""
+    stands = np.ones(x.n) if stands is None else stands
     chain, links = [], np.zeros((x.n, 0))
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        chain.append(fit_linear(x, links, y, np.ones(x.n, bool)))
+        chain.append(fit_linear(x, links, y, np.ones(x.n, bool), stands))
         if c + 1 < labels.shape[1]:
             out = np.zeros(x.n)
             for f in range(FOLDS):
-                part = fit_linear(x, links, y, folds != f)
+                part = fit_linear(x, links, y, folds != f, stands)
                 out[folds == f] = log_odds(part, x, links)[folds == f]
             links = np.column_stack([links, out])
     return chain
@@ -174,10 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         return work
 
     rows = docs.select("doc_id", null_safe_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows a combination
-    rows = append_columns(rows, make, "_f binary", drop=("text",)).select("_h", "_f", *ys).toPandas()
+    rows = append_columns(rows, make, "_f binary", drop=("text",)).groupBy("doc_id", "_h", *ys).agg(F.min("_f").alias("_f")).toPandas()
     rows = rows.sort_values(["_h", "_f"]).reset_index(drop=True)
+    # a row stands for as many as its combination of labels has in all
+    total = {tuple(r[y] for y in ys): r["n"] for r in labels.groupBy(*ys).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a combination
+    drawn = rows.groupby(ys).size().to_dict()
+    stands = np.array([total[c] / drawn[c] for c in rows[ys].itertuples(index=False, name=None)]) if len(rows) else np.zeros(0)
     x = Rows([np.frombuffer(f, np.uint32) for f in rows["_f"]])
-    return fit_chain(x, rows[ys].to_numpy(dtype=int).reshape(len(rows), len(ys)), np.arange(len(rows)) % FOLDS)
+    folds = np.array([zlib.crc32(f) % FOLDS for f in rows["_f"]], int)  # copies of a text share a fold
+    return fit_chain(x, rows[ys].to_numpy(dtype=int).reshape(len(rows), len(ys)), folds, stands / max(stands.mean(), 1e-300) if len(rows) else stands)
 
 
 def predict(docs: DataFrame, chain: list[Linear], categories: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -218,8 +226,8 @@ def predict(docs: DataFrame, chain: list[Linear], categories: list[str], thresho
     return append_columns(docs.drop(*names), make, ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean")
 
 
-#: toxic comes first, so that no other category's guess can excuse a toxic text.
-CATEGORIES = ["toxic", "junk"]
+#: In the order of the chain: the verdict's model sees what the one before it made of a text.
+CATEGORIES = ["junk", "toxic"]
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
