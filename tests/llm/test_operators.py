@@ -216,6 +216,29 @@ def test_reputation_blocks_a_bad_host(spark):
     assert rows["h3.a.org"]["lower"] > 0.5 and rows["h1.a.org"]["lower"] < 0.1
 
 
+def test_reputation_of_single_hosts(spark):
+    """One bad page proves little, fifty do; a page isn't counted again in the domain and suffix of its host."""
+    rows = [(f"www.d{d}.com", d == 1 or (d > 3 and i % 10 == 0)) for d in range(2, 200, 2) for i in range(30)]
+    rows += [(f"www.d{d}.com", d == 1) for d in range(1, 200, 2)] + [("www.bad.com", True)] * 50
+    got = {r["host"]: r for r in url_filters.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert got["www.d1.com"]["lower"] < 0.25 < 0.5 < got["www.bad.com"]["lower"]
+    alone = url_filters.reputation(spark.createDataFrame([("a.b.de", True), ("x", None)], "host string, bad boolean")).collect()
+    assert {r["host"]: r["mean"] for r in alone} == {"a.b.de": pytest.approx(0.75), "x": pytest.approx(0.75)}
+
+
+def test_equal_rules_and_odd_pages(spark):
+    rules = [("allow", "a.com/x"), ("block", "a.com/x"), ("block", "b.com"), ("allow", "b.com/")]
+    urls = ["http://a.com/x", "http://b.com/" + "y" * 100_000, "http://b.com/y", "http://b.com/y", None]
+    pages = spark.createDataFrame([(i % 4, u, None) for i, u in enumerate(urls)], "page_id long, url string, bad boolean")
+    for inline in (200, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(url_filters, "INLINE_RULES", inline)
+            got = [(r["rule"], r["verdict"]) for r in url_filters.judge(pages, rules).orderBy("page_id", "rule").collect()]
+        assert sorted(got, key=str) == [("a.com/x", "allow"), ("b.com", "block"), ("b.com", "block"), ("b.com", "block"), (None, "allow")]
+    odd = spark.createDataFrame([(None, None), ("x", ""), ("y", "<script>" * 2000 + "<" * 2000)], "url string, html string")
+    assert url_filters.outcomes(odd).count() == 3
+
+
 # 4 LM scoring
 
 
