@@ -546,6 +546,52 @@ def test_language_hosts_decide_without_text(spark, sf_dir):
     assert [got[1000 + k] for k in range(len(texts))] == list(texts) and got[2000] in texts
 
 
+def test_language_by_hand(spark):
+    """Every page's fused log-odds, added up again one by one."""
+    docs = [("a", "xx yy xy yx xxyy"), ("a", "xyxy yyx"), ("b", "zz ww zw wz zzww"), (None, "xz"), ("b", "zwz zz")]
+    bodies = {"a": "<p>xxyy xy</p>", "b": "<div>zzww zw</div>", "?": "<br>xz"}
+    pages = [(i, f"http://{h}", f"<html{f' lang={d}' if d else ''}>{bodies[t]}" if t else None) for i, (h, t, d) in enumerate(
+        [("h1.d1.s1", "a", "a"), ("h1.d1.s1", "a", "b"), ("h1.d1.s1", "?", "b"), ("h2.d1.s1", "b", None), ("h3.d2.s1", "b", "b"), ("h4.d3.s2", "?", None), ("h5.d4.s2", None, None), ("h5.d4.s2", "b", "zz"), ("h1.d1.s1", "a", "a")]
+    )]
+    pages[8] = pages[0]  # a repeated row is judged and counted each time
+    frame = spark.createDataFrame(pages + [(9, None, "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in language_id.identify(frame, spark.createDataFrame(docs, "lang string, text string")).collect()}
+    langs, L = ["a", "b"], language_id
+    fold = lambda t: [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode()]
+    cut = lambda t: [(x, y) for x, y in zip(fold(t), fold(t)[1:]) if (x, y) != (32, 32)]
+    n = {g: collections.Counter(p for l, t in docs if l == g for p in cut(t)) for g in langs}
+    first = {g: collections.Counter(x for p, c in n[g].items() for x in [p[0]] * c) for g in langs}
+    rows = []
+    for i, url, html in [*pages, (9, None, "")]:
+        host = (url or "").partition("://")[2]
+        body = re.sub("<[^<>]*>", " ", html or "")
+        text = {g: L.TEMPER * sum(math.log((n[g][p] + 0.05) / (first[g][p[0]] + 256 * 0.05)) for p in cut(body)) for g in langs}
+        total = sum(math.exp(v) for v in text.values())
+        top = max(langs, key=text.get)
+        d = re.search("lang=([a-z]{2,3}|[a-z])", html or "")
+        d = d[1] if d and len(d[1]) > 1 else None
+        rows.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], text, top if math.exp(text[top]) / total >= L.CLEAR else None, d))
+    for k, (i, host, domain, suffix, text, own, d) in enumerate(rows):
+        rest = [r for j, r in enumerate(rows) if j != k and r[5]]
+        z = {}
+        for g in langs:
+            share = (sum(r[5] == g for r in rest) + L.SMOOTH) / (len(rest) + 2 * L.SMOOTH)
+            for at, v in ((3, suffix), (2, domain), (1, host)):
+                near = [r for r in rest if r[at] == v]
+                share = (sum(r[5] == g for r in near) + L.STRENGTH * share) / (len(near) + L.STRENGTH)
+            z[g] = math.log(share) + text[g]
+            if d:
+                kinds = {r[6] for r in rows if r[5] and r[6]}
+                z[g] += math.log((sum(r[5] == g and r[6] == d for r in rest) + L.SMOOTH) / (sum(r[5] == g for r in rest) + L.SMOOTH * (len(kinds) + 1)))
+        best = max(langs, key=z.get)
+        assert got[i]["lang"] == best and got[i]["probability"] == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()), abs=1e-6), i
+
+
+def test_language_visible_text():
+    assert language_id.visible(b"a<script>x</SCRIPT >b<!-- c -->d<nav>e</nav>f<style>g &amp; h").split() == [b"a", b"b", b"d", b"f", b"g", b"h"]
+    assert language_id.visible(b"<script>" * 50_000 + b"<" * 50_000 + b"x").endswith(b"x")
+
+
 def test_language_edges(spark, sf_dir):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<p>x</p>")], "page_id long, url string, html string")
     docs = docs_of(spark, sf_dir)

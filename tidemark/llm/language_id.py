@@ -4,18 +4,18 @@ For each page the log-probabilities of the languages add up from
 
 - its visible text: byte pairs under a model of each language, counted over all labelled documents;
   the sum is tempered, as neighbouring bytes aren't independent;
-- the language its markup declares and the suffix of its address: how often each goes with each
-  language among all pages, smoothed, by grouped aggregation;
-- its host: the languages of the host's other pages, smoothed towards those of its registered domain,
-  these towards those of its suffix, and these towards those of all pages, by grouped aggregation.
+- the language its markup declares: how often that goes with each language among the other pages, smoothed;
+- its address: the languages of the other pages of its host, smoothed towards those of the registered
+  domain, these towards those of the suffix, and these towards those of all. So the suffix speaks once,
+  as the level above the domain.
 
-Counts of pages come from the language that the text alone suggests, where it is clear. A page's own
-share is taken out of the host's counts, so it doesn't vote for itself. Groups are summed map-side, so
-a host with a third of all pages is a few partial sums.
+Counts come from grouped aggregation over the pages whose text alone makes the language clear. A page's
+own count is left out at every level, so it doesn't vote for itself. Groups are summed map-side, so a
+host with a third of all pages is a few partial sums.
 
 Defined results: a null or empty html has no text and no declaration, a null url no host; such pages
 go by the evidence they have, at last by the shares of all pages; ties go to the language first in
-order; a table without labelled documents gives a null language; repeated rows are judged each; extra
+order; a table without labelled documents gives a null language, and one with more than MOST_LANGS an error; repeated rows are judged each; extra
 columns are kept, those named like a result are replaced.
 """
 
@@ -38,14 +38,29 @@ CLEAR = 0.9
 #: Strength, in pages, of each level's prior from the one above, and of the evidence tables'.
 STRENGTH, SMOOTH = 5.0, 1.0
 
-HIDDEN = re.compile(rb"(?is)<(script|style|nav|footer|aside|noscript)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
-TAG = re.compile(rb"<[^>]*>")
+#: Languages whose models the driver holds (half a MB each).
+MOST_LANGS = 500
+
+HIDDEN = re.compile(rb"(?i)<(!--|(?:script|style|nav|footer|aside|noscript)\b)")
+TAG = re.compile(rb"<[^<>]*>")
 ENTITY = re.compile(rb"&[#\w]{1,10};")
-DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
+DECLARED = r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def visible(html: bytes) -> bytes:
-    return ENTITY.sub(b" ", TAG.sub(b" ", HIDDEN.sub(b" ", html)))
+    """The text outside tags, comments and elements that hold no prose; what isn't closed hides nothing, and is looked for once."""
+    out, open_, at, start = [], set(), 0, 0
+    while found := HIDDEN.search(html, at):
+        name, at = found[1].lower(), found.end()
+        if name in open_:
+            continue
+        end = re.compile(rb"-->" if name == b"!--" else rb"(?i)</" + name + rb"\s*>").search(html, at)
+        if end is None:
+            open_.add(name)
+            continue
+        out.append(html[start : found.start()])
+        at = start = end.end()
+    return ENTITY.sub(b" ", TAG.sub(b" ", b" ".join([*out, html[start:]])))
 
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256)], np.int64)
@@ -76,7 +91,10 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "pair", "n"])
 
     labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast(StringType()), "text")
-    rows = labelled.mapInArrow(tidied(run), "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows a language at most
+    counted = materialise(labelled.mapInArrow(tidied(run), "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")))
+    if (many := counted.select("lang").distinct().count()) > MOST_LANGS:
+        raise ValueError(f"{many} languages; models of at most {MOST_LANGS} fit the driver")
+    rows = counted.toPandas()  # at most 65,536 rows a language
     langs = sorted(rows["lang"].unique())
     n = np.zeros((len(langs), 256, 256))
     for i, lang in enumerate(langs):
@@ -128,37 +146,32 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domain = host.groupBy("domain", "suffix").agg(*add)
     suffix = domain.groupBy("suffix").agg(*add)
     every = suffix.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(n_langs)]).first()
-    share = [(every[i] + SMOOTH) / (sum(every) + SMOOTH * n_langs) for i in range(n_langs)]
-
-    def smoothed(df: DataFrame, prior: str) -> DataFrame:
-        """p0.. from n0.. and the prior's q0.."""
-        n = "(" + " + ".join(f"n{i}" for i in range(n_langs)) + f" + {STRENGTH})"
-        return df.selectExpr("*", *(f"(n{i} + {STRENGTH} * {prior.format(i=i)}) / {n} as p{i}" for i in range(n_langs)))
-
-    up = suffix
-    for i, s in enumerate(share):
-        up = up.withColumn(f"q{i}", F.lit(s))
-    up = smoothed(up, "q{i}").select("suffix", *(F.col(f"p{i}").alias(f"q{i}") for i in range(n_langs)))
-    mid = smoothed(domain.join(up, "suffix"), "q{i}").select("domain", "suffix", *(F.col(f"p{i}").alias(f"q{i}") for i in range(n_langs)))
-    low = host.join(mid, ["domain", "suffix"])
-
-    def table(column: str) -> DataFrame:
-        """log P(value of column | language), smoothed."""
-        seen = known.groupBy(column).agg(*counts).where(F.col(column).isNotNull())
-        many = seen.count()
-        return seen.select(column, F.array(*(F.log((F.col(f"n{i}") + SMOOTH) / (every[i] + SMOOTH * (many + 1))) for i in range(n_langs))).alias(f"_{column}"))
-
-    low = low.select(F.col("host").alias("_h"), F.array(*(f"n{i}" for i in range(n_langs))).alias("_n"), F.array(*(f"q{i}" for i in range(n_langs))).alias("_q"))
-    full = judged.join(low, F.col("host") == F.col("_h"), "left").drop("_h")
-    for column in ("declared", "suffix"):
-        full = full.join(table(column).withColumnRenamed(column, "_k"), F.col(column) == F.col("_k"), "left").drop("_k")
-    full = full.withColumn("_n", F.coalesce("_n", F.array(*(F.lit(0.0) for _ in langs)))).withColumn("_q", F.coalesce("_q", F.array(*(F.lit(s) for s in share))))
-    zero = F.array(*(F.lit(0.0) for _ in langs))
-    for column in ("_declared", "_suffix"):
-        full = full.withColumn(column, F.coalesce(column, zero))
+    array = lambda: F.array(*(f"n{i}" for i in range(n_langs)))
+    levels = host.select(F.col("host").alias("_h"), "domain", "suffix", array().alias("_host"))
+    levels = levels.join(domain.select("domain", "suffix", array().alias("_domain")), ["domain", "suffix"])
+    levels = levels.join(suffix.select("suffix", array().alias("_suffix")), "suffix").drop("domain", "suffix")
+    # hosts without a clear page go by their domain, else their suffix
+    nothing = F.array(*(F.lit(0.0) for _ in langs))
+    full = judged.join(levels, F.col("host") == F.col("_h"), "left").drop("_h")
+    for column, table in (("domain", domain), ("suffix", suffix)):
+        above = table.groupBy(F.col(column).alias("_k")).agg(*add).select("_k", array().alias("_other"))
+        full = full.join(above, F.col(column) == F.col("_k"), "left").withColumn(f"_{column}", F.coalesce(f"_{column}", "_other")).drop("_k", "_other")
+    seen = known.groupBy("declared").agg(*counts).where("declared is not null").select(F.col("declared").alias("_k"), array().alias("_declared"))
+    many = seen.count()
+    full = full.join(seen, F.col("declared") == F.col("_k"), "left").drop("_k")
+    full = full.withColumns({c: F.coalesce(c, nothing) for c in ("_host", "_domain", "_suffix", "_declared")})
     own = lambda i: F.coalesce((F.col("_own") == i).cast("double"), F.lit(0.0))
-    size = F.aggregate("_n", F.lit(0.0), lambda a, x: a + x) - F.col("_own").isNotNull().cast("double") + STRENGTH
-    logs = F.array(*(F.log((F.get("_n", F.lit(i)) - own(i) + STRENGTH * F.get("_q", F.lit(i))) / size) + F.get("_text", F.lit(i)) + F.get("_declared", F.lit(i)) + F.get("_suffix", F.lit(i)) for i in range(n_langs)))
+    one = F.col("_own").isNotNull().cast("double")
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    terms = []
+    for i in range(n_langs):
+        p = (F.lit(every[i]) - own(i) + SMOOTH) / (F.lit(float(sum(every))) - one + SMOOTH * n_langs)
+        for c in ("_suffix", "_domain", "_host"):
+            p = (F.get(c, F.lit(i)) - own(i) + STRENGTH * p) / (size(c) - one + STRENGTH)
+        # a page of this declaration is among those counted, if it is clear
+        said = F.log((F.get("_declared", F.lit(i)) - own(i) + SMOOTH) / (F.lit(every[i]) - own(i) + SMOOTH * (many + 1)))
+        terms.append(F.log(p) + F.get("_text", F.lit(i)) + F.when(F.col("declared").isNotNull(), said).otherwise(F.lit(0.0)))
+    logs = F.array(*terms)
     full = full.withColumn("_z", logs).withColumn("_m", F.array_max("_z"))
     names = F.array(*(F.lit(x) for x in langs))
     return full.select(

@@ -164,12 +164,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, most_bad: floa
 
 #: Outcome of a page: bad if symbols or capitals make up too much of its visible text.
 SYMBOLS, MOST_SYMBOLS, MOST_CAPITALS = "#*$%&|<>", 0.03, 0.2
-HIDDEN, TAGS = "(?s)<(script|style)[^>]*>.*?</(script|style)>", "<[^>]*>"
+#: A script or style that isn't closed hides the rest, which also keeps the search linear.
+HIDDEN, TAGS = r"<(script|style)[^<>]*>.*?(</(script|style)>|\z)", "<[^<>]*>"
 
 
 def outcomes(pages: DataFrame) -> DataFrame:
     """pages without html, with the outcome bad, judged from the visible text; null html: null."""
-    text = F.regexp_replace(F.regexp_replace("html", HIDDEN, ""), TAGS, " ")
+    text = F.regexp_replace(F.regexp_replace("html", f"(?s){HIDDEN}", ""), TAGS, " ")
     pages = pages.drop("bad").withColumn("_t", text)
     size = F.length("_t") + 1
     bad = ((size - 1 - F.length(F.translate("_t", SYMBOLS, ""))) / size > MOST_SYMBOLS) | ((size - 1 - F.length(F.translate("_t", UPPER, ""))) / size > MOST_CAPITALS)
@@ -187,7 +188,7 @@ def oracle_sql() -> str:
     ordered = _ordered(RULES)
     case = lambda what: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{(v, r)[what]}'" for v, r, h, p in ordered) + " end"
     sql = f"""with cut as (select page_id, case when contains(url, '://') then url[instr(url, '://') + 3:] else '' end as rest,
- regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]*>', ' ', 'g') as t from pages),
+ regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'gs'), '{TAGS}', ' ', 'g') as t from pages),
 parts as (select page_id, coalesce(rest, '') as rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0) as raw, t from cut),
 urls as (select page_id, translate(raw, '{UPPER}', '{LOWER}') as host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*', 0) as path,
  (length(t) - length(translate(t, '{SYMBOLS}', ''))) / (length(t) + 1) > {MOST_SYMBOLS} or (length(t) - length(translate(t, '{UPPER}', ''))) / (length(t) + 1) > {MOST_CAPITALS} as bad from parts),
