@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -470,20 +471,57 @@ def test_suffix_dedup_edges(spark, odd):
 
 @pytest.mark.parametrize("limit,batch", [(8 << 20, 1 << 18), (200, 7)])
 def test_induced_sort(monkeypatch, limit, batch):
-    monkeypatch.setattr(induced_sort, "LIMIT", limit)
     monkeypatch.setattr(induced_sort, "BATCH", batch)
+    monkeypatch.setattr(induced_sort, "RANGE", batch)
     rng = np.random.default_rng(0)
     for _ in range(60):
         t = np.append(rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 200))), 0).astype(np.uint8)
-        depth = int(rng.choice([4, 10, 50]))
-        places, common = (np.concatenate(x) for x in zip(*induced_sort.suffixes(t, depth)))
+        depth = int(rng.choice([4, 10, 50, 200]))
+        store = induced_sort.Store(limit)
+        places, common = (np.concatenate(x) for x in zip(*induced_sort.suffixes(np.append(t, np.zeros(64, np.uint8)), len(t), depth, store)))
         keys = [t.tobytes()[p : p + depth] for p in places.tolist()]
-        assert sorted(places.tolist()) == list(range(len(t))) and keys == sorted(keys)
+        assert sorted(places.tolist()) == list(range(len(t))) and keys == sorted(keys, reverse=True)
+        assert limit > 1000 or len(t) < 120 or store.spilled and store.mapped
         for a, b, n in zip(keys, keys[1:], common[1:].tolist()):
             k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert n == k or k == min(len(a), len(b))
 
 
+def test_induced_sort_beyond_memory(monkeypatch):
+    """A shard many times the limit: what stays in memory doesn't follow its size, and the runs are those that a plain search finds."""
+    monkeypatch.setattr(induced_sort, "BATCH", 1 << 14)
+    monkeypatch.setattr(induced_sort, "RANGE", 1 << 14)
+    rng = np.random.default_rng(1)
+    words_ = [bytes(rng.integers(97, 123, int(n)).tolist()) for n in rng.integers(2, 9, 300)]
+    parts = [b" ".join(words_[i] for i in rng.integers(0, 300, 22)) for _ in range(12_000)]
+    for k in range(0, 12_000, 7):
+        parts[k] += parts[(k * 31) % 12_000][-60:]
+    parts = list(dict.fromkeys(parts))
+    size = np.array([len(p) for p in parts])
+    body = np.frombuffer(b"".join(parts), np.uint8)
+    least = rng.permutation(len(parts))
+    first: dict[bytes, int] = {}
+    for p, d in zip(parts, least.tolist()):
+        for i in range(len(p) - 49):
+            first[p[i : i + 50]] = min(d, first.get(p[i : i + 50], d))
+    want = {(s, i) for s, (p, d) in enumerate(zip(parts, least.tolist())) for i in range(len(p) - 49) if first[p[i : i + 50]] < d}
+    del first
+    stores = []
+
+    class Watched(induced_sort.Store):
+        def __init__(self, limit):
+            super().__init__(limit)
+            stores.append(self)
+
+    monkeypatch.setattr(suffix_dedup, "Store", Watched)
+    tracemalloc.start()
+    which, at = suffix_dedup.runs_in_shard(body, np.cumsum(size) - size, size, least, limit=1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(body) > 1_400_000 and len(want) > 1000 and {*zip(which.tolist(), at.tolist())} == want
+    assert stores[0].spilled > 4 * len(body) and stores[0].mapped > 2 * len(body) and peak < 8 * len(body)
+
+
 # 8 byte-level BPE
 
 

@@ -1,90 +1,158 @@
-"""Suffix sorting with common prefixes by induction, in bulk, with queues that go to disk.
+"""External induced suffix sorting with common prefixes, by queues that go to disk and recursion on names.
 
 The suffixes of a text are sorted as far as `depth` bytes. Suffixes that begin where a rising run
 follows a falling one (leftmost-S) are sorted first: one induction sorts the pieces between them,
-the pieces get names, and the shorter text of names is sorted by doubling, as deep as `depth` asks.
-A second induction then carries the sorted suffixes to all others: left to right for the falling
-(L) ones, right to left for the rising (S) ones.
-
-An induction is a priority queue by first byte, in which equal bytes keep their order. A batch
-taken from the front of the queue sends tuples (place, common prefix with the one before) of the
-preceding suffixes to the queues of their first bytes, so each queue stays sorted, and is read
-once, in order; it holds LIMIT bytes in memory and the rest in a file that is gone with the task.
-The common prefix of two tuples that become neighbours is one more than the least common prefix
-of all tuples between their origins, which a table of minima over the batch gives.
+the pieces get names, and the shorter text of names is sorted by the same method, again and again, until
+its names are all different or one name is as deep as `depth` asks. A second induction then carries the
+sorted suffixes to all others: left to right for the falling (L) ones, right to left for the rising (S)
+ones.
+
+An induction is a priority queue of tuples (place, common prefix with the tuple before) whose rank is
+their order: a batch taken from the front sends the tuples of the preceding suffixes to the queues of
+their first bytes, so each queue stays sorted, and is read once, in order. The common prefix of two
+tuples that become neighbours is one more than the least common prefix of all tuples between their
+origins, which a table of minima over the batch gives. Texts of names have too many symbols for a queue
+each: there a queue is a range of names, which is sorted when its turn comes.
+
+A Store bounds what is in memory: beyond its limit all queues go to one file, and texts, types, names and
+orders larger than a part of it lie in files that are mapped, not read. All files are gone with the sort.
+What one range of names holds is in memory: RANGE tuples, or all of a name that occurs more often. The
+order comes out as a stream, from the largest suffix down.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of a queue that stay in memory.
-LIMIT = 8 << 20
-#: Tuples taken from a queue at once.
-BATCH = 1 << 18
+#: Bytes of queues and of tables that stay in memory.
+LIMIT = 32 << 20
+#: Tuples taken from a queue at once, and tuples of a range of names.
+BATCH, RANGE = 1 << 18, 1 << 18
+
+
+class Store:
+    """Memory for queues and tables up to a limit, and files beyond."""
+
+    def __init__(self, limit: int = LIMIT):
+        self.limit, self.held, self.spilled, self.mapped, self.queues, self.file = limit, 0, 0, 0, [], None
+
+    def table(self, n: int, kind) -> np.ndarray:
+        """n zeros."""
+        size = n * np.dtype(kind).itemsize
+        if size <= self.limit // 8:
+            return np.zeros(n, kind)
+        self.mapped += size
+        return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,))
+
+    def queue(self) -> Queue:
+        self.queues.append(out := Queue(self))
+        return out
+
+    def make_room(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        for q in self.queues:
+            q.to_disk()
+        self.held = 0
+
+    def write(self, x: np.ndarray) -> int:
+        self.file.seek(0, 2)
+        at = self.file.tell()
+        self.file.write(np.ascontiguousarray(x))
+        self.spilled += x.nbytes
+        return at
+
+    def read(self, at: int, n: int, kind) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(bytearray(self.file.read(n * np.dtype(kind).itemsize)), kind)
 
 
 class Queue:
-    """First in, first out, for arrays of places and common prefixes."""
+    """First in, first out, for blocks of places and common prefixes (or none)."""
 
-    def __init__(self):
-        self.held, self.size, self.file, self.count = [], 0, None, 0
+    def __init__(self, store: Store):
+        self.store, self.blocks, self.count = store, [], 0
 
-    def push(self, place: np.ndarray, lcp: np.ndarray | None) -> None:
-        self.held.append((place, lcp))
-        self.size += place.nbytes + (0 if lcp is None else lcp.nbytes)
+    def push(self, place: np.ndarray, lcp: np.ndarray | None = None) -> None:
+        if not len(place):
+            return
+        last = self.blocks[-1] if self.blocks else None
+        if last is not None and last[0] is not None and len(last[0]) + len(place) <= 4096:  # small pieces make one block
+            self.blocks[-1] = (np.concatenate([last[0], place]), None if lcp is None else np.concatenate([last[1], lcp]))
+        else:
+            self.blocks.append((place.copy(), None if lcp is None else lcp.copy()))
         self.count += len(place)
-        if self.size > LIMIT:
-            self.file = self.file or tempfile.TemporaryFile()
-            for p, c in self.held:
-                np.save(self.file, p)
-                np.save(self.file, np.zeros(0, np.uint8) if c is None else c)
-            self.file.flush()
-            self.held, self.size = [], 0
-
-    def drain(self):
-        """All that was pushed, in order, in few arrays; what is pushed meanwhile comes at the next call."""
-        file, held = self.file, self.held
-        self.file, self.held, self.size, self.count = None, [], 0, 0
-        if file is not None:
-            end = file.tell()
-            file.seek(0)
-            while file.tell() < end:
-                p, c = np.load(file), np.load(file)
-                yield p, (c if len(c) == len(p) else None)
-            file.close()
-        if held:
-            yield np.concatenate([p for p, _ in held]), (None if held[0][1] is None else np.concatenate([c for _, c in held]))
+        self.store.held += place.nbytes + (0 if lcp is None else lcp.nbytes)
+        if self.store.held > self.store.limit:
+            self.store.make_room()
+
+    def to_disk(self) -> None:
+        for i, b in enumerate(self.blocks):
+            if b[0] is not None:
+                self.blocks[i] = (None, len(b[0]), b[0].dtype, self.store.write(b[0]), None if b[1] is None else self.store.write(b[1]))
+
+    def _get(self, block) -> tuple[np.ndarray, np.ndarray | None]:
+        if block[0] is not None:
+            self.store.held = max(0, self.store.held - block[0].nbytes - (0 if block[1] is None else block[1].nbytes))
+            return block
+        _, n, kind, place, lcp = block
+        return self.store.read(place, n, kind), None if lcp is None else self.store.read(lcp, n, np.uint8)
+
+    def drain(self, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """All that was pushed, block by block, in order or from the last block on; what is pushed meanwhile comes at the next call."""
+        blocks, self.blocks, self.count = self.blocks[::-1] if backwards else self.blocks, [], 0
+        for i in range(len(blocks)):
+            yield self._get(blocks[i])
+            blocks[i] = None
+
+    def all(self) -> np.ndarray:
+        """All places that were pushed."""
+        return np.concatenate([np.zeros(0, np.int32), *(p for p, _ in self.drain())])
+
+
+def _parts(n: int, backwards: bool = False) -> Iterator[tuple[int, int]]:
+    edges = [(i, min(n, i + BATCH)) for i in range(0, n, BATCH)]
+    return iter(edges[::-1] if backwards else edges)
 
 
 class Text:
-    """Bytes (the last the only 0) with the type of each suffix."""
-
-    def __init__(self, t: np.ndarray):
-        self.t, n = t, len(t)
-        step = np.zeros(n, np.int8)
-        step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
-        step[-1] = 1
-        at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
-        nxt = np.minimum.accumulate(at[::-1])[::-1]
-        self.rising = step[nxt] > 0
-        lms = self.rising.copy()
-        lms[1:] &= ~self.rising[:-1]
-        lms[0] = False
-        self.lms = np.flatnonzero(lms).astype(np.int32)
-        word = np.zeros(n + 64, np.uint64)
-        word[:n] = t
-        for shift in (1, 2, 4):  # eight bytes from each place on, the first the highest
-            word[:-shift] = word[:-shift] << np.uint64(8 * shift) | word[shift:]
-        self.word = word
+    """Symbols (the last the only least one) with the type of each suffix."""
+
+    def __init__(self, t: np.ndarray, n: int, store: Store):
+        """t: n symbols, for bytes with 64 zeros behind them."""
+        self.t, self.n, self.store = t, n, store
+        self.rising = store.table(n, bool)
+        after_symbol, after_type, count = -1, True, 0
+        for a, b in _parts(n, backwards=True):
+            x = t[a:b].astype(np.int64)
+            step = np.sign(np.append(x[1:], after_symbol if b < n else -1) - x)
+            if b == n:
+                step[-1] = 1
+            at = np.where(step != 0, np.arange(len(x)), len(x))
+            nxt = np.minimum.accumulate(at[::-1])[::-1]
+            self.rising[a:b] = np.append(step, 1 if after_type else -1)[nxt] > 0
+            after_symbol, after_type = int(x[0]), bool(self.rising[a])
+        if t.dtype == np.uint8:
+            self.words = np.ndarray((n + 56,), "V8", buffer=t, strides=(1,))  # eight bytes from each place on
+
+    def is_lms(self, place: np.ndarray) -> np.ndarray:
+        return (place > 0) & self.rising[place] & ~self.rising[place - 1]
+
+    def lms(self) -> Iterator[np.ndarray]:
+        """Places of the leftmost-S suffixes, block by block."""
+        for a, b in _parts(self.n):
+            r = self.rising[max(0, a - 1) : b]
+            yield (np.flatnonzero(r[1:] & ~r[:-1]) + max(1, a)).astype(np.int32 if self.n < 1 << 31 else np.int64)
 
     def common(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Common prefixes of the suffixes at a and b, counted up to depth (in whole at most)."""
+        """Common prefixes of the suffixes at a and b, counted up to depth (250 at most), of bytes."""
         out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
         for i in range(0, depth, 8):
-            x = self.word[np.minimum(a[open_] + i, len(self.t))] ^ self.word[np.minimum(b[open_] + i, len(self.t))]
+            x, y = (self.words[np.minimum(p[open_] + i, self.n)].view(">u8") for p in (a, b))
+            x = (x ^ y).astype(np.uint64)
             lead = np.full(len(x), 8)
             differ = x != 0
             lead[differ] = _lead(x[differ])
@@ -94,6 +162,19 @@ class Text:
                 break
         return np.minimum(out, depth).astype(np.uint8)
 
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+        """Whether `size` symbols (of which depth count) from a and b on are equal."""
+        if self.t.dtype == np.uint8:
+            most = np.minimum(size, min(depth, 248))
+            return self.common(a, b, min(int(most.max(initial=0)), 248)) >= most
+        out, open_ = np.ones(len(a), bool), np.arange(len(a))
+        for i in range(min(depth, int(size.max(initial=0)))):
+            open_ = open_[size[open_] > i]
+            equal = self.t[a[open_] + i] == self.t[b[open_] + i]
+            out[open_[~equal]] = False
+            open_ = open_[equal]
+        return out
+
 
 def _lead(x: np.ndarray) -> np.ndarray:
     """Leading zero bytes of 64-bit numbers that aren't 0."""
@@ -110,16 +191,14 @@ class Induction:
 
     def __init__(self, text: Text, rising: bool, depth: int, carry: bool):
         self.text, self.rising, self.depth, self.carry = text, rising, depth, carry
-        self.queues = [Queue() for _ in range(256)]
+        self.queues = [text.store.queue() for _ in range(256)]
         self.run = np.zeros(256, np.uint8)  # least common prefix since the last tuple sent to each queue
 
     def scan(self, place: np.ndarray, lcp: np.ndarray | None) -> None:
-        for i in range(0, len(place), BATCH):
-            self._scan(place[i : i + BATCH], None if lcp is None else lcp[i : i + BATCH])
+        for a, b in _parts(len(place)):
+            self._scan(place[a:b], None if lcp is None else lcp[a:b])
 
     def _scan(self, place: np.ndarray, lcp: np.ndarray | None) -> None:
-        if not len(place):
-            return
         before = place - 1
         use = np.flatnonzero((before >= 0) & (self.text.rising[before] == self.rising))
         if not len(use):
@@ -140,8 +219,7 @@ class Induction:
             prev = np.empty(len(use), np.int64)
             prev[1:] = use[:-1]
             prev[starts] = -1
-            length = use - prev
-            level = np.frexp(length.astype(np.float64))[1] - 1
+            level = np.frexp((use - prev).astype(np.float64))[1] - 1
             out = np.empty(len(use), np.uint8)
             for k in np.unique(level).tolist():
                 at = np.flatnonzero(level == k)
@@ -156,118 +234,259 @@ class Induction:
         for c, a, b in zip(kinds.tolist(), starts.tolist(), ends.tolist()):
             self.queues[c].push(moved[a:b], None if out is None else out[a:b])
 
+    def bucket(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """The tuples of a first byte, in order, each block being scanned before the next is given."""
+        new = True
+        while self.queues[c].count:
+            for p, x in self.queues[c].drain():
+                if new and self.carry:
+                    x = x.copy()
+                    x[0] = 0  # nothing in common with the byte before
+                new = False
+                yield p, x
+                self.scan(p, x)
 
-def induce(text: Text, seeds: list[tuple[np.ndarray, np.ndarray | None]], depth: int, carry: bool) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray | None]]:
-    """For each byte its L suffixes and S suffixes, rising, with their common prefixes with the one before (in their list).
 
-    seeds: for each byte its leftmost-S suffixes in order.
+def induce(text: Text, seeds: list[Queue], depth: int, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None, bool]]:
+    """All suffixes from the largest down, in blocks of one type: places, common prefixes with the one before (the next larger), and whether they are S.
+
+    seeds: for each byte its leftmost-S suffixes, rising.
     """
-    left = Induction(text, False, depth, carry)
-    falling = []
+    one = lambda a, b: text.common(a, b, depth)[0]
+    left, falling = Induction(text, False, depth, carry), [text.store.queue() for _ in range(256)]
     for c in range(256):
-        places, lcps = [], []
-        while left.queues[c].count:
-            for p, x in left.queues[c].drain():
-                if carry:
-                    x = x.copy()
-                    if not places:
-                        x[0] = 0
-                places.append(p)
-                lcps.append(x)
-                left.scan(p, x)
-        s, x = seeds[c]
-        if len(s) and carry:
-            x = x.copy()
-            x[0] = text.common(places[-1][-1:], s[:1], depth)[0] if places else 0
-        left.scan(s, x)
-        falling.append((np.concatenate(places) if places else s[:0], np.concatenate(lcps) if carry and places else (None if not carry else np.zeros(0, np.uint8))))
+        last = None
+        for p, x in left.bucket(c):
+            falling[c].push(p, x)
+            last = p[-1:]
+        for k, (s, x) in enumerate(seeds[c].drain()):
+            if carry and k == 0:
+                x = x.copy()
+                x[0] = one(last, s[:1]) if last is not None else 0
+            left.scan(s, x)
     right = Induction(text, True, depth, carry)
-    out: list = [None] * 256
     for c in range(255, -1, -1):
-        places, lcps = [], []
-        while right.queues[c].count:
-            for p, x in right.queues[c].drain():
-                if carry:
-                    x = x.copy()
-                    if not places:
-                        x[0] = 0
-                places.append(p)
-                lcps.append(x)
-                right.scan(p, x)
-        l, x = falling[c]
+        last = None
+        for p, x in right.bucket(c):
+            yield p, x, True
+            last = p[-1:]
         if c == 0:  # the end of the text, which nothing precedes in order
-            places.append(np.array([len(text.t) - 1], np.int32))
-            lcps.append(np.zeros(1, np.uint8))
-            right.scan(places[-1], lcps[-1] if carry else None)
-        if len(l):
+            p, x = np.array([text.n - 1], np.int32), np.zeros(1, np.uint8)
+            yield p, x if carry else None, True
+            right.scan(p, x if carry else None)
+            last = p
+        next_ = None  # of the block just given its first tuple's common prefix with the one below
+        for p, x in falling[c].drain(backwards=True):
             back = None
             if carry:
-                back = np.empty(len(l), np.uint8)
+                back = np.empty(len(p), np.uint8)
                 back[1:] = x[:0:-1]
-                back[0] = text.common(places[-1][-1:], l[-1:], depth)[0] if places else 0
-            right.scan(l[::-1], back)
-        s = np.concatenate(places)[::-1] if places else l[:0]
-        y = None
-        if carry:
-            y = np.zeros(len(s), np.uint8)
-            if len(s) > 1:
-                y[1:] = np.concatenate(lcps)[::-1][: len(s) - 1]
-        out[c] = (l, x, s, y)
+                back[0] = next_ if next_ is not None else one(last, p[-1:]) if last is not None else 0
+                next_ = x[0]
+            yield p[::-1], back, False
+            right.scan(p[::-1], back)
+
+
+def _named(text: Text, order: Iterator[np.ndarray], depth: int) -> tuple[Text | None, np.ndarray, int]:
+    """The text of names of the pieces that begin at leftmost-S suffixes, and their places.
+
+    order: these places from the largest piece down. The text is None if all names differ; the places then come
+    in that order's reverse, and else in the order of the text.
+    """
+    store, n = text.store, text.n
+    after, count, last = store.table(n // 2 + 1, np.int32), 0, None  # the piece's length, by half its place
+    for p in text.lms():
+        if len(p):
+            if last is not None:
+                after[last // 2] = p[0] - last + 1
+            after[p[:-1] // 2] = np.diff(p) + 1
+            last, count = int(p[-1]), count + len(p)
+    if last is not None:
+        after[last // 2] = 1
+    name, falling, kinds, before, done = store.table(n // 2 + 1, np.int32), store.table(count, np.int32), 0, None, 0
+    for p in order:
+        if not len(p):
+            continue
+        q = p if before is None else np.append(before, p)
+        size = after[q // 2]
+        new = size[1:] != size[:-1]
+        at = np.flatnonzero(~new)
+        new[at] = ~text.same(q[1:][at], q[:-1][at], size[1:][at], depth)
+        if before is None:
+            new = np.append(True, new)
+        number = kinds + np.cumsum(new)
+        name[p // 2] = number
+        kinds, before = int(number[-1]), p[-1:]
+        falling[count - done - len(p) : count - done] = p[::-1]
+        done += len(p)
+    if kinds == count:
+        return None, falling, kinds
+    short, places, done = store.table(count, np.int32), falling, 0
+    for p in text.lms():
+        short[done : done + len(p)] = kinds + 1 - name[p // 2]
+        places[done : done + len(p)] = p
+        done += len(p)
+    return Text(short, count, store), places, kinds
+
+
+def _sweep(text: Text, edges: np.ndarray, given: list[Queue], rising: bool, depth: int) -> list[Queue]:
+    """The suffixes of one type of a text of names, range by range, in the order of the sweep (falling for S), induced from those given in that order."""
+    t, store = text.t, text.store
+    inbox, found = ([store.queue() for _ in given] for _ in range(2))
+    for r in reversed(range(len(given))) if rising else range(len(given)):
+        new, old = inbox[r].all(), given[r].all()
+        place, kind = [new, old], [np.zeros(len(new), np.int64), np.ones(len(old), np.int64)]
+        parent = [np.full(len(new) + len(old), -1)]
+        tie = np.concatenate([np.arange(len(new)), np.arange(len(old))])
+        last, at = np.concatenate(place), np.arange(len(new) + len(old))
+        total = len(last)
+        while len(last):  # what they send to this same range, and so on
+            before = last - 1
+            own = np.flatnonzero(before >= 0)
+            own = own[text.rising[before[own]] == rising]
+            own = own[(t[before[own]] >= edges[r]) & (t[before[own]] < edges[r + 1])]
+            last, parent_ = before[own], at[own]
+            at = np.arange(total, total + len(last))
+            total += len(last)
+            place.append(last)
+            parent.append(parent_)
+            kind.append(np.zeros(len(last), np.int64))
+        place, parent, kind = np.concatenate(place), np.concatenate(parent), np.concatenate(kind)
+        if not len(place):
+            continue
+        symbol = t[place].astype(np.int64) * (-2 if rising else 2) + kind
+        # by the symbol, then as the suffix behind: one of another range comes before all of this one
+        columns, up, root = [symbol], parent, np.arange(len(place))
+        while (up >= 0).any():
+            root = np.where(up >= 0, up, root)
+            if len(columns) <= depth:
+                columns.append(np.where(up >= 0, symbol[up], np.iinfo(np.int64).min))
+            up = np.where(up >= 0, parent[up], -1)
+        order = np.lexsort((tie[np.minimum(root, len(tie) - 1)], *columns[::-1]))
+        place = place[order]
+        found[r].push(place[kind[order] == 0])
+        before = place - 1
+        before = before[before >= 0]
+        before = before[text.rising[before] == rising]
+        before = before[(t[before] < edges[r]) | (t[before] >= edges[r + 1])]
+        to = np.searchsorted(edges, t[before], "right") - 1
+        order = np.argsort(to, kind="stable")
+        kinds, starts = np.unique(to[order], return_index=True)
+        for k, part in zip(kinds.tolist(), np.split(before[order], starts[1:])):
+            inbox[k].push(part)
+    return found
+
+
+def _dealt(text: Text, edges: np.ndarray, places: Iterator[np.ndarray]) -> list[Queue]:
+    """Places by the range of their symbol, in the order in which they come."""
+    out = [text.store.queue() for _ in edges[1:]]
+    for p in places:
+        to = np.searchsorted(edges, text.t[p], "right") - 1
+        order = np.argsort(to, kind="stable")
+        kinds, starts = np.unique(to[order], return_index=True)
+        for k, part in zip(kinds.tolist(), np.split(p[order], starts[1:])):
+            out[k].push(part)
     return out
 
 
-def _by_byte(text: Text, places: np.ndarray, lcp: np.ndarray | None):
-    """Places sorted by their suffixes (at least by first byte), dealt by first byte."""
-    edges = np.searchsorted(text.t[places], np.arange(257))
-    return [(places[a:b], None if lcp is None else lcp[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+def _sorted_names(text: Text, kinds: int, depth: int) -> np.ndarray:
+    """The places of a text of the names 1 to kinds in suffix order, as far as depth names."""
+    t, store, n = text.t, text.store, text.n
+    count = store.table(kinds + 1, np.int32)
+    for a, b in _parts(n):
+        np.add.at(count, t[a:b], 1)
+    edges, total = [1], 0
+    for a, b in _parts(kinds + 1):  # names until a range is full
+        run = np.cumsum(count[a:b].astype(np.int64)) + total
+        total = int(run[-1])
+        part = run // RANGE
+        edges += (np.flatnonzero(np.diff(part)) + 1 + a).tolist()
+    edges = np.unique(np.append([e for e in edges if 1 <= e <= kinds], kinds + 1))
+    out, done = store.table(n, np.int32), 0
+
+    def by_symbol(queue: Queue) -> np.ndarray:
+        p = queue.all()
+        return p[np.argsort(t[p], kind="stable")]
+
+    if depth <= 1 or kinds == n:
+        for q in _dealt(text, edges, (np.arange(a, b, dtype=np.int32) for a, b in _parts(n))):
+            p = by_symbol(q)
+            out[done : done + len(p)] = p
+            done += len(p)
+        return out
+
+    def induced(seeds: list[Queue]) -> tuple[list[Queue], list[Queue]]:
+        """L suffixes of each range, rising, and S suffixes, falling."""
+        falling = _sweep(text, edges, seeds, False, depth)
+        held, back = [q.all() for q in falling] if n <= RANGE else None, [store.queue() for _ in falling]
+        keep = [store.queue() for _ in falling]
+        for r, q in enumerate(falling):
+            p = held[r] if held is not None else q.all()
+            keep[r].push(p)
+            back[r].push(p[::-1])
+        return keep, _sweep(text, edges, back, True, depth)
+
+    seeds = _dealt(text, edges, text.lms())
+    for q in seeds:
+        p = by_symbol(q)
+        q.push(p)
+    _, rising = induced(seeds)
+
+    def pieces() -> Iterator[np.ndarray]:
+        for q in reversed(rising):
+            p = q.all()
+            yield p[text.is_lms(p)]
+        yield np.array([n - 1], np.int32)
+
+    short, places, many = _named(text, pieces(), depth)
+    if short is not None:
+        order = _sorted_names(short, many, depth // 2 + 1)
+        ordered = (places[order[a:b]] for a, b in _parts(len(order)))
+    else:
+        ordered = (places[a:b] for a, b in _parts(len(places)))
+    falling, rising = induced(_dealt(text, edges, ordered))
+    out[0], done = n - 1, 1
+    for low, high in zip(falling, rising):
+        p = np.concatenate([low.all(), high.all()[::-1]])
+        p = p[np.argsort(2 * t[p].astype(np.int64) + text.rising[p], kind="stable")]
+        out[done : done + len(p)] = p
+        done += len(p)
+    return out
 
 
-def suffixes(t: np.ndarray, depth: int):
-    """Pairs (places, common prefixes with the place before, up to depth), in suffix order as far as depth, for text t (uint8, its last byte its only 0).
+def suffixes(t: np.ndarray, n: int, depth: int, store: Store | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places, common prefixes with the place before, up to depth), from the largest suffix down, sorted as far as depth.
 
-    The order of suffixes that agree in depth bytes is any.
+    t: n bytes of which the last is the only 0, and 64 zeros behind them. The order of suffixes that agree in
+    depth bytes is any.
     """
-    text = Text(t)
-    lms = text.lms
-    if len(lms):
-        first = lms[np.argsort(t[lms], kind="stable")]
-        rough = induce(text, _by_byte(text, first, None), depth, False)
-        is_lms = np.zeros(len(t), bool)
-        is_lms[lms] = True
-        placed = np.concatenate([s[is_lms[s]] for _, _, s, _ in rough])
-        del rough
-        # names: pieces are equal if as long and of equal bytes
-        length = np.full(len(t), 0, np.int32)
-        length[lms] = np.append(np.diff(lms), 0) + 1
-        differ = np.ones(len(placed), bool)
-        a, b = placed[1:], placed[:-1]
-        same = length[a] == length[b]
-        at = np.flatnonzero(same)
-        most = int(length[a[at]].max(initial=0))
-        equal = text.common(a[at], b[at], min(most, 248)) >= np.minimum(length[a[at]], 248)
-        same[at] = equal
-        differ[1:] = ~same
-        name = np.zeros(len(t), np.int32)
-        name[placed] = np.cumsum(differ)
-        rank = name[lms].astype(np.int64)  # the shorter text
-        done = 1
-        while done * 2 <= depth and len(np.unique(rank)) < len(rank):  # each piece but the last moves on a byte or more
-            nxt = np.zeros(len(rank), np.int64)
-            nxt[:-done] = rank[done:]
-            key = rank * (int(rank.max()) + 1) + nxt
-            _, rank = np.unique(key, return_inverse=True)
-            rank = rank + 1
-            done *= 2
-        ordered = lms[np.argsort(rank, kind="stable")]
-        lcp = np.zeros(len(ordered), np.uint8)
-        lcp[1:] = text.common(ordered[1:], ordered[:-1], depth)
+    store = store or Store()
+    text = Text(t, n, store)
+
+    def seeded(places: Iterator[np.ndarray], carry: bool) -> list[Queue]:
+        out, before = [store.queue() for _ in range(256)], None
+        for p in places:
+            if not len(p):
+                continue
+            lcp = None
+            if carry:
+                q = p if before is None else np.append(before, p)
+                lcp = text.common(q[1:], q[:-1], depth)
+                lcp = np.append(np.uint8(0), lcp) if before is None else lcp
+                before = p[-1:]
+            order = np.argsort(t[p], kind="stable")
+            kinds, starts = np.unique(t[p[order]], return_index=True)
+            ends = np.append(starts[1:], len(p))
+            for c, a, b in zip(kinds.tolist(), starts.tolist(), ends.tolist()):
+                out[c].push(p[order[a:b]], None if lcp is None else lcp[order[a:b]])
+        return out
+
+    rough = induce(text, seeded(text.lms(), False), depth, False)
+    short, places, kinds = _named(text, (p[text.is_lms(p)] for p, _, rising in rough if rising), depth)
+    if short is not None:
+        order = _sorted_names(short, kinds, depth // 2 + 1)
+        ordered = (places[order[a:b]] for a, b in _parts(len(order)))
     else:
-        ordered, lcp = lms, np.zeros(0, np.uint8)
-    for l, x, s, y in induce(text, _by_byte(text, ordered, lcp), depth, True):
-        if len(l):
-            yield l, x
-        if len(s):
-            if len(l):
-                y = y.copy()
-                y[0] = text.common(l[-1:], s[:1], depth)[0]
-            yield s, y
+        ordered = (places[a:b] for a, b in _parts(len(places)))
+    for p, lcp, _ in induce(text, seeded(ordered, True), depth, True):
+        yield p, lcp

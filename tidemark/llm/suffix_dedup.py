@@ -11,9 +11,9 @@ shard. So equal windows always meet, whatever documents they are in.
    the least doc_id are sent on; all others are certainly removed, and leave at once. So a group of
    copies sends a segment for each batch, not for each document.
 3. A shard drops names that only one document has, keeps one of all equal segments, and sorts the
-   suffixes of those left by external induced sorting with common prefixes (``induced_sort``), whose
-   queues go to disk. Suffixes that agree in ``length``
-   bytes are one run; windows whose run has a smaller doc_id are removed.
+   suffixes of those whose name is left with several by external induced sorting with common prefixes
+   (``induced_sort``), whose text, names and queues go to disk beyond a limit. Suffixes that agree in
+   ``length`` bytes are one run; windows whose run has a smaller doc_id are removed.
 4. The removed ranges meet the texts by doc_id and are cut out.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; strings never
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import null_safe_text, sliced, small_batches, tidied, utf8
-from .induced_sort import suffixes
+from .induced_sort import LIMIT, Store, suffixes
 from .near_dedup import _GOLD, _M1, _M2, mix, powers
 
 LENGTH = 50
@@ -156,39 +156,49 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 RANGES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, place in it) of the windows that a segment of a smaller `least` also holds; segments are all different."""
-    ends = np.cumsum(size + 1)
-    begin = ends - size - 1
-    text = np.append(gathered(body, start, size, 1), np.uint8(0))
-    text += np.uint8(2)  # UTF-8 has no byte over 0xF4
-    text[ends - 1], text[-1] = 1, 0
-    segment = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    window = np.arange(len(text) - 1) - begin[segment] <= (size - length)[segment]
-    kept_p: list[np.ndarray] = []
-    kept_new: list[np.ndarray] = []
+def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, length: int = LENGTH, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of the windows that a segment of a smaller `least` also holds; segments are all different. limit: bytes of the sort that stay in memory."""
+    store, ends = Store(limit), np.cumsum(size + 1)
+    begin, n = ends - size - 1, int(ends[-1]) + 1
+    text = store.table(n + 64, np.uint8)
+    for a, b in _blocks(size, 1 << 20):
+        part = gathered(body, start[a:b], size[a:b], 1)
+        part += np.uint8(2)  # UTF-8 has no byte over 0xF4
+        part[ends[a:b] - 1 - begin[a]] = 1
+        text[begin[a] : ends[b - 1]] = part
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    open_p, open_s = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the run that isn't ended
+
+    def close(p: np.ndarray, s: np.ndarray, new: np.ndarray) -> None:
+        at = np.flatnonzero(new)
+        own = least[s]
+        smallest = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(p))))
+        hit = smallest < own
+        found.append((s[hit], p[hit] - begin[s[hit]]))
+
     low = length  # least common prefix since the last window
-    for p, lcp in suffixes(text, length):
+    for p, lcp in suffixes(text, n, length, store):
         # between windows lie suffixes too short to matter: minima over the places in between
-        use = np.flatnonzero(window[np.minimum(p, len(window) - 1)] & (p < len(window)))
+        s = np.minimum(np.searchsorted(begin, p, "right") - 1, len(size) - 1)
+        use = np.flatnonzero((p - begin[s] <= size[s] - length) & (p < n - 1))
         if not len(use):
             low = min(low, int(lcp.min()))
             continue
         cut = np.append(0, use[:-1] + 1)
         least_lcp = np.minimum.reduceat(lcp[: use[-1] + 1], cut)
         least_lcp[0] = min(int(least_lcp[0]), low)
-        kept_p.append(p[use])
-        kept_new.append(least_lcp < length)
         low = min(length, int(lcp[use[-1] + 1 :].min(initial=length)))
-    if not kept_p:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, new = np.concatenate(kept_p), np.concatenate(kept_new)
-    new[0] = True
-    at = np.flatnonzero(new)
-    own = least[segment[p]]
-    smallest = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(p))))
-    found = p[smallest < own]
-    return segment[found].astype(np.int64), found - begin[segment[found]]
+        new = least_lcp < length
+        p, s = np.append(open_p, p[use]), np.append(open_s, s[use])
+        new = np.append(np.arange(len(open_p)) == 0, new)
+        new[0] = True
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            close(p[:last], s[:last], new[:last])
+        open_p, open_s = p[last:], s[last:]
+    if len(open_p):
+        close(open_p, open_s, np.arange(len(open_p)) == 0)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _several(key: np.ndarray, value: np.ndarray) -> np.ndarray:
