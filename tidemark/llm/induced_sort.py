@@ -329,6 +329,50 @@ def _named(text: Text, order: Iterator[np.ndarray], depth: int) -> tuple[Text |
     return Text(short, count, store), places, kinds
 
 
+def _chained(symbol: np.ndarray, parent: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The order of items by symbol, then by the item behind (parent; those behind which is none, the first len(tie), come first, by tie).
+
+    Ranks of items that others lie before are made finer by the rank of what is behind them, then behind that
+    twice as far, and so on.
+    """
+    n, free = len(symbol), len(tie)
+    child = parent >= 0
+    whole = np.zeros(n, np.int64)
+    whole[:free] = tie
+    order = np.lexsort((whole, child, symbol))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    at = order[child[order]]  # children, those of one symbol side by side
+    if not len(at):
+        return order
+    new = np.append(True, symbol[at][1:] != symbol[at][:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rank[at] = rank[at][first]  # of equal ones that of the first
+    up = parent.copy()
+    while True:
+        tied = np.zeros(len(at), bool)
+        tied[1:] = rank[at][1:] == rank[at][:-1]
+        tied[:-1] |= tied[1:]
+        open_ = at[tied]
+        if not len(open_):
+            break
+        behind = np.where(up[open_] >= 0, rank[up[open_]], -1)
+        by = np.lexsort((behind, rank[open_]))
+        mine, behind = rank[open_][by], behind[by]
+        group = np.append(True, mine[1:] != mine[:-1])
+        start = np.flatnonzero(group)[np.cumsum(group) - 1]
+        fine = group | np.append(True, behind[1:] != behind[:-1])
+        within = np.flatnonzero(fine)[np.cumsum(fine) - 1] - start
+        known = up[open_] >= 0
+        jump = np.where(known, up[np.maximum(up[open_], 0)], -1)
+        if not known.any():  # what is left is equal
+            break
+        rank[open_[by]] = mine + within
+        up[open_] = jump
+        at = open_[by]
+    return np.argsort(rank, kind="stable")
+
+
 def _sweep(text: Text, edges: np.ndarray, given: list[Queue], rising: bool, depth: int) -> list[Queue]:
     """The suffixes of one type of a text of names, range by range, in the order of the sweep (falling for S), induced from those given in that order."""
     t, store = text.t, text.store
@@ -354,15 +398,7 @@ def _sweep(text: Text, edges: np.ndarray, given: list[Queue], rising: bool, dept
         place, parent, kind = np.concatenate(place), np.concatenate(parent), np.concatenate(kind)
         if not len(place):
             continue
-        symbol = t[place].astype(np.int64) * (-2 if rising else 2) + kind
-        # by the symbol, then as the suffix behind: one of another range comes before all of this one
-        columns, up, root = [symbol], parent, np.arange(len(place))
-        while (up >= 0).any():
-            root = np.where(up >= 0, up, root)
-            if len(columns) <= depth:
-                columns.append(np.where(up >= 0, symbol[up], np.iinfo(np.int64).min))
-            up = np.where(up >= 0, parent[up], -1)
-        order = np.lexsort((tie[np.minimum(root, len(tie) - 1)], *columns[::-1]))
+        order = _chained(t[place].astype(np.int64) * (-2 if rising else 2) + kind, parent, tie)
         place = place[order]
         found[r].push(place[kind[order] == 0])
         before = place - 1
