@@ -10,7 +10,8 @@ shard. So equal windows always meet, whatever documents they are in.
 2. Batches of documents cut their texts into those segments. Of equal segments in a batch only those of
    the least doc_id are sent on; all others are certainly removed, and leave at once. So a group of
    copies sends a segment for each batch, not for each document.
-3. A shard drops names that only one document has, keeps one of all equal segments, and sorts the
+3. A shard drops names that only one document has, keeps one of all equal segments, leaves out those that
+   share no half window with another of their name, and sorts the
    suffixes of those whose name is left with several by external induced sorting with common prefixes
    (``induced_sort``), whose text, names and queues go to disk beyond a limit. Suffixes that agree in
    ``length`` bytes are one run; windows whose run has a smaller doc_id are removed.
@@ -45,21 +46,26 @@ K = 16
 KEY = "_key"
 CHUNK = 2 << 20
 #: Bytes of segments for each shard; a segment is about 66 bytes for 17 new ones.
-SHARD_BYTES, SPREAD = 12 << 20, 4
+SHARD_BYTES, SPREAD = 24 << 20, 4
 _P = 0x9FB21C651E98DF25
 _PINV = pow(_P, -1, 2**64)
 
 
-def names(body: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
-    """For each window of `length` bytes the least hash of its k-byte strings (k is 16)."""
+def short_hashes(body: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of K bytes."""
     with np.errstate(over="ignore"):
         x = body.astype(np.uint64)
         for shift in (1, 2, 4):
             x = x[:-shift] << np.uint64(8 * shift) | x[shift:]
         h = (x[:-8] * _M1) ^ (x[8:] * _GOLD)
         h = (h ^ (h >> np.uint64(32))) * _M2
-        h ^= h >> np.uint64(29)
-    width, span = 1, length - k + 1
+        return h ^ (h >> np.uint64(29))
+
+
+def names(body: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each window of `length` bytes the least hash of its K-byte strings."""
+    h = short_hashes(body)
+    width, span = 1, length - K + 1
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
@@ -156,6 +162,36 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 RANGES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
+def related(body: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which segments (all different, by start) may share a window with another of their name.
+
+    A window holds its name's K-byte string, and at least half of its other bytes stand on one side of that; so
+    segments that share a window share the string with those bytes to its left or to its right.
+    """
+    side = (length - K + 1) // 2
+    key, of = [], []
+    for a, b in _blocks(size):
+        low = int(start[a])
+        h = short_hashes(body[low : int(start[b - 1] + size[b - 1])])
+        first, many = start[a:b] - low, size[a:b] - K + 1
+        least = np.repeat(np.minimum.reduceat(h, np.stack([first, np.minimum(first + many, len(h) - 1)], axis=1).ravel())[::2], many)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.flatnonzero(h[np.repeat(first, many) + step] == least)
+        segment, q = np.repeat(np.arange(a, b), many)[at], step[at]
+        for fits, begin, salt in ((q >= side, q - side, 0), (q + K + side <= size[segment], q, 1)):
+            s = segment[fits]
+            if len(s):
+                with np.errstate(over="ignore"):
+                    key.append(mix(hashed(body, start[s] + begin[fits], np.full(len(s), K + side)) + name[s].astype(np.uint64) * _GOLD + np.uint64(salt)))
+                of.append(s)
+    out = np.zeros(len(size), bool)
+    if key:
+        key, of = np.concatenate(key), np.concatenate(of)
+        order = np.argsort(key, kind="stable")
+        out[of[order][_several(key[order], of[order])]] = True
+    return out
+
+
 def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, length: int = LENGTH, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """(segment, place in it) of the windows that a segment of a smaller `least` also holds; segments are all different. limit: bytes of the sort that stay in memory."""
     store, ends = Store(limit), np.cumsum(size + 1)
@@ -166,6 +202,10 @@ def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least:
         part += np.uint8(2)  # UTF-8 has no byte over 0xF4
         part[ends[a:b] - 1 - begin[a]] = 1
         text[begin[a] : ends[b - 1]] = part
+    owner = store.table(n, np.int32)
+    for a, b in _blocks(size, 1 << 20):
+        owner[begin[a] : ends[b - 1]] = np.repeat(np.arange(a, b), size[a:b] + 1)
+    owner[n - 1] = len(size) - 1
     found: list[tuple[np.ndarray, np.ndarray]] = []
     open_p, open_s = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the run that isn't ended
 
@@ -179,7 +219,7 @@ def runs_in_shard(body: np.ndarray, start: np.ndarray, size: np.ndarray, least:
     low = length  # least common prefix since the last window
     for p, lcp in suffixes(text, n, length, store):
         # between windows lie suffixes too short to matter: minima over the places in between
-        s = np.minimum(np.searchsorted(begin, p, "right") - 1, len(size) - 1)
+        s = owner[p]
         use = np.flatnonzero((p - begin[s] <= size[s] - length) & (p < n - 1))
         if not len(use):
             low = min(low, int(lcp.min()))
@@ -350,7 +390,11 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not open_kinds.any():
             return
         number = np.flatnonzero(open_kinds)
-        use = one[open_kinds]
+        number = number[np.argsort(start[one[number]])]
+        number = number[related(body, start[one[number]], size[one[number]], name[one[number]], length)]
+        if not len(number):
+            return
+        use = one[number]
         which, offset = runs_in_shard(body, start[use], size[use], least[number], length)
         if len(which):
             own = np.flatnonzero(~gone)
