@@ -75,10 +75,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Free the disk of the shuffles and checkpoints that nothing refers to any more; Spark itself waits for the driver to collect its garbage."""
-    for _ in range(2):  # Python's references reach the JVM a little later
+    for _ in range(3):  # Python's references reach the JVM a little later, and its cleaner works behind
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(1)
 
 
 def null_safe_text(column: str = "text"):
