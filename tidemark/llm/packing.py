@@ -19,6 +19,7 @@ each; an empty table gives no rows; extra columns of the pieces are kept.
 
 from __future__ import annotations
 
+import functools
 import os
 from array import array
 
@@ -35,8 +36,8 @@ CAPACITY = 2048
 SALTED, SALTS = 1 << 16, 64
 #: Gradient steps of the least-squares fit.
 STEPS = 150
-#: Stems and tails remembered in a task; up to twice as many are held.
-CACHE = 250_000
+#: Stems and tails remembered in a Python worker; up to twice as many are held.
+CACHE = 300_000
 #: Kind of each byte: 0 blank, 1 ASCII punctuation, 2 ASCII letter or digit, 3 other.
 KINDS = np.array([0 if c in b" \n\t\r" else 3 if c > 126 or c < 33 else 2 if chr(c).isalnum() else 1 for c in range(256)], np.uint8)
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -99,12 +100,18 @@ class Tokens:
         return out, np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str) -> Tokens:
+    """Kept by a Python worker for its next tasks."""
+    return Tokens(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id") -> DataFrame:
     """key, piece, start, length and ids (unsigned little-endian 32-bit) of each text's pieces; end_id closes each text."""
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
     def run(batches):
-        tokens = Tokens(tokenizer)
+        tokens = loaded(tokenizer)
         for batch in sliced(batches, "text", 4 << 20):
             ids, at = tokens(batch.column("text"))
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
