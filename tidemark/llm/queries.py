@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from . import ann, bpe, centroid_clustering, fingerprints, language_id, lm_scoring, near_dedup, packing, prefix_trie, quality_rules, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_language_id": language_id.op9_language_id,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
+        "op12_fingerprints": fingerprints.op12_fingerprints,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -24,4 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.oracle_sql(),
         "op10_quality_rules": quality_rules.oracle_sql(),
+        "op11_centroid_clustering": centroid_clustering.oracle_sql(),
+        "op12_fingerprints": fingerprints.oracle_sql(),
+        "op13_prefix_trie": prefix_trie.oracle_sql(),
     }
