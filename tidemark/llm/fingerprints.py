@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, by expressions alone.
 
-Every paragraph (a line with a word) has a wide vector of 60 lanes, four bits each, hashed from it; its sentences, where it
+Every paragraph (a line with a word) has a wide vector of 120 lanes, four bits each, hashed from it; its sentences, where it
 has several, add theirs. A text's fingerprint is the lane-wise sum modulo 2^24, with the number of summands in front. So the
 order of paragraphs doesn't matter, equal texts have equal fingerprints, and a paragraph is inserted or deleted by adding or
 subtracting its vector, without a look at the rest (``inserted``, ``deleted``). Lanes around their mean are a random
@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from .common import null_safe_text, table
 
-DIGITS, WORDS = 15, 4
-LANES = WORDS * DIGITS
+SEEDS, DIGITS, WORDS = ("0", "1"), 15, 4
+LANES = len(SEEDS) * WORDS * DIGITS
 MODULUS, COUNT_MODULUS = 1 << 24, 1 << 32
 #: Two digits of a word, 32 bits apart, are summed in one number: sums stay apart for 2^27 summands.
 PACKED = 15 | 15 << 32
@@ -49,8 +49,8 @@ def units(text: Column) -> Column:
 
 def lanes(df: DataFrame, keys: list[str], unit: str = "unit") -> DataFrame:
     """keys and v, the sum of the units' vectors as an array: their number, then the lanes; null units add nothing."""
-    hashed = df.select(*keys, unit, F.sha2(unit, 256).alias("h"))
-    words = [F.conv(F.substring("h", 1 + DIGITS * j, DIGITS), 16, 10).cast("bigint") for j in range(WORDS)]
+    hashed = df.select(*keys, unit, *(F.sha2(F.concat(F.lit(s), F.col(unit)), 256).alias(f"h{s}") for s in SEEDS))
+    words = [F.conv(F.substring(f"h{s}", 1 + DIGITS * j, DIGITS), 16, 10).cast("bigint") for s in SEEDS for j in range(WORDS)]
     named = hashed.select(*keys, unit, *(w.alias(f"w{i}") for i, w in enumerate(words)))
     half = 8  # digits i and i + 8 of a word are summed together; there is no sixteenth digit
     sums = [F.sum(F.shiftright(f"w{i}", 4 * d).bitwiseAND(F.lit(PACKED))).alias(f"s{i}_{d}") for i in range(len(words)) for d in range(half)]
@@ -183,11 +183,11 @@ paragraphs as (select r, which, unnest(string_split(t, chr(10))) as p from texts
 sentences as (select r, which, p, string_split(replace(replace(replace(p, '. ', '.' || chr(10)), '? ', '?' || chr(10)), '! ', '!' || chr(10)), chr(10)) as s from paragraphs),
 unit as (select r, which, p as u from paragraphs union all select r, which, unnest(s) from sentences where len(s) > 1),
 word as (select r, which, u from unit where regexp_matches(u, '[^\x20\x09-\x0D]')),
-hashed as (select r, which, substr(sha256(u), 1, 60) as h from word),
-digits as (select r, which, unnest(range(1, 61)) as lane, unnest(string_split(h, '')) as c from hashed),
+hashed as (select r, which, substr(sha256('0' || u), 1, 60) || substr(sha256('1' || u), 1, 60) as h from word),
+digits as (select r, which, unnest(range(1, 121)) as lane, unnest(string_split(h, '')) as c from hashed),
 lane as (select r, which, lane, sum(instr('0123456789abcdef', c) - 1) as s, count(*) as k from digits group by all),
 own as (select r, which, list(s order by lane) as s, max(k) as k from lane group by r, which),
-every as (select t.r, t.which, coalesce(o.k, 0) as k, coalesce(o.s, list_transform(range(60), lambda x: 0)) as s from texts t left join own o on o.r = t.r and o.which = t.which),
+every as (select t.r, t.which, coalesce(o.k, 0) as k, coalesce(o.s, list_transform(range(120), lambda x: 0)) as s from texts t left join own o on o.r = t.r and o.which = t.which),
 written as (select r, which, k, s, format('{:08x}', k) || list_aggregate(list_transform(s, lambda x: format('{:06x}', (x % 16777216)::bigint)), 'string_agg', '') as f, list_transform(s, lambda x: (2 * x - 15 * k)::double) as v from every),
 near as (select a.r, a.f, b.f as ef, x.f as xf, a.v, b.v as ev, x.v as xv from written a join written b on a.r = b.r and a.which = 'own' and b.which = 'edited'
   join written x on x.which = 'own' and x.r = case when a.r = (select max(r) from d) then 1 else a.r + 1 end)
