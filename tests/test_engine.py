@@ -68,13 +68,6 @@ def test_neighbours_match_the_matrix_product(spark):
                 assert got[u, i] == pytest.approx(score[u, i], abs=2e-6)
 
 
-def test_neighbours_by_joins_match_those_of_few(spark, sf_dir):
-    e = queries.on_events(spark, sf_dir)
-    for catalog in (None, e.catalog):
-        few, many = (sorted(map(tuple, R.item_neighbours(e.train, catalog=catalog, few_rows=n).select("user_id", "item_id", "score", "rank").collect())) for n in (10**6, 0))
-        assert few == many and len(few)
-
-
 def test_lists_hold_no_seen_item_and_dense_ranks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(12)], "item_id long, v array<double>")
     train = train_of(spark, [(u, (u * 3 + k) % 12, k) for u in range(4) for k in range(6)])

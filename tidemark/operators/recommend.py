@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import DIGITS, EPS, cosine, l2_distance, matrix, mean_vector
+from ..functions.vectors import DIGITS, cosine, l2_distance, mean_vector
+from .blocks import ITEM_CELL, Cells, cell_best, neighbour_products
+from .ordinals import drawn_places, ordinals
 
 M, K, RECENT = 10, 3, 10
 LLOYD_STEPS = 10
-#: Rows of item vectors that are compared at once, and sent to the executors at once.
-ITEM_BLOCK = 20_000
-#: Rows of history (16 bytes each) up to which all of it goes to the executors.
-FEW_ROWS = 2_000_000
 
 
 def ranked(scored: DataFrame, m: int = M) -> DataFrame:
@@ -50,14 +48,15 @@ def popularity(train: DataFrame, m: int = M) -> DataFrame:
 
 
 def random_items(train: DataFrame, catalog: DataFrame, m: int = M) -> DataFrame:
-    """A uniform sample without replacement of the catalog: the unseen items of least md5(user:item). score is minus the rank.
+    """A uniform sample without replacement of the catalog's unseen items. score is minus the rank.
 
-    Each task holds all items of one user at most as a stream; m of them survive in each task.
+    Every user's md5 keys a permutation of the catalog's places (items by rising id); the first m that the user hasn't seen are
+    taken, so a user costs m + (items seen) draws and no user meets the whole catalog.
     """
-    pairs = train.select("user_id").distinct().crossJoin(catalog.select("item_id").distinct())
-    key = F.md5(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("item_id").cast("string")))
-    w = Window.partitionBy("user_id").orderBy(key, "item_id")
-    out = unseen(pairs, train).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= m)
+    placed, count = ordinals(catalog, "item_id")
+    known = train.select("user_id", "item_id").distinct().join(placed, "item_id", "left")
+    seen = known.groupBy("user_id").agg(F.collect_list("at").alias("taken"))
+    out = drawn_places(seen, count, m).join(placed, "at")
     return out.select("user_id", "item_id", (-F.col("rank")).cast("double").alias("score"), "rank")
 
 
@@ -69,80 +68,18 @@ def affinity(train: DataFrame) -> DataFrame:
     return weighted.join(t.withColumnRenamed("user_id", "other"), "item_id").groupBy("user_id", "other").agg(F.sum("w").alias("weight"))
 
 
-def item_neighbours(train: DataFrame, m: int = M, catalog: DataFrame | None = None, few_rows: int = FEW_ROWS) -> DataFrame:
+def item_neighbours(train: DataFrame, m: int = M, catalog: DataFrame | None = None) -> DataFrame:
     """Item-based neighbours with cosine weights; unseen train items without a neighbour follow with score 0 by id.
 
-    catalog: items that may fill a list after all train items. A history of up to few_rows rows goes to
-    the executors, which score users one by one; a larger one is joined.
+    catalog: items that may fill a list after all train items; the first m of them by id are enough for any user.
     """
     t = train.select("user_id", "item_id").distinct()
-    extra = None
-    if catalog is not None:
-        extra = catalog.select("item_id").distinct().join(t.select("item_id").distinct(), "item_id", "left_anti").orderBy("item_id").limit(m)
-    if t.count() <= few_rows:
-        return _neighbours_of_few(t, m, extra)
-    return _neighbours_by_joins(t, m, extra)
-
-
-def _neighbours_of_few(t: DataFrame, m: int, extra: DataFrame | None) -> DataFrame:
-    """item_neighbours() where the histories fit an executor: the product of one user's row with all histories, sparse."""
-    rows = t.orderBy("user_id", "item_id").toArrow()  # at most few_rows rows
-    items, item = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
-    _, user = np.unique(rows.column("user_id").to_numpy(), return_inverse=True)
-    by_item = np.argsort(item, kind="stable")
-    edges = lambda x, n: np.searchsorted(x, np.arange(n + 1))
-    more = np.zeros(0, items.dtype) if extra is None else np.array([r["item_id"] for r in extra.collect()], items.dtype)  # at most m
-    weight = 1 / np.sqrt(np.bincount(item, minlength=len(items)))
-    shared = t.sparkSession.sparkContext.broadcast((items, item, edges(user, user.max(initial=-1) + 1), user[by_item], edges(item[by_item], len(items)), weight, more))
-
-    def parts(flat, edge, which):
-        """The entries of several rows of a sparse matrix, and the number of each row's."""
-        n = edge[which + 1] - edge[which]
-        ends = np.cumsum(n)
-        return flat[np.repeat(edge[which] - ends + n, n) + np.arange(n.sum())], n
-
-    def run(batches):
-        items, item, users, user, by_item, weight, more = shared.value
-        for batch in batches:
-            ids, found, scores = batch.column("user_id"), [], []
-            for seen in batch.column("items").to_pylist():
-                own = np.searchsorted(items, seen)
-                near, n = parts(user, by_item, own)
-                others, at = np.unique(near, return_inverse=True)
-                theirs, k = parts(item, users, others)
-                total = np.bincount(theirs, np.repeat(np.bincount(at, np.repeat(weight[own], n)), k), len(items))
-                score = np.round(total * weight, DIGITS)
-                score[own] = -1
-                least = np.partition(score, len(score) - m)[len(score) - m] if len(score) > m else 0
-                best = np.flatnonzero(score >= max(least, 0))
-                best = best[np.argsort(-score[best], kind="stable")][:m]
-                fill = more[: m - len(best)]
-                found.append(np.concatenate([items[best], fill]))
-                scores.append(np.concatenate([score[best], np.zeros(len(fill))]))
-            n = [len(f) for f in found]
-            rank = np.concatenate([np.arange(1, k + 1) for k in n]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores)), pa.array(rank)], names=["user_id", "item_id", "score", "rank"])
-
-    kind = lambda c: t.schema[c].dataType.simpleString()
-    return t.groupBy("user_id").agg(F.collect_list("item_id").alias("items")).mapInArrow(run, f"user_id {kind('user_id')}, item_id {kind('item_id')}, score double, rank int")
-
-
-def _neighbours_by_joins(t: DataFrame, m: int, extra: DataFrame | None) -> DataFrame:
-    """item_neighbours() of any size: items that share users are counted inside each user's history, which the activity range bounds, and meet the histories again."""
-    w = t.groupBy("item_id").agg((1 / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("w"))
-    both = t.join(t.withColumnRenamed("item_id", "other"), "user_id").where("item_id <> other").groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n"))
-    both = both.join(w, "item_id").select("item_id", F.col("other"), (F.col("n") * F.col("w")).alias("n"))
-    sums = t.join(both, "item_id").groupBy("user_id", F.col("other").alias("item_id")).agg(F.sum("n").alias("s"))
-    scored = unseen(sums, t).join(w, "item_id").select("user_id", "item_id", F.round(F.col("s") * F.col("w"), DIGITS).alias("score"))
-    best = ranked(scored, m).drop("rank")
-    # zeros: of the first m + m + (longest history) ids at least m are neither seen nor among the best
-    fill = t.select("item_id").distinct().orderBy("item_id").limit(2 * m + most_seen(t))
-    zeros = unseen(unseen(t.select("user_id").distinct().crossJoin(bounded(fill)), t), best)
-    out = best.unionByName(zeros.withColumn("score", F.lit(0.0)))
-    if extra is not None:
-        out = out.unionByName(t.select("user_id").distinct().crossJoin(F.broadcast(extra)).withColumn("score", F.lit(-1.0)))  # extra has m rows at most
-        return ranked(out, m).withColumn("score", F.greatest("score", F.lit(0.0)))
-    return ranked(out, m)
+    best = neighbour_products(t, m)
+    if catalog is None:
+        return ranked(best, m)
+    extra = catalog.select("item_id").distinct().join(t.select("item_id").distinct(), "item_id", "left_anti").orderBy("item_id").limit(m)
+    fill = t.select("user_id").distinct().crossJoin(F.broadcast(extra)).withColumn("score", F.lit(-1.0))  # m rows at most
+    return ranked(best.unionByName(fill), m).withColumn("score", F.greatest("score", F.lit(0.0)))
 
 
 def history_vectors(train: DataFrame, vectors: DataFrame, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -155,48 +92,20 @@ def profiles(history: DataFrame) -> DataFrame:
     return mean_vector(history.select("user_id", "v"), ["user_id"])
 
 
-def nearest_items(queries: DataFrame, train: DataFrame, vectors: DataFrame, m: int = M) -> DataFrame:
+def nearest_items(queries: DataFrame, train: DataFrame, vectors: DataFrame, m: int = M, cell: int = ITEM_CELL) -> DataFrame:
     """The m unseen items of highest cosine to each user's v.
 
-    Items go to the executors in blocks of bounded size; each user's row, with the ids it has seen,
-    is compared with a block by one matrix product, and the blocks' best are ranked together.
+    Users and items meet in cells of items that lie in similar directions. Every user visits the cell nearest to it; its m-th best
+    score there rules out all cells whose items are surely worse, and the others are visited too.
     """
-    spark = queries.sparkSession
-    seen = train.groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    asked = queries.select("user_id", "v").join(seen, "user_id", "left")
-    blocks = max(1, -(-vectors.count() // ITEM_BLOCK))
-    field = vectors.schema["item_id"].dataType.simpleString()
-    user = queries.schema["user_id"].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        chosen = vectors if blocks == 1 else vectors.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = chosen.select("item_id", "v").orderBy("item_id").toPandas()
-        if not len(rows):
-            continue
-        items = np.array(rows["v"].tolist(), float)
-        shared = spark.sparkContext.broadcast((rows["item_id"].to_numpy(), items, np.sqrt((items**2).sum(axis=1))))
-
-        def run(batches, shared=shared):
-            ids, items, norms = shared.value
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    q = matrix(part.column("v"))
-                    score = np.round(q @ items.T / (np.sqrt((q**2).sum(axis=1))[:, None] * norms + EPS), DIGITS)
-                    for r, s in enumerate(part.column("seen").to_pylist()):
-                        at = np.searchsorted(ids, np.array(s if s else [], ids.dtype))
-                        at = at[at < len(ids)]
-                        score[r, at[np.isin(ids[at], np.array(s if s else [], ids.dtype))]] = -np.inf
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :m]
-                    row, col = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                    keep = np.isfinite(score[row, col])
-                    row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([part.column("user_id").take(pa.array(row)), pa.array(ids[col]), pa.array(score[row, col])], names=["user_id", "item_id", "score"])
-
-        x = asked.mapInArrow(run, f"user_id {user}, item_id {field}, score double")
-        found = x if found is None else found.unionByName(x)
-    if found is None:
-        return ranked(queries.select("user_id", F.lit(None).cast(field).alias("item_id"), F.lit(0.0).alias("score")).limit(0), m)
+    cells = Cells(vectors, cell)
+    asked, items = queries.select("user_id", "v"), cells.items()
+    seen = train.select("user_id", "item_id").distinct().join(items.select("item_id", "cell"), "item_id")
+    found = cell_best(cells.home(asked), items, seen, cells.count, m)
+    if cells.count > 1:
+        least = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        known = asked.join(least, "user_id", "left").select("user_id", "v", F.when(F.col("n") >= m, F.col("least")).alias("least"))
+        found = found.unionByName(cell_best(cells.others(known), items, seen, cells.count, m))
     return ranked(found, m)
 
 

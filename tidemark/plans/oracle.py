@@ -32,8 +32,27 @@ def top(name: str, scored: str, m: int = M) -> str:
 
 NEW = "not exists (select 1 from train t where t.user_id = {u}.user_id and t.item_id = {i}.item_id)"
 UNSEEN = NEW.format(u="u", i="i")
-RANDOM = f"""rec_random as materialized (select user_id, item_id, cast(-rank as double) as score, cast(rank as int) as rank from (select u.user_id, i.item_id,
- row_number() over (partition by u.user_id order by md5(concat(u.user_id, ':', i.item_id)), i.item_id) as rank from users u, vec i where {UNSEEN}) where rank <= {M})"""
+#: Every user's permutation of the catalog's places, a network of four rounds walked until it is below the catalog's size.
+ROUNDS = ((1540483477, 15, 668265263), (741103597, 13, 1540483477), (1274126177, 16, 741103597), (668265263, 14, 1274126177))
+
+
+def _permutation() -> str:
+    """Common table expressions draw(user_id, k, pos): the place that draw k of a user gives."""
+    word, out = "4294967295", []
+    out.append("place as materialized (select item_id, row_number() over (order by item_id) - 1 as pos from vec), total as (select count(*) as n from place), size as (select n, (select min(b) from range(1, 31) r(b) where (1::bigint << (2 * b)::int) >= n) as b from total)")
+    out.append("keyed as (select user_id, md5(cast(user_id as varchar)) as h, count(*) as n_seen from train group by user_id)")
+    keys = ", ".join(f"cast(concat('0x', substr(h, {1 + 8 * r}, 8)) as bigint) as k{r}" for r in range(4))
+    out.append(f"start as (select user_id, n, b::int as b, (1::bigint << b::int) - 1 as mask, {keys}, unnest(range(least(n, n_seen + {M}))) as k from keyed, size)")
+    names, rounds = "user_id, n, b, mask, k0, k1, k2, k3, k", "select *, x >> b as l0, x & mask as r0 from walk where x < 0 or x >= n or step = 0"
+    for r, (factor, shift, other) in enumerate(ROUNDS):
+        rounds = f"select *, xor(l{r}, xor(z{r}, z{r} >> 16) & mask) as r{r + 1}, r{r} as l{r + 1} from (select *, (xor(y{r}, y{r} >> {shift}) * {other}) & {word} as z{r} from (select *, (xor(r{r}, k{r}) * {factor}) & {word} as y{r} from ({rounds})))"
+    out.append(f"walk as (select {names}, k::bigint as x, 0 as step from start union all select {names}, (l4 << b) | r4, step + 1 from ({rounds}))")
+    out.append("draw as (select user_id, k, x as pos from walk where step > 0 and x < n)")
+    return ", ".join(out)
+
+
+RANDOM = f"""{_permutation()}, rec_random as materialized (select user_id, item_id, cast(-rank as double) as score, cast(rank as int) as rank from (select u.user_id, i.item_id,
+ row_number() over (partition by u.user_id order by u.k) as rank from draw u join place i using (pos) where {UNSEEN}) where rank <= {M})"""
 POPULAR = top("rec_popular", f"select u.user_id, i.item_id, cast(i.n as double) as score from users u, (select item_id, count(*) as n from train group by item_id) i where {UNSEEN}")
 AFFINITY = "weight as (select item_id, 1 / sqrt(cast(count(*) as double)) as w from train group by item_id), affinity as materialized (select a.user_id, b.user_id as other, sum(w) as weight from train a join weight using (item_id) join train b using (item_id) group by all)"
 KNN_SCORED = f"select u.user_id, i.item_id, coalesce(round(s * w, 6), 0.0) as score from users u cross join weight i left join (select a.user_id, t.item_id, sum(weight) as s from affinity a join train t on t.user_id = a.other group by all) x on x.user_id = u.user_id and x.item_id = i.item_id where {UNSEEN}"
@@ -120,7 +139,7 @@ def sql() -> dict[str, str]:
         "eligible_users": f"with {cp} select user_id from train intersect select user_id from test",
         "item_popularity": f"with {cp} select item_id, count(*) as n from train group by item_id",
         "long_tail_items": f"with {cp} select item_id from tail",
-        "rec_random_hash": f"with {cp}, {RANDOM} select {cols} from rec_random",
+        "rec_random_hash": f"with recursive {cp}, {RANDOM} select {cols} from rec_random",
         "rec_popularity": f"with {cp}, {POPULAR} select {cols} from rec_popular",
         "itemknn_affinity": f"with {ev}, {AFFINITY} select user_id, other, round(weight, 6) as weight from affinity",
         "rec_itemknn": f"with {cp}, {KNN} select {cols} from rec_knn",
@@ -138,11 +157,11 @@ def sql() -> dict[str, str]:
         "review_profile_delta": f"""with {cp}, {HISTORY}, {PROFILE}, {CONTENT}, {measured("one", {"Content": "rec_content"})},
  {PAIR_HISTORY.replace("hist as", "hist2 as")}, {means("profile2", "hist2")}, {nearest("rec_pair", "profile2")}, {measured("two", {"Content": "rec_pair"})}
  select 'Content' as system, round((select avg(recall) from two) - (select avg(recall) from one), 9) as recall_delta, round((select avg(lt_recall) from two) - (select avg(lt_recall) from one), 9) as lt_recall_delta""",
-        "recall_per_user": f"with {experiment()} select * from results",
-        "system_summary": f"with {experiment()}, {SUMMARY} select system, round(recall, 9) as recall, round(lt_recall, 9) as lt_recall, n_users, n_eligible, n_hit, n_lt_hit from summary",
-        "lift_table": f"""with {experiment()}, {SUMMARY} select system, round(recall / nullif((select recall from summary where system = 'Random'), 0), 6) as lift_empirical,
+        "recall_per_user": f"with recursive {experiment()} select * from results",
+        "system_summary": f"with recursive {experiment()}, {SUMMARY} select system, round(recall, 9) as recall, round(lt_recall, 9) as lt_recall, n_users, n_eligible, n_hit, n_lt_hit from summary",
+        "lift_table": f"""with recursive {experiment()}, {SUMMARY} select system, round(recall / nullif((select recall from summary where system = 'Random'), 0), 6) as lift_empirical,
  round(recall / ({M} / (select count(*) from vec)), 6) as lift_theoretical, round(lt_recall / nullif((select lt_recall from summary where system = 'Content'), 0), 6) as lt_content_ratio from summary""",
-        "ordering_check": f"with {experiment()}, {SUMMARY} select (select recall from summary where system = 'ItemKNN') > (select recall from summary where system = 'Popularity') as in_order",
+        "ordering_check": f"with recursive {experiment()}, {SUMMARY} select (select recall from summary where system = 'ItemKNN') > (select recall from summary where system = 'Popularity') as in_order",
         "item_text": "select doc_id, concat(text, ' by ', case when doc_id % 7 <> 0 and source is not null then source else 'Unknown' end) as item_text from documents",
         "embedding_input": f"""with {TURN}, j as (select d.*, case when d.doc_id % 5 = 0 then concat(' ', chr(10), chr(9), ' ') else review end as r from documents d left join turn using (doc_id))
  select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(text, ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
