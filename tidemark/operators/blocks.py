@@ -18,7 +18,9 @@ from ..functions.vectors import DIGITS, EPS, matrix
 #: Items of a cell, pivots at most, users compared at once.
 ITEM_CELL, PIVOTS, AT_ONCE = 16_384, 64, 256
 #: Users and items of a block of the sparse product (its sums are a dense matrix), and entries of a stored piece of it.
-USER_BLOCK, ITEM_BLOCK, PIECE = 4096, 2048, 50_000
+USER_BLOCK, ITEM_BLOCK, PIECE = 16_384, 1024, 200_000
+#: Sums that are added at once.
+ADDED = 1 << 20
 
 
 def _key(df: DataFrame, column: str, parts: int):
@@ -33,7 +35,7 @@ def best_of(score: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the m largest scores of each row, larger first, the smaller column first among equals; -inf never."""
     rows, n = score.shape
     if n > 4 * m:  # those that may be among the m best; equal ones at the edge included
-        least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+        least = np.partition(score, n - m, axis=1)[:, n - m]
         row, col = np.nonzero(score >= least[:, None])
     else:
         row, col = np.repeat(np.arange(rows), n), np.tile(np.arange(n), rows)
@@ -221,12 +223,9 @@ def neighbour_products(t: DataFrame, m: int) -> DataFrame:
     name = item.simpleString()
     weights = t.groupBy("item_id").agg((1 / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("w"))
     histories = t.groupBy("user_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    ones = histories.select(F.explode("items").alias("a"), "items")
-    counts = ones.select("a", F.explode(F.filter("items", lambda x: x > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    both = counts.select(F.explode(F.array(F.struct(F.col("a").alias("j"), F.col("b").alias("i")), F.struct(F.col("b").alias("j"), F.col("a").alias("i")))).alias("p"), "n").select("p.*", "n")
-    both = both.withColumn("cell", _key(both, "i", item_blocks))
-    pieces = both.withColumn("piece", F.pmod(F.xxhash64("j", "i"), F.lit(max(1, sizes["n"] // PIECE))))
-    pieces = pieces.groupBy("cell", "piece").agg(F.collect_list(F.struct("j", "i", "n")).alias("e")).select("cell", F.col("e.j").alias("ids"), F.col("e.i").alias("others"), F.col("e.n").cast("array<double>").alias("x"))
+    ones = histories.select(F.posexplode("items").alias("p", "a"), "items")
+    counts = ones.select("a", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pieces = _packed(counts.select("a", "b", "n", _key(counts, "a", item_blocks).alias("cell_a"), _key(counts, "b", item_blocks).alias("cell_b")), name)
     own = weights.withColumn("cell", _key(weights, "item_id", item_blocks)).groupBy("cell").agg(F.collect_list(F.struct("item_id", "w")).alias("e"))
     own = own.select("cell", F.col("e.item_id").alias("ids"), F.col("e.w").alias("x"))
     users = t.join(weights, "item_id").groupBy("user_id").agg(F.collect_list(F.struct("item_id", "w")).alias("e"))
@@ -264,6 +263,34 @@ def neighbour_products(t: DataFrame, m: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _packed(counts: DataFrame, item: str) -> DataFrame:
+    """Entries (j, i, n) in both orders as pieces (cell of i; ids, others, x) of many: a row for each cell that a task meets in PIECE pairs."""
+
+    def rows(held):
+        a, b, n, of_a, of_b = (np.concatenate([h[c] for h in held]) for c in range(5))
+        cell = np.concatenate([of_b, of_a])
+        order = np.lexsort((np.concatenate([a, b]), cell))
+        j, i, x, cell = np.concatenate([a, b])[order], np.concatenate([b, a])[order], np.concatenate([n, n])[order].astype(float), cell[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        ends = pa.array(np.append(first, len(cell)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(values)) for values in (j, i, x)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[first], pa.int32()), *lists], names=["cell", "ids", "others", "x"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n", "cell_a", "cell_b")])
+                n += batch.num_rows
+            if n >= PIECE:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return counts.mapInArrow(run, f"cell int, ids array<{item}>, others array<{item}>, x array<double>")
+
+
 class ProductCell:
     """The sums of one block of users over one block of items, into which entries of the neighbour matrix are added."""
 
@@ -286,33 +313,45 @@ class ProductCell:
         flat = np.concatenate(self.histories)
         owner = np.repeat(np.arange(len(self.users)), [len(h) for h in self.histories])
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.w = flat[order], owner[order], np.concatenate(self.given)[order]
+        self.owner, self.w = owner[order], np.concatenate(self.given)[order]
+        self.held, first = np.unique(flat[order], return_index=True)
+        self.edges = np.append(first, len(flat))
 
     def add(self, j: np.ndarray, i: np.ndarray, n: np.ndarray) -> None:
-        """Each user that has j gets n (the common users of j and i), times the weight of j, for i."""
+        """Each user that has j gets n (the common users of j and i), times the weight of j, for i. j comes sorted."""
         if not self.users or self.ids is None:
             return
         if self.sums is None:
             self._begin()
-        first, behind = np.searchsorted(self.flat, j), np.searchsorted(self.flat, j, "right")
-        k = behind - first
-        entry = np.repeat(np.arange(len(j)), k)
-        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
-        column = np.searchsorted(self.ids, i)
-        np.add.at(self.sums.reshape(-1), self.owner[place] * len(self.ids) + column[entry], n[entry] * self.w[place])
+        at = np.searchsorted(self.held, j)
+        known = at < len(self.held)
+        known[known] = self.held[at[known]] == j[known]
+        at, column, n = at[known], np.searchsorted(self.ids, i[known]), n[known]
+        first, k = self.edges[at], self.edges[at + 1] - self.edges[at]
+        ends = np.cumsum(k)
+        start = 0
+        while start < len(at):  # as many entries at once as have ADDED sums, or one
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ADDED, "right")))
+            own = k[start:stop]
+            place = np.arange(own.sum()) + np.repeat(first[start:stop] - np.cumsum(own) + own, own)
+            to = self.owner[place] * len(self.ids) + np.repeat(column[start:stop], own)
+            np.add.at(self.sums.reshape(-1), to, np.repeat(n[start:stop], own) * self.w[place])
+            start = stop
 
     def best(self, m: int, user_type, item_type) -> pa.RecordBatch:
         if self.sums is None:
             self._begin()
         found, items, scores = [], [], []
+        if self.ids is not None:
+            column = np.searchsorted(self.ids, self.held)
+            here = column < len(self.ids)
+            here[here] = self.ids[column[here]] == self.held[here]
+            k = np.diff(self.edges)
+            self.sums *= self.weight
+            np.round(self.sums, DIGITS, out=self.sums)
+            self.sums.reshape(-1)[self.owner[np.repeat(here, k)] * len(self.ids) + np.repeat(column, k)[np.repeat(here, k)]] = -np.inf  # what they have seen
         for s in range(0, len(self.users), AT_ONCE):
-            score = np.round(self.sums[s : s + AT_ONCE] * (self.weight if self.ids is not None else 1), DIGITS)
-            for r, seen in enumerate(self.histories[s : s + AT_ONCE]):
-                if self.ids is not None:
-                    c = np.searchsorted(self.ids, seen)
-                    c = c[(c < len(self.ids))]
-                    c = c[np.isin(self.ids[c], seen)]
-                    score[r, c] = -np.inf
+            score = self.sums[s : s + AT_ONCE]
             row, col = best_of(score, m)
             found += [self.users[s + r] for r in row.tolist()]
             items += self.ids[col].tolist() if self.ids is not None else []
