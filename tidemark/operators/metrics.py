@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,6 +116,7 @@ def data_profile(split: DataFrame, tail: DataFrame) -> DataFrame:
 
 
 CI = "system string, metric string, mean double, low double, high double, n long"
+METRICS = ("recall", "lt_recall")
 
 
 def bootstrap_shared(results: DataFrame, systems: list[str], n_boot: int = 10_000, seed: int = 42) -> DataFrame:
@@ -139,18 +142,61 @@ def bootstrap_shared(results: DataFrame, systems: list[str], n_boot: int = 10_00
     return results.select("user_id", "system", "recall", "lt_recall", F.lit(1).alias("_one")).groupBy("_one").applyInArrow(run, CI)
 
 
-def bootstrap(results: DataFrame, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
-    """The same intervals at any size: a resample of n values is a multinomial draw over the different values, of which recalls have few; each system and metric has its own generator."""
-    values = results.select("system", F.explode(F.create_map(F.lit("recall"), F.col("recall"), F.lit("lt_recall"), F.col("lt_recall"))).alias("metric", "value")).where("value is not null")
-    counts = values.groupBy("system", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+#: Multipliers of the weights' hash, below 2^31 so that products with 32 bits fit a signed number of 64 (fixed values of these resamples).
+MIX = (1540483477, 741103597, 1274126177)
+WORD = (1 << 32) - 1
+
+
+def poisson_steps() -> list[int]:
+    """Numbers of 32 bits from which a uniform one stands for a Poisson value of mean 1 above 0, above 1, ..."""
+    steps, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total += term
+        term /= k
+        steps.append(math.floor(total * 2**32))
+    return steps
+
 
-    def run(key, table):
-        system, metric = (k.as_py() for k in key)
-        df = table.to_pandas().sort_values("value")
-        n, x = df["n"].to_numpy(np.int64), df["value"].to_numpy(float)
-        rng = np.random.default_rng([seed, *f"{system}/{metric}".encode()])
-        means = np.concatenate([rng.multinomial(n.sum(), n / n.sum(), min(500, n_boot - i)) @ x / n.sum() for i in range(0, n_boot, 500)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pa.table({"system": [system], "metric": [metric], "mean": [float(n @ x / n.sum())], "low": [low], "high": [high], "n": pa.array([int(n.sum())], pa.int64())})
+def poisson_weights(a: np.ndarray, b: np.ndarray, n_boot: int) -> np.ndarray:
+    """(users, replicas) weights, hashed from two 32-bit keys of each user and the replica's number."""
+    y = (np.arange(n_boot, dtype=np.int64)[None, :] * MIX[0] + a[:, None]) & WORD
+    y = ((y ^ (y >> 15)) * MIX[1]) & WORD
+    y = ((y ^ (y >> 13) ^ b[:, None]) * MIX[2]) & WORD
+    return np.searchsorted(np.array(poisson_steps()), (y ^ (y >> 16)).ravel(), "right").reshape(y.shape).astype(float)
 
-    return counts.groupBy("system", "metric").applyInArrow(run, CI)
+
+def bootstrap(results: DataFrame, n_boot: int = 10_000, seed: int = 42, systems: list[str] | None = None) -> DataFrame:
+    """Percentile intervals of the mean in one pass: place, system, metric, mean, low, high, n (users with a value) and hits (values above 0).
+
+    Each user has a Poisson weight of mean 1 in every replica, hashed from both, the same for all systems and metrics. Tasks add weighted
+    sums of all replicas, which merge; a replica's mean is its weighted mean. systems: in the order of the result (those found, by name).
+    """
+    if systems is None:
+        systems = sorted(r["system"] for r in results.select("system").distinct().collect())
+    cells = [(s, m) for s in systems for m in METRICS]
+    wide = results.groupBy("user_id").agg(*(F.max(F.when(F.col("system") == s, F.col(m))).alias(f"x{i}") for i, (s, m) in enumerate(cells)))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string")))
+    number = lambda i: F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("bigint")
+    columns = [f"{kind}{i}" for kind in "sw" for i in range(len(cells))]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                x = np.column_stack([part.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(cells))])
+                known = ~np.isnan(x)
+                w = poisson_weights(part.column("a").to_numpy(), part.column("b").to_numpy(), n_boot)
+                sums = w.T @ np.hstack([np.where(known, x, 0), known])
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot, dtype=np.int32)), *(pa.array(c) for c in total.T)], names=["replica", *columns])
+
+    partial = wide.select(number(0).alias("a"), number(1).alias("b"), *(f"x{i}" for i in range(len(cells)))).mapInArrow(run, "replica int, " + ", ".join(f"{c} double" for c in columns))
+    merged = partial.groupBy("replica").agg(*(F.sum(c).alias(c) for c in columns))
+    ends = merged.agg(*(F.percentile(F.try_divide(f"s{i}", F.nullif(F.col(f"w{i}"), F.lit(0.0))), F.array(F.lit(0.025), F.lit(0.975))).alias(f"e{i}") for i in range(len(cells))))
+    one = lambda i, s, m: F.struct(F.lit(i).alias("place"), F.lit(s).alias("system"), F.lit(m).alias("metric"), F.col(f"e{i}")[0].alias("low"), F.col(f"e{i}")[1].alias("high"))
+    ends = ends.select(F.inline(F.array(*(one(i, s, m) for i, (s, m) in enumerate(cells)))))
+    values = results.select("system", F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", "value")).where("value is not null")
+    plain = values.groupBy("system", "metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 0).alias("hits"))
+    return plain.join(F.broadcast(ends), ["system", "metric"]).select("place", "system", "metric", "mean", "low", "high", "n", "hits")  # a row a system and metric

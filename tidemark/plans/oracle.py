@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 K, M, RECENT, STEPS, USERS = 3, 10, 10, 10, 200
 
 LOG = "log as (select user_id, try_cast(props ->> '$.k' as bigint) as item_id, ts, event_id from events)"
@@ -119,6 +121,25 @@ def experiment() -> str:
     return f"{base(PURCHASES)}, {RANDOM}, {POPULAR}, {KNN}, {active()}, {CONTENT}, {measured('results', SYSTEMS)}"
 
 
+def resampled(replicas: int = 10_000) -> str:
+    """ci(place, system, metric, mean, low, high, n, hits): every user's Poisson weight in every replica, by the same hash."""
+    cells = [(s, m) for s in SYSTEMS for m in ("recall", "lt_recall")]
+    steps, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total, term = total + term, term / k
+        steps.append(f"(u >= {math.floor(total * 2**32)})::int")
+    wide = ", ".join(f"max(case when system = '{s}' then {m} end) as x{i}" for i, (s, m) in enumerate(cells))
+    means = ", ".join(f"sum(w * x{i}) / nullif(sum(w) filter (where x{i} is not null), 0) as m{i}" for i in range(len(cells)))
+    rows = " union all ".join(f"select {i} as place, '{s}' as system, '{m}' as metric, (select avg({m}) from results where system = '{s}') as mean, quantile_cont(m{i}, 0.025) as low, quantile_cont(m{i}, 0.975) as high, (select count({m}) from results where system = '{s}') as n, (select count(*) from results where system = '{s}' and {m} > 0) as hits from boot" for i, (s, m) in enumerate(cells))
+    return f"""keyed2 as (select user_id, md5(concat('42:', user_id)) as h from (select distinct user_id from results)),
+ mixed as (select user_id, r, cast(concat('0x', substr(h, 9, 8)) as bigint) as b, (r * 1540483477 + cast(concat('0x', substr(h, 1, 8)) as bigint)) & 4294967295 as y from keyed2, range({replicas}) g(r)),
+ mixed2 as (select user_id, r, b, (xor(y, y >> 15) * 741103597) & 4294967295 as y from mixed),
+ mixed3 as (select user_id, r, (xor(xor(y, y >> 13), b) * 1274126177) & 4294967295 as y from mixed2),
+ weighted as (select user_id, r, {" + ".join(steps)} as w from (select user_id, r, xor(y, y >> 16) as u from mixed3)),
+ wide as (select user_id, {wide} from results group by user_id),
+ boot as materialized (select r, {means} from weighted join wide using (user_id) group by r), ci as ({rows})"""
+
+
 SUMMARY = "summary as (select system, avg(recall) as recall, avg(lt_recall) as lt_recall, count(*) as n_users, count(lt_recall) as n_eligible, count(*) filter (where recall > 0) as n_hit, count(*) filter (where lt_recall > 0) as n_lt_hit from results group by system)"
 TURN = "turn as (select conv_id as doc_id, text as review from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations) where n = 1)"
 
@@ -162,6 +183,7 @@ def sql() -> dict[str, str]:
         "lift_table": f"""with recursive {experiment()}, {SUMMARY} select system, round(recall / nullif((select recall from summary where system = 'Random'), 0), 6) as lift_empirical,
  round(recall / ({M} / (select count(*) from vec)), 6) as lift_theoretical, round(lt_recall / nullif((select lt_recall from summary where system = 'Content'), 0), 6) as lt_content_ratio from summary""",
         "ordering_check": f"with recursive {experiment()}, {SUMMARY} select (select recall from summary where system = 'ItemKNN') > (select recall from summary where system = 'Popularity') as in_order",
+        "bootstrap_ci": f"with recursive {experiment()}, {resampled()} select place, system, metric, round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high, n, hits from ci where n > 0",
         "item_text": "select doc_id, concat(text, ' by ', case when doc_id % 7 <> 0 and source is not null then source else 'Unknown' end) as item_text from documents",
         "embedding_input": f"""with {TURN}, j as (select d.*, case when d.doc_id % 5 = 0 then concat(' ', chr(10), chr(9), ' ') else review end as r from documents d left join turn using (doc_id))
  select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(text, ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
