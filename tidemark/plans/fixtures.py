@@ -31,6 +31,23 @@ def purchases(spark: SparkSession, sf_dir: str, users: int | None = None) -> Dat
     return found if users is None else I.sample_users(found, users)
 
 
+def monthly_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As purchases(), an item being a part in one month of the year (12 part + month - 1): many of them have one buyer, a long tail."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
+    log = lines.join(orders, "o_orderkey").withColumn("item_id", 12 * F.col("l_partkey") + F.month("ts") - 1)
+    return I.filter_users(I.dedup(log, ["ts", "o_orderkey", "l_linenumber"]), 20, 200)
+
+
+def monthly_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for the January items: that numbered by the part, modulo the number of vectors."""
+    v = vectors(spark, sf_dir)
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    parts = table(spark, sf_dir, "part").select("p_partkey").crossJoin(F.broadcast(n))  # one row
+    parts = parts.select((12 * F.col("p_partkey")).alias("item"), F.pmod("p_partkey", "n").alias("item_id"))
+    return parts.join(v, "item_id").select(F.col("item").alias("item_id"), "v")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("v"))
 

@@ -14,6 +14,9 @@ BOUGHT = """pairs as (select o_custkey as user_id, l_partkey as item_id, o_order
 active as (select user_id, item_id, ts from (select *, count(item_id) over (partition by user_id) as c from pairs where n = 1) where c between 20 and 200)"""
 
 
+MONTHS = """pairs as (select o_custkey as user_id, 12 * l_partkey + month(o_orderdate) - 1 as item_id, o_orderdate as ts, row_number() over (partition by o_custkey, 12 * l_partkey + month(o_orderdate) order by o_orderdate, l_orderkey, l_linenumber) as n
+ from lineitem join orders on l_orderkey = o_orderkey),
+inter as (select user_id, item_id, ts from (select *, count(item_id) over (partition by user_id) as c from pairs where n = 1) where c between 20 and 200)"""
 PURCHASES = f"{BOUGHT}, inter as (select * from active)"
 
 
@@ -24,7 +27,14 @@ tail as (select item_id from train group by item_id having count(*) = 1), users
 vec as materialized (select vec_id as item_id, cast(embedding as double[]) as v from embeddings where vec_id in (select item_id from split))"""
 
 
+VECTORS = "select vec_id as item_id, cast(embedding as double[]) as v from embeddings"
+#: The January items' vectors, numbered by the part modulo the number of vectors.
+MONTH_VECTORS = "select 12 * p_partkey as item_id, cast(embedding as double[]) as v from part join embeddings on vec_id = p_partkey % (select count(*) from embeddings)"
+
+
 def base(fixture: str) -> str:
+    if fixture is MONTHS:
+        return f"{fixture}, {SPLIT}".replace(f"{VECTORS} where vec_id in", f"select * from ({MONTH_VECTORS}) where item_id in")
     return f"{fixture}, {SPLIT}"
 
 
@@ -117,8 +127,8 @@ def measured(name: str, lists: dict[str, str]) -> str:
  select user_id, system, coalesce(h, 0) / n as recall, case when n_lt > 0 then coalesce(h_lt, 0) / n_lt end as lt_recall from size cross join ({systems}) left join hits using (system, user_id))"""
 
 
-def experiment() -> str:
-    return f"{base(PURCHASES)}, {RANDOM}, {POPULAR}, {KNN}, {active()}, {CONTENT}, {measured('results', SYSTEMS)}"
+def experiment(fixture: str = PURCHASES) -> str:
+    return f"{base(fixture)}, {RANDOM}, {POPULAR}, {KNN}, {active()}, {CONTENT}, {measured('results', SYSTEMS)}"
 
 
 def resampled(replicas: int = 10_000) -> str:
@@ -144,10 +154,25 @@ SUMMARY = "summary as (select system, avg(recall) as recall, avg(lt_recall) as l
 TURN = "turn as (select conv_id as doc_id, text as review from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations) where n = 1)"
 
 
-def sql() -> dict[str, str]:
-    ev, cp, cols = base(EVENTS), base(PURCHASES), "user_id, item_id, score, rank"
+def _overlap() -> str:
     flag = lambda c: f"(select distinct item_id, 1 as {c} from"
     both = lambda x, y, n: f"count(*) filter (where {x} is not null and {y} is not null) as {n}"
+    return f"""with {{base}} select count(a) as train_items, count(b) as test_items, count(e) as vector_items, count(t) as tail_items, {both('a', 'b', 'train_test')}, {both('a', 'e', 'train_vector')}, {both('b', 'e', 'test_vector')}, {both('b', 't', 'test_tail')}, {both('t', 'e', 'tail_vector')}
+ from {flag('a')} train) x full join {flag('b')} test) y using (item_id) full join ({{vectors}}) z using (item_id) full join {flag('t')} tail) w using (item_id)"""
+
+
+OVERLAP = _overlap()
+PROFILE_ROW = """with {base} select *, round((n_train + n_test) / n_users, 6) as rows_a_user, round(100 * n_tail / n_train_items, 6) as pct_tail from (select count(distinct user_id) as n_users, count(distinct item_id) as n_items,
+ count(distinct item_id) filter (where not is_test) as n_train_items, count(*) filter (where not is_test) as n_train, count(*) filter (where is_test) as n_test, (select count(*) from tail) as n_tail from split)"""
+
+
+def both_profiles(history: str) -> str:
+    """The two vector systems' per-user recalls for one kind of history, as a query of its own."""
+    return f"""(with {active(history=history)}, {CONTENT}, {measured("m", {"Content": "rec_content", "ActiveCentroid": "rec_active"})} select system, avg(recall) as r, avg(lt_recall) as l from m group by system)"""
+
+
+def sql() -> dict[str, str]:
+    ev, cp, mo, cols = base(EVENTS), base(PURCHASES), base(MONTHS), "user_id, item_id, score, rank"
     return {
         "dedup_interactions": f"with {LOG}, {DEDUP} select * from dedup",
         "user_activity": f"with {LOG}, {DEDUP} select user_id, count(item_id) as n from dedup group by user_id",
@@ -184,6 +209,17 @@ def sql() -> dict[str, str]:
  round(recall / ({M} / (select count(*) from vec)), 6) as lift_theoretical, round(lt_recall / nullif((select lt_recall from summary where system = 'Content'), 0), 6) as lt_content_ratio from summary""",
         "ordering_check": f"with recursive {experiment()}, {SUMMARY} select (select recall from summary where system = 'ItemKNN') > (select recall from summary where system = 'Popularity') as in_order",
         "bootstrap_ci": f"with recursive {experiment()}, {resampled()} select place, system, metric, round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high, n, hits from ci where n > 0",
+        "tail_items": f"with {mo} select item_id from tail",
+        "tail_recall_per_user": f"with recursive {experiment(MONTHS)} select * from results",
+        "tail_system_summary": f"with recursive {experiment(MONTHS)}, {SUMMARY} select system, round(recall, 9) as recall, round(lt_recall, 9) as lt_recall, n_users, n_eligible, n_hit, n_lt_hit from summary",
+        "tail_lift_table": f"""with recursive {experiment(MONTHS)}, {SUMMARY} select system, round(recall / nullif((select recall from summary where system = 'Random'), 0), 6) as lift_empirical,
+ round(recall / ({M} / (select count(*) from vec)), 6) as lift_theoretical, round(lt_recall / nullif((select lt_recall from summary where system = 'Content'), 0), 6) as lt_content_ratio from summary""",
+        "tail_bootstrap_ci": f"with recursive {experiment(MONTHS)}, {resampled()} select place, system, metric, round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high, n, hits from ci where n > 0",
+        "tail_overlap_profile": OVERLAP.format(base=mo, vectors=f"select item_id, 1 as e from ({MONTH_VECTORS})"),
+        "tail_data_profile": PROFILE_ROW.format(base=mo),
+        "tail_profile_delta": f"with {mo} select a.system, round(b.r - a.r, 9) as recall_delta, round(b.l - a.l, 9) as lt_recall_delta from {both_profiles(HISTORY)} a join {both_profiles(PAIR_HISTORY)} b using (system)",
+        "tail_ordering_check": f"""with recursive {experiment(MONTHS)}, {SUMMARY}, one as (select max(lt_recall) filter (where system = 'ActiveCentroid') as a, max(lt_recall) filter (where system = 'Content') as c, max(lt_recall) filter (where system = 'ItemKNN') as i from summary)
+ select coalesce(a > c and c > i, false) as in_order, round(a, 9) as activecentroid, round(c, 9) as content, round(i, 9) as itemknn from one""",
         "item_text": "select doc_id, concat(text, ' by ', case when doc_id % 7 <> 0 and source is not null then source else 'Unknown' end) as item_text from documents",
         "embedding_input": f"""with {TURN}, j as (select d.*, case when d.doc_id % 5 = 0 then concat(' ', chr(10), chr(9), ' ') else review end as r from documents d left join turn using (doc_id))
  select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(text, ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
@@ -195,10 +231,8 @@ def sql() -> dict[str, str]:
         "matching_reviews": f"""with {TURN}, e as (select user_id, try_cast(props ->> '$.k' as bigint) as item_id, event_type from events)
  select (select count(*) from turn where doc_id in (select doc_id from labels)) as n_labelled_turns,
  (select count(*) from e where exists (select 1 from e b where b.event_type = 'purchase' and b.user_id = e.user_id and b.item_id = e.item_id)) as n_pair_events""",
-        "overlap_profile": f"""with {cp} select count(a) as train_items, count(b) as test_items, count(e) as vector_items, count(t) as tail_items, {both('a', 'b', 'train_test')}, {both('a', 'e', 'train_vector')}, {both('b', 'e', 'test_vector')}, {both('b', 't', 'test_tail')}, {both('t', 'e', 'tail_vector')}
- from {flag('a')} train) x full join {flag('b')} test) y using (item_id) full join (select vec_id as item_id, 1 as e from embeddings) z using (item_id) full join {flag('t')} tail) w using (item_id)""",
-        "data_profile": f"""with {cp} select *, round((n_train + n_test) / n_users, 6) as rows_a_user, round(100 * n_tail / n_train_items, 6) as pct_tail from (select count(distinct user_id) as n_users, count(distinct item_id) as n_items,
- count(distinct item_id) filter (where not is_test) as n_train_items, count(*) filter (where not is_test) as n_train, count(*) filter (where is_test) as n_test, (select count(*) from tail) as n_tail from split)""",
+        "overlap_profile": OVERLAP.format(base=cp, vectors="select vec_id as item_id, 1 as e from embeddings"),
+        "data_profile": PROFILE_ROW.format(base=cp),
         "hash_embedding": """with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from documents),
  c as (select doc_id, cast(cast(concat('0x', substr(md5(w), 1, 8)) as bigint) % 64 as int) as dim, cast(count(*) as double) as n from w where w <> '' group by all)
  select doc_id, dim, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as value from c""",

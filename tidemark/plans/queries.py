@@ -27,6 +27,11 @@ def on_purchases(spark, sf_dir) -> Experiment:
     return Experiment(X.purchases(spark, sf_dir), X.vectors(spark, sf_dir))
 
 
+def on_months(spark, sf_dir) -> Experiment:
+    """The experiment with a long tail."""
+    return Experiment(X.monthly_purchases(spark, sf_dir), X.monthly_vectors(spark, sf_dir))
+
+
 def rounded_vectors(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("v").alias("dim", "value")).select(*keys, "dim", (F.round("value", 6) + 0.0).alias("value"))
 
@@ -118,6 +123,25 @@ def rec_review_profile(spark, sf_dir):
     return R.active_centroid(e.train, e.catalog, profile=pairs, keys=("user_id", "item_id"))
 
 
+def tail_profile_delta(spark, sf_dir):
+    """Change of both mean recalls of both vector systems when profiles come from pair vectors, where there is a long tail."""
+    e = on_months(spark, sf_dir)
+    pairs, users = X.pair_vectors(spark, sf_dir, e.train), I.eligible_users(e.split)
+    one = {"Content": R.content(e.train, e.catalog), "ActiveCentroid": R.active_centroid(e.train, e.catalog)}
+    own = {"profile": pairs, "keys": ("user_id", "item_id")}
+    two = {"Content": R.content(e.train, e.catalog, **own), "ActiveCentroid": R.active_centroid(e.train, e.catalog, **own)}
+    change = Q.delta(*(Q.summary(Q.per_user(x, e.test, e.tail, users)) for x in (one, two)))
+    return change.select("system", F.round("recall_delta", 9).alias("recall_delta"), F.round("lt_recall_delta", 9).alias("lt_recall_delta"))
+
+
+def tail_ordering_check(spark, sf_dir):
+    """Whether long-tail recall falls from the active centroid to content to item neighbours, with the three values."""
+    s = Q.summary(on_months(spark, sf_dir).results())
+    order = ["ActiveCentroid", "Content", "ItemKNN"]
+    value = lambda x: F.round(F.max(F.when(F.col("system") == x, F.col("lt_recall"))), 9).alias(x.lower())
+    return Q.ordered(s, order, "lt_recall").crossJoin(s.agg(*map(value, order)))  # one row each
+
+
 def review_profile_delta(spark, sf_dir):
     """Change of the mean recalls when profiles come from pair vectors."""
     e = on_purchases(spark, sf_dir)
@@ -128,13 +152,13 @@ def review_profile_delta(spark, sf_dir):
     return change.select("system", F.round("recall_delta", 9).alias("recall_delta"), F.round("lt_recall_delta", 9).alias("lt_recall_delta"))
 
 
-def system_summary(spark, sf_dir):
-    s = Q.summary(on_purchases(spark, sf_dir).results())
+def system_summary(spark, sf_dir, fixture=on_purchases):
+    s = Q.summary(fixture(spark, sf_dir).results())
     return s.select("system", F.round("recall", 9).alias("recall"), F.round("lt_recall", 9).alias("lt_recall"), "n_users", "n_eligible", "n_hit", "n_lt_hit")
 
 
-def lift_table(spark, sf_dir):
-    t = on_purchases(spark, sf_dir).lift()
+def lift_table(spark, sf_dir, fixture=on_purchases):
+    t = fixture(spark, sf_dir).lift()
     return t.select("system", *(F.round(c, 6).alias(c) for c in ("lift_empirical", "lift_theoretical", "lt_content_ratio")))
 
 
@@ -142,9 +166,9 @@ def ordering_check(spark, sf_dir):
     return Q.ordered(Q.summary(on_purchases(spark, sf_dir).results()), ["ItemKNN", "Popularity"])
 
 
-def bootstrap_ci(spark, sf_dir):
+def bootstrap_ci(spark, sf_dir, fixture=on_purchases):
     """Means, intervals and hits of both metrics of all systems, in their fixed order."""
-    rows = Q.bootstrap(on_purchases(spark, sf_dir).results(), systems=Q.SYSTEMS)
+    rows = Q.bootstrap(fixture(spark, sf_dir).results(), systems=Q.SYSTEMS)
     return rows.select("place", "system", "metric", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")), "n", "hits")
 
 
@@ -227,6 +251,15 @@ QUERIES = {
     "matching_reviews": matching_reviews,
     "overlap_profile": with_lists(lambda e: Q.overlap_profile(e.train, e.test, e.vectors, e.tail)),
     "data_profile": with_lists(lambda e: Q.data_profile(e.split, e.tail)),
+    "tail_items": with_lists(lambda e: e.tail, on_months),
+    "tail_recall_per_user": with_lists(lambda e: e.results(), on_months),
+    "tail_system_summary": lambda s, d: system_summary(s, d, on_months),
+    "tail_lift_table": lambda s, d: lift_table(s, d, on_months),
+    "tail_bootstrap_ci": lambda s, d: bootstrap_ci(s, d, on_months),
+    "tail_overlap_profile": with_lists(lambda e: Q.overlap_profile(e.train, e.test, e.vectors, e.tail), on_months),
+    "tail_data_profile": with_lists(lambda e: Q.data_profile(e.split, e.tail), on_months),
+    "tail_profile_delta": tail_profile_delta,
+    "tail_ordering_check": tail_ordering_check,
     "hash_embedding": lambda s, d: hash_embedding(documents(s, d)),
     "csv_roundtrip": csv_roundtrip,
     "tsv_roundtrip": tsv_roundtrip,
