@@ -151,6 +151,14 @@ def test_toxicity_edges(spark, odd):
     assert toxicity.judge(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_one_category(spark):
+    texts = [f"plain words number{i}" for i in range(40)] + [f"nasty slurry number{i}" for i in range(40)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    rows = toxicity.predict(docs, toxicity.train(docs, labels, ["toxic"]), ["toxic"]).toPandas()
+    assert (rows.toxic == (rows.doc_id >= 40)).mean() > 0.95
+
+
 # 2 packing
 
 
@@ -349,6 +357,24 @@ def test_ann_recall_of_a_shortlist(spark, size):
     assert hits >= 0.9 * 200
 
 
+def test_ann_recall_beside_outliers(spark):
+    """One huge and one tiny vector among 10,000, and rows of many sizes: every query still finds its nearest."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(10_000, 32))
+    x[5000:] *= 10 ** rng.uniform(-3, 3, (5000, 1))
+    x[7], x[8], x[2500] = 1e25, 1e-25, x[2500] * 1e25
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, every=500, rerank=400).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q, found in got.items():
+        d = ann.distances(x, np.broadcast_to(x[q], x.shape))
+        d[q] = np.inf
+        hits += len({v for _, v in found} & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert len(got) == 20 and hits >= 0.9 * 200
+
+
 def test_ann_repeated_query_ids(spark):
     """Of rows that share a query's vec_id the least vector asks, and none of them answers."""
     df = spark.createDataFrame([(100, [5.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 1.0]), (2, [5.0, 1.0])], "vec_id long, embedding array<double>")

@@ -3,10 +3,13 @@
 A vector is coded as a sum of BOOKS full-dimensional codewords. The codebooks are fitted on the driver on
 at most SAMPLE vectors (those of least hashed id): residual k-means, then rounds of beam-search
 encoding and a least-squares update of all codewords at once. Every row is encoded by beam search
-and stored with its codes and the squared norm of their sum.
+and stored with its codes and its norm.
+
+Vectors are coded by their direction: every row is divided by its own norm, which is stored in double precision, so that no
+large or small vector spoils the codes of the others.
 
 Rows and queries are dealt into groups and blocks, and each (block, group) cell is a task's work: inner
-products with all codewords go into lookup tables, and the sums over a row's codes and its stored norm
+products with all codewords go into lookup tables, and the sums over a row's codes together with its stored norm
 rank the group's rows for each query. The best RERANK rows of all groups together are a query's
 shortlist; they alone are compared by the exact distance on the original vectors.
 
@@ -16,8 +19,7 @@ that share such a vec_id the least vector asks.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows without a vec_id; rows that share the query's vec_id
-count as its own; equal vectors are all returned; vectors of any finite size are coded relative to the
-largest component of all; fewer than k candidates give fewer rows; empty in, empty out.
+count as its own; equal vectors are all returned; vectors may have any finite size; fewer than k candidates give fewer rows; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -97,22 +99,30 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 1) ->
     return out
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their norms, and the norms; no square leaves the range of numbers."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    part = x / most
+    length = np.sqrt((part**2).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return (part / length).astype(np.float32), (most * np.minimum(length, np.finfo(float).max / most))[:, 0]
+
+
 def valid(vectors: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector)
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & whole & F.exists(v, lambda x: x != 0))
 
 
-def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, np.ndarray | None, float]:
-    """(vec_id, embedding, codes, norm, _row: a number of its own) of every valid row, the codebooks (None without rows), and what components were divided by for them."""
+def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, np.ndarray | None]:
+    """(vec_id, embedding, codes, norm, _row: a number of its own) of every valid row, and the codebooks (None without rows)."""
     rows = valid(vectors, vector).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
-        return rows, None, 1.0
+        return rows, None
     rows = rows.where(F.size("embedding") == length["d"])
-    scale = rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    books = fit((np.array(sample["embedding"].tolist()) / scale).astype(np.float32))
+    books = fit(directions(np.array(sample["embedding"].tolist(), float))[0])
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
@@ -121,12 +131,11 @@ def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFram
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                codes = encode((x / scale).astype(np.float32), books)
-                norm = (decoded(codes, books).astype(np.float64) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
+                unit, norm = directions(x)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in encode(unit, books)], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
 
     coded = rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary, norm double")
-    return materialise(coded.withColumn("_row", F.monotonically_increasing_id())), books, scale
+    return materialise(coded.withColumn("_row", F.monotonically_increasing_id())), books
 
 
 def lowest(score: np.ndarray, n: int) -> np.ndarray:
@@ -152,7 +161,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return out
 
 
-def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, scale: float, rerank: int) -> DataFrame:
+def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, rerank: int) -> DataFrame:
     """query_id and _row of each query's `rerank` rows of least quantised distance (ties by vec_id) over the whole index; asked: query_id and query."""
     groups, blocks = (max(1, -(-x.count() // n)) for x, n in ((index, GROUP), (asked, QUERY_BLOCK)))
     shared = index.sparkSession.sparkContext.broadcast(books)
@@ -167,20 +176,23 @@ def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, scale: flo
         vec, row, norm = (rows.column(c).to_numpy() for c in ("vec_id", "_row", "norm"))
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(vec), len(books))
         ids = queries.column("query_id").to_numpy()
-        asked = (queries.column("query").combine_chunks().flatten().to_numpy().reshape(len(ids), -1) / scale).astype(np.float32)
+        asked, size = directions(queries.column("query").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)) if len(ids) else (None, None)
         out = []
         for i in range(0, len(ids) if len(vec) else 0, HELD):
             q = asked[i : i + HELD]
-            score = np.broadcast_to(norm.astype(np.float32), (len(q), len(vec))).copy()
+            cosine = np.zeros((len(q), len(vec)), np.float32)
             for book, c in zip(books, codes.T):
-                score -= np.take(2 * q @ book.T, c, axis=1)
+                cosine += np.take(q @ book.T, c, axis=1)
+            with np.errstate(over="ignore"):  # the squared distance, less that of the query from zero, in units of the query's square
+                ratio = np.minimum(norm / size[i : i + HELD, None], 1e150)
+            score = ratio * (ratio - 2 * cosine)
             score[ids[i : i + HELD, None] == vec] = np.inf
             at = lowest(score, rerank)
             out += [[x.tobytes() for x in (vec[a], row[a], s[a])] for a, s in zip(at, score)]
         return pa.table({"query_id": pa.array(ids[: len(out)], pa.int64()), **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("vec", "row", "score"))}})
 
     def best(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:  # one cell after another: no more than two shortlists are held
             for r in range(batch.num_rows):
                 held = [np.append(h, np.frombuffer(batch.column(c)[r].as_py(), h.dtype)) for h, c in zip(held, ("vec", "row", "score"))]
@@ -195,12 +207,12 @@ def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, scale: flo
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK, vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows of each query."""
-    index, books, scale = build_index(vectors, vector)
+    index, books = build_index(vectors, vector)
     if books is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
     asked = materialise(asked)
-    near = shortlists(index, asked, books, scale, rerank)
+    near = shortlists(index, asked, books, rerank)
     near = near.join(F.broadcast(asked) if 8 * asked.count() * books.shape[2] <= FEW_BYTES else asked, "query_id").join(index.select("_row", "vec_id", "embedding"), "_row")
 
     def run(batches):

@@ -24,6 +24,7 @@ alike; extra columns are kept, those named like a result are replaced.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     rows = rows.sort_values(["_h", "_f"]).reset_index(drop=True)
     # a row stands for as many as its combination of labels has in all
     total = {tuple(r[y] for y in ys): r["n"] for r in labels.groupBy(*ys).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a combination
-    drawn = rows.groupby(ys).size().to_dict()
+    drawn = Counter(rows[ys].itertuples(index=False, name=None))
     stands = np.array([total[c] / drawn[c] for c in rows[ys].itertuples(index=False, name=None)]) if len(rows) else np.zeros(0)
     x = Rows([np.frombuffer(f, np.uint32) for f in rows["_f"]])
     folds = np.array([zlib.crc32(f) % FOLDS for f in rows["_f"]], int)  # copies of a text share a fold
