@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import joined, name_in, per_text
+
 REVIEW_CHARS, AUTHOR_CHARS, DESCRIPTION_CHARS, BROKEN_AUTHOR_CHARS = 500, 100, 200, 50
 
 
@@ -38,25 +40,18 @@ def embedding_input(review: Column, title: Column, author: Column, description:
 
 
 def author_name(raw: Column) -> Column:
-    """The name of an author given as a JSON object, as the text of a Python dict, or as plain text; never evaluated."""
+    """The name of an author given as a JSON object, as the text of a Python dict, or as plain text; never evaluated.
+
+    Malformed objects give their first 50 characters, plain text its first 100.
+    """
     r = F.coalesce(raw, F.lit(""))
-    named = F.coalesce(F.try_parse_json(r).isNotNull() & F.get_json_object(r, "$").isNotNull(), F.lit(False))
-    quoted = F.regexp_extract(r, r"""['"]name['"]\s*:\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")""", 0)
-    value = F.regexp_replace(F.regexp_replace(quoted, r"""^['"]name['"]\s*:\s*['"]""", ""), r"""['"]$""", "")
-    return F.when(
-        r.startswith("{"),
-        F.when(named, F.coalesce(F.get_json_object(r, "$.name"), F.lit(""))).when(quoted != "", value).when(r.endswith("}"), F.when(r.rlike(r"^\{\s*\}$"), F.lit("")).otherwise(F.substring(r, 1, BROKEN_AUTHOR_CHARS))).otherwise(F.substring(r, 1, BROKEN_AUTHOR_CHARS)),
-    ).otherwise(F.substring(r, 1, AUTHOR_CHARS))
+    return F.when(r.startswith("{"), per_text(name_in, BROKEN_AUTHOR_CHARS)(F.when(r.startswith("{"), r))).otherwise(F.substring(r, 1, AUTHOR_CHARS))
 
 
 def description_text(raw: Column) -> Column:
     """A description given as a JSON list, as the text of a Python list, or as plain text: joined by spaces, cut to 200 characters; never evaluated."""
     r = F.coalesce(raw, F.lit(""))
-    listed = F.try_parse_json(r).isNotNull()
-    parts = F.from_json(F.when(listed, r), "array<string>")
-    quoted = F.regexp_extract_all(r, F.lit(r"""'((?:[^'\\]|\\.)*)'"""), F.lit(1))
-    text = F.when(listed, F.array_join(parts, " ")).when(F.size(quoted) > 0, F.array_join(quoted, " ")).otherwise(r)
-    return F.substring(F.when(r.startswith("["), text).otherwise(r), 1, DESCRIPTION_CHARS)
+    return F.when(r.startswith("["), per_text(joined, DESCRIPTION_CHARS)(F.when(r.startswith("["), r))).otherwise(F.substring(r, 1, DESCRIPTION_CHARS))
 
 
 def try_epoch(ts: Column) -> Column:
@@ -64,6 +59,12 @@ def try_epoch(ts: Column) -> Column:
     return F.when(ts.rlike("^[0-9]+$"), ts.try_cast("bigint"))
 
 
+def time_order(ts: Column) -> Column:
+    """What stamps are ordered by: digits as numbers, then any other text as text, then missing ones."""
+    number = F.when(ts.rlike("^[0-9]+$"), ts.try_cast("decimal(38,0)"))
+    return F.struct(F.when(number.isNotNull(), 0).when(ts.isNotNull(), 1).otherwise(2).alias("kind"), number.alias("number"), F.when(number.isNull(), ts).alias("text"))
+
+
 def user_seed(user: Column) -> Column:
     """The first four bytes of the id's md5 as an unsigned big-endian number."""
     return F.conv(F.substring(F.md5(user.cast("string")), 1, 8), 16, 10).cast("bigint")
