@@ -224,8 +224,17 @@ def sql() -> dict[str, str]:
         "embedding_input": f"""with {TURN}, j as (select d.*, case when d.doc_id % 5 = 0 then concat(' ', chr(10), chr(9), ' ') else review end as r from documents d left join turn using (doc_id))
  select doc_id, case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then substr(r, 1, 500) else concat(text, ' by ', source, '. ', substr(text, 1, 200)) end as embedding_input,
  case when length(trim(coalesce(r, ''), concat(' ', chr(10), chr(9), chr(13)))) > 0 then 'review' else 'metadata' end as embedding_source from j""",
-        "author_description": """select doc_id, case when doc_id % 4 = 3 then substr(concat('{broken ', source), 1, 50) else source end as author,
- substr(case when doc_id % 4 < 2 then concat(source, ' ', lang) when doc_id % 4 = 2 then lang else concat('[broken ', source) end, 1, 200) as description from documents""",
+        "author_description": """select doc_id, case when doc_id % 6 = 3 then substr(concat('{broken ', source), 1, 50) when doc_id % 6 = 4 then concat('O''', source, ' A') when doc_id % 6 = 5 then concat('é "', source, '"') else source end as author,
+ substr(case when doc_id % 6 < 2 then concat(source, ' ', lang) when doc_id % 6 = 2 then lang when doc_id % 6 = 3 then concat('[broken ', source) when doc_id % 6 = 4 then concat('it''s ', source, ' ', lang, ' "x" ab None')
+  else concat(source, ' [''', lang, ''', 1] True') end, 1, 200) as description from documents""",
+        "prepared_rows": f"""with {BOUGHT}, s as (select cast(user_id as varchar) as user_id, item_id, row_number() over w as rn, count(*) over (partition by user_id) as n from active window w as (partition by user_id order by ts, cast(item_id as varchar))),
+ said as (select cast(o_custkey as varchar) as user_id, l_partkey as item_id, arg_min(case when l_orderkey % 3 = 0 then concat(' ', chr(9), ' ') else concat(l_returnflag, ' says "', l_linestatus, '"', chr(10), ' of ', l_orderkey) end, (o_orderdate, l_orderkey)) as t from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 group by all),
+ m as (select p_partkey as item_id, concat(p_name, ' by ', case p_partkey % 4 when 0 then p_brand when 1 then concat('O''', p_brand) when 2 then p_brand else concat('{{broken ', p_brand) end, '. ', case p_partkey % 4 when 0 then concat(p_type, ' ', p_name) when 1 then concat('it''s ', p_type) when 2 then p_type else concat('[broken ', p_type) end) as t from part)
+ select user_id, cast(s.item_id as varchar) as item_id, case when rn > n - greatest(1, cast(round(0.2 * n) as bigint)) then 'test' else 'train' end as split, cast(rn as int) as rn,
+ case when said.t is not null and length(trim(said.t, concat(' ', chr(9)))) > 0 then said.t else coalesce(m.t, ' by . ') end as embedding_input, case when said.t is not null and length(trim(said.t, concat(' ', chr(9)))) > 0 then 'review' else 'metadata' end as embedding_source
+ from s left join said using (user_id, item_id) left join m on m.item_id = s.item_id""",
+        "rejected_lines": "select 'reviews' as table, '{broken' as rejected, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 2 having count(*) > 0",
+        "streamed_tail": "select item_id from (select try_cast(props ->> '$.k' as bigint) * 1000 + event_id % 1000 as item_id, user_id from events) where item_id is not null group by item_id having count(distinct user_id) = 1",
         "join_coverage": f"""with {TURN} select count(*) as n_rows, round(100 * avg((l.doc_id is not null)::int), 6) as pct_labels, round(100 * avg((t.doc_id is not null)::int), 6) as pct_reviews,
  round(100 * avg((l.doc_id is not null and t.doc_id is not null)::int), 6) as pct_all from documents d left join (select distinct doc_id from labels) l using (doc_id) left join turn t using (doc_id)""",
         "matching_reviews": f"""with {TURN}, e as (select user_id, try_cast(props ->> '$.k' as bigint) as item_id, event_type from events)

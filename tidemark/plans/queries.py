@@ -11,8 +11,10 @@ from ..operators import metrics as Q
 from ..operators import recommend as R
 from ..sources import tables as S
 from ..sources.shared import shared_folder
+from ..streaming.tail import streamed_tail as tail_stream
 from . import fixtures as X
 from .experiment import Experiment, hash_embedding
+from .preparation import prepare
 
 #: Users that user_sample draws, which is its feature.
 USERS = 200
@@ -63,13 +65,57 @@ def author_description(spark, sf_dir):
     """Authors and descriptions in each of the shapes they come in."""
     d = documents(spark, sf_dir).select("doc_id", "source", "lang")
     quoted = lambda c, q: F.concat(F.lit(q), c, F.lit(q))
-    kind = F.col("doc_id") % 4
+    kind = F.col("doc_id") % 6
     s, g = F.col("source"), F.col("lang")
-    author = F.when(kind == 0, F.concat(F.lit('{"name": '), quoted(s, '"'), F.lit("}"))).when(kind == 1, F.concat(F.lit("{'name': "), quoted(s, "'"), F.lit(", 'about': []}"))).when(kind == 2, s).otherwise(F.concat(F.lit("{broken "), s))
-    about = F.when(kind == 0, F.concat(F.lit("["), quoted(s, '"'), F.lit(", "), quoted(g, '"'), F.lit("]"))).when(kind == 1, F.concat(F.lit("["), quoted(s, "'"), F.lit(", "), quoted(g, "'"), F.lit("]"))).when(kind == 2, g).otherwise(F.concat(F.lit("[broken "), s))
+    author = F.when(kind == 0, F.concat(F.lit('{"name": '), quoted(s, '"'), F.lit("}"))).when(kind == 1, F.concat(F.lit("{'name': "), quoted(s, "'"), F.lit(", 'about': []}"))).when(kind == 2, s)
+    author = author.when(kind == 4, F.concat(F.lit("{'about': ['}', None, 1.5], \"name\": 'O\\'"), s, F.lit(" \\x41'}"))).when(kind == 5, F.concat(F.lit('{"n": {"name": 1}, "name": "\\u00e9 \\"'), s, F.lit('\\""}'))).otherwise(F.concat(F.lit("{broken "), s))
+    about = F.when(kind == 0, F.concat(F.lit("["), quoted(s, '"'), F.lit(", "), quoted(g, '"'), F.lit("]"))).when(kind == 1, F.concat(F.lit("["), quoted(s, "'"), F.lit(", "), quoted(g, "'"), F.lit("]"))).when(kind == 2, g)
+    about = about.when(kind == 4, F.concat(F.lit("[\"it's "), s, F.lit("\", '"), g, F.lit(" \"x\"', 'a' 'b', None]"))).when(kind == 5, F.concat(F.lit('["'), s, F.lit('", ["'), g, F.lit('", 1], true]'))).otherwise(F.concat(F.lit("[broken "), s))
     return d.select("doc_id", T.author_name(author).alias("author"), T.description_text(about).alias("description"))
 
 
+def raw_files(spark, sf_dir) -> str:
+    """A folder of gz files as they come from outside: ratings and reviews by line items, metadata by parts, some of them broken."""
+    folder = shared_folder(spark)
+    lines = X.table(spark, sf_dir, "lineitem").join(X.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    lines = lines.orderBy("o_orderdate", "l_orderkey", "l_linenumber")
+    pair = [F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("parent_asin")]
+    stamp = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string").alias("timestamp")
+    lines.select(*pair, F.lit("5.0").alias("rating"), stamp).write.option("header", True).option("compression", "gzip").csv(f"{folder}/ratings")
+    said = F.when(F.col("l_orderkey") % 3 == 0, " \t ").otherwise(F.concat("l_returnflag", F.lit(' says "'), "l_linestatus", F.lit('"\n of '), F.col("l_orderkey").cast("string")))
+    line = F.when(F.col("l_linenumber") == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(*pair, said.alias("text"), stamp)))
+    lines.where("l_linenumber <= 2").select(line.alias("value")).write.option("compression", "gzip").text(f"{folder}/reviews")
+    p = X.table(spark, sf_dir, "part").withColumns({"id": F.col("p_partkey").cast("string"), "kind": F.col("p_partkey") % 4})
+    kind = F.col("kind")
+    author = F.when(kind == 1, F.concat(F.lit("{'name': 'O\\'"), "p_brand", F.lit("', 'about': [(1, None)]}"))).when(kind == 2, F.col("p_brand")).otherwise(F.concat(F.lit("{broken "), "p_brand"))
+    about = F.when(kind == 1, F.concat(F.lit("[\"it's\", '"), "p_type", F.lit("']"))).when(kind == 2, F.col("p_type")).otherwise(F.concat(F.lit("[broken "), "p_type"))
+    raw = F.concat(F.lit('{"parent_asin": "'), "id", F.lit('", "title": "'), "p_name", F.lit('", "author": {"name": "'), "p_brand", F.lit('"}, "description": ["'), "p_type", F.lit('", "'), "p_name", F.lit('"]}'))
+    named = F.to_json(F.struct(F.col("id").alias("parent_asin"), F.col("p_name").alias("title"), author.alias("author"), about.alias("description")))
+    p.select(F.when(kind == 0, raw).otherwise(named).alias("value")).write.option("compression", "gzip").text(f"{folder}/metadata")
+    return folder
+
+
+def prepared_rows(spark, sf_dir):
+    """Raw gz files to train and test rows with their texts."""
+    made = prepare(spark, raw_files(spark, sf_dir), shared_folder(spark), users=None)
+    return made.rows.withColumn("rn", F.col("rn").cast("int"))
+
+
+def rejected_lines(spark, sf_dir):
+    """Lines of the raw files that couldn't be read, by table."""
+    made = prepare(spark, raw_files(spark, sf_dir), shared_folder(spark), users=None)
+    return made.rejected.groupBy("table", "rejected").agg(F.count(F.lit(1)).alias("n"))
+
+
+def streamed_tail(spark, sf_dir):
+    """Items that one user alone has met, kept by a stream over the events."""
+    table = X.table(spark, sf_dir, "events")
+    item = F.get_json_object("props", "$.k").try_cast("bigint") * 1000 + F.pmod("event_id", F.lit(1000))
+    # a pattern: a stream takes no path of a single file
+    events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", item.alias("item_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return tail_stream(spark, events, shared_folder(spark))
+
+
 def user_seed(spark, sf_dir):
     return X.event_log(spark, sf_dir).select("user_id").distinct().select("user_id", T.user_seed(F.col("user_id")).alias("seed"))
 
@@ -265,4 +311,7 @@ QUERIES = {
     "tsv_roundtrip": tsv_roundtrip,
     "jsonl_roundtrip": jsonl_roundtrip,
     "parquet_stage": parquet_stage,
+    "prepared_rows": prepared_rows,
+    "rejected_lines": rejected_lines,
+    "streamed_tail": streamed_tail,
 }
