@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import DIGITS, cosine, l2_distance, mean_vector
+from ..sources.shared import materialise
 from .blocks import ITEM_CELL, Cells, cell_best, neighbour_products
 from .ordinals import drawn_places, ordinals
 
@@ -157,10 +158,59 @@ def lloyd(x: np.ndarray, k: int, init: str = "farthest", seed: int = 42, restart
     return best[0]
 
 
-def centroids(train: DataFrame, vectors: DataFrame, k: int = K, init: str = "farthest", keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
-    """user_id, cluster and centroid v of users with k vectors or more; a group is one user's history."""
-    history = history_vectors(train, vectors, keys).select("user_id", "item_id", "rn", "v")
-    user = train.schema["user_id"].dataType.simpleString()
+#: Vectors of a history up to which one task holds it.
+HEAVY = 10_000
+
+
+def centroids(train: DataFrame, vectors: DataFrame, k: int = K, init: str = "farthest", keys: tuple[str, ...] = ("item_id",), heavy: int | None = None) -> DataFrame:
+    """user_id, cluster and centroid v of users with k vectors or more.
+
+    A history of up to `heavy` (HEAVY) rows is a group of one task; longer ones are clustered by grouped sums over all tasks.
+    """
+    heavy = HEAVY if heavy is None else heavy
+    history = history_vectors(train, vectors, keys).select("user_id", "item_id", "rn", "v", "n_train")
+    small = _grouped_centroids(history.where(F.col("n_train") <= heavy), k, init)
+    if not train.where(F.col("n_train") > heavy).limit(1).count():
+        return small
+    return small.unionByName(spread_centroids(history.where(F.col("n_train") > heavy), k, init))
+
+
+def spread_centroids(history: DataFrame, k: int, init: str = "farthest", seed: int = 42) -> DataFrame:
+    """centroids() of histories that no task should hold: every step is a join with the k centroids of each user and sums by (user, cluster).
+
+    farthest gives what lloyd() gives. kmeans++ draws each next centroid with a chance in proportion to its squared distance, by a race of
+    exponential times hashed from (user, item); it has one start, not ten.
+    """
+    points = materialise(history.select("user_id", "item_id", "rn", "v"))
+    uniform = lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.lit(j), "user_id", "item_id"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    begin = F.struct("rn", "item_id") if init == "farthest" else F.struct(uniform(0).alias("u"), F.col("item_id"))
+    start = points.groupBy("user_id").agg(F.min_by(F.struct("v", "item_id"), begin).alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    state = start.select("user_id", F.array("s.v").alias("c"), F.col("s.item_id").alias("first"))
+    far = lambda: F.transform("c", lambda x: F.round(l2_distance(F.col("v"), x), 9))
+    for j in range(1, k):
+        left = points.join(materialise(state), "user_id").withColumn("far", F.array_min(far()))
+        rank = F.struct((-F.col("far")).alias("far"), (F.col("item_id") != F.col("first")).alias("later"), F.col("item_id"))
+        if init != "farthest":
+            time = F.try_divide(-F.log(uniform(j)), F.nullif(F.col("far") * F.col("far"), F.lit(0.0)))
+            rank = F.struct(F.coalesce(time, F.lit(float("inf"))).alias("time"), F.col("item_id"))
+        state = left.groupBy("user_id").agg(F.min_by("v", rank).alias("next"), F.any_value("c").alias("c"), F.any_value("first").alias("first"))
+        state = state.select("user_id", F.concat("c", F.array("next")).alias("c"), "first")
+    state = materialise(state.select("user_id", "c"))
+    for _ in range(LLOYD_STEPS if init == "farthest" else 300):
+        near = points.join(state, "user_id").withColumn("d", far())
+        near = near.select("user_id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), "v")
+        found = mean_vector(near, ["user_id", "cluster"]).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "v"))).alias("found"))  # k vectors a user
+        moved = state.join(found, "user_id").select("user_id", F.transform("c", lambda x, i: F.coalesce(F.try_element_at(F.col("found"), i), x)).alias("c"), F.col("c").alias("old"))
+        moved = materialise(moved)
+        state = moved.select("user_id", "c")
+        if not moved.where(F.col("c") != F.col("old")).limit(1).count():
+            break
+    return state.select("user_id", F.posexplode("c").alias("cluster", "v"))
+
+
+def _grouped_centroids(history: DataFrame, k: int, init: str) -> DataFrame:
+    """centroids() with a group, which is one user's history, for each user."""
+    user = history.schema["user_id"].dataType.simpleString()
 
     def run(table):
         if table.num_rows < k:
@@ -172,7 +222,7 @@ def centroids(train: DataFrame, vectors: DataFrame, k: int = K, init: str = "far
         c = lloyd(x, k, init)
         return pa.table({"user_id": table.column("user_id").slice(0, 1).combine_chunks().take(pa.array([0] * k)), "cluster": pa.array(range(k), pa.int32()), "v": pa.array(c.tolist(), pa.list_(pa.float64()))})
 
-    return history.groupBy("user_id").applyInArrow(run, f"user_id {user}, cluster int, v array<double>")
+    return history.select("user_id", "item_id", "rn", "v").groupBy("user_id").applyInArrow(run, f"user_id {user}, cluster int, v array<double>")
 
 
 def chosen_centroid(train: DataFrame, vectors: DataFrame, k: int = K, recent: int | None = RECENT, init: str = "farthest", keys: tuple[str, ...] = ("item_id",)) -> DataFrame:

@@ -227,6 +227,7 @@ def sql() -> dict[str, str]:
         "author_description": """select doc_id, case when doc_id % 6 = 3 then substr(concat('{broken ', source), 1, 50) when doc_id % 6 = 4 then concat('O''', source, ' A') when doc_id % 6 = 5 then concat('é "', source, '"') else source end as author,
  substr(case when doc_id % 6 < 2 then concat(source, ' ', lang) when doc_id % 6 = 2 then lang when doc_id % 6 = 3 then concat('[broken ', source) when doc_id % 6 = 4 then concat('it''s ', source, ' ', lang, ' "x" ab None')
   else concat(source, ' [''', lang, ''', 1] True') end, 1, 200) as description from documents""",
+        "bucketed_split": f"with {cp} select user_id, item_id, cast(rn as int) as rn, case when is_test then 'test' else 'train' end as split from split",
         "prepared_rows": f"""with {BOUGHT}, s as (select cast(user_id as varchar) as user_id, item_id, row_number() over w as rn, count(*) over (partition by user_id) as n from active window w as (partition by user_id order by ts, cast(item_id as varchar))),
  said as (select cast(o_custkey as varchar) as user_id, l_partkey as item_id, arg_min(case when l_orderkey % 3 = 0 then concat(' ', chr(9), ' ') else concat(l_returnflag, ' says "', l_linestatus, '"', chr(10), ' of ', l_orderkey) end, (o_orderdate, l_orderkey)) as t from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 group by all),
  m as (select p_partkey as item_id, concat(p_name, ' by ', case p_partkey % 4 when 0 then p_brand when 1 then concat('O''', p_brand) when 2 then p_brand else concat('{{broken ', p_brand) end, '. ', case p_partkey % 4 when 0 then concat(p_type, ' ', p_name) when 1 then concat('it''s ', p_type) when 2 then p_type else concat('[broken ', p_type) end) as t from part)

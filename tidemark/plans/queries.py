@@ -11,6 +11,7 @@ from ..operators import metrics as Q
 from ..operators import recommend as R
 from ..sources import tables as S
 from ..sources.shared import shared_folder
+from ..sources.stages import bucketed
 from ..streaming.tail import streamed_tail as tail_stream
 from . import fixtures as X
 from .experiment import Experiment, hash_embedding
@@ -163,6 +164,16 @@ def parquet_stage(spark, sf_dir):
     return S.stage(spark, path, lambda: spark.range(0).toDF("never"))
 
 
+def bucketed_split(spark, sf_dir):
+    """The split of a staged table in buckets of users: made, found again by its version, and split without a further shuffle."""
+    base = shared_folder(spark)
+    inputs = [X.table(spark, sf_dir, name) for name in ("orders", "lineitem")]
+    stage = lambda make: bucketed(spark, base, "interactions", inputs, make, ["user_id"], ["ts", "item_id"], 8, low=20, high=200)
+    stage(lambda: X.purchases(spark, sf_dir))
+    found = stage(lambda: spark.range(0).toDF("never"))
+    return I.chrono_split(found).select("user_id", "item_id", "rn", "split")
+
+
 def rec_review_profile(spark, sf_dir):
     e = on_purchases(spark, sf_dir)
     pairs = X.pair_vectors(spark, sf_dir, e.train)
@@ -311,6 +322,7 @@ QUERIES = {
     "tsv_roundtrip": tsv_roundtrip,
     "jsonl_roundtrip": jsonl_roundtrip,
     "parquet_stage": parquet_stage,
+    "bucketed_split": bucketed_split,
     "prepared_rows": prepared_rows,
     "rejected_lines": rejected_lines,
     "streamed_tail": streamed_tail,
