@@ -177,26 +177,28 @@ def bootstrap(results: DataFrame, n_boot: int = 10_000, seed: int = 42, systems:
     wide = results.groupBy("user_id").agg(*(F.max(F.when(F.col("system") == s, F.col(m))).alias(f"x{i}") for i, (s, m) in enumerate(cells)))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string")))
     number = lambda i: F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("bigint")
-    columns = [f"{kind}{i}" for kind in "sw" for i in range(len(cells))]
+    columns = [f"{kind}{i}" for kind in "swh" for i in range(len(cells))]
 
     def run(batches):
-        total = None
+        total, plain = None, 0  # plain: every user once, and the values above 0
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 x = np.column_stack([part.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(cells))])
                 known = ~np.isnan(x)
                 w = poisson_weights(part.column("a").to_numpy(), part.column("b").to_numpy(), n_boot)
-                sums = w.T @ np.hstack([np.where(known, x, 0), known])
-                total = sums if total is None else total + sums
+                both = np.hstack([np.where(known, x, 0), known])
+                total = w.T @ both + (0 if total is None else total)
+                plain = plain + np.concatenate([both.sum(axis=0), (np.where(known, x, 0) > 0).sum(axis=0)])
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot, dtype=np.int32)), *(pa.array(c) for c in total.T)], names=["replica", *columns])
+            every = np.vstack([plain, np.hstack([total, np.zeros((n_boot, len(cells)))])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_boot, dtype=np.int32)), *(pa.array(c) for c in every.T)], names=["replica", *columns])
 
     partial = wide.select(number(0).alias("a"), number(1).alias("b"), *(f"x{i}" for i in range(len(cells)))).mapInArrow(run, "replica int, " + ", ".join(f"{c} double" for c in columns))
     merged = partial.groupBy("replica").agg(*(F.sum(c).alias(c) for c in columns))
-    ends = merged.agg(*(F.percentile(F.try_divide(f"s{i}", F.nullif(F.col(f"w{i}"), F.lit(0.0))), F.array(F.lit(0.025), F.lit(0.975))).alias(f"e{i}") for i in range(len(cells))))
-    one = lambda i, s, m: F.struct(F.lit(i).alias("place"), F.lit(s).alias("system"), F.lit(m).alias("metric"), F.col(f"e{i}")[0].alias("low"), F.col(f"e{i}")[1].alias("high"))
-    ends = ends.select(F.inline(F.array(*(one(i, s, m) for i, (s, m) in enumerate(cells)))))
-    values = results.select("system", F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", "value")).where("value is not null")
-    plain = values.groupBy("system", "metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 0).alias("hits"))
-    return plain.join(F.broadcast(ends), ["system", "metric"]).select("place", "system", "metric", "mean", "low", "high", "n", "hits")  # a row a system and metric
+    mean = lambda i: F.try_divide(f"s{i}", F.nullif(F.col(f"w{i}"), F.lit(0.0)))
+    real = lambda c: F.max(F.when(F.col("replica") < 0, c))
+    ends = lambda i: F.percentile(F.when(F.col("replica") >= 0, mean(i)), F.array(F.lit(0.025), F.lit(0.975)))
+    found = merged.agg(*(x for i in range(len(cells)) for x in (ends(i).alias(f"e{i}"), real(mean(i)).alias(f"m{i}"), real(F.col(f"w{i}")).alias(f"n{i}"), real(F.col(f"h{i}")).alias(f"h{i}"))))
+    row = lambda i, s, m: F.struct(F.lit(i).alias("place"), F.lit(s).alias("system"), F.lit(m).alias("metric"), F.col(f"m{i}").alias("mean"), F.col(f"e{i}")[0].alias("low"), F.col(f"e{i}")[1].alias("high"), F.col(f"n{i}").cast("bigint").alias("n"), F.col(f"h{i}").cast("bigint").alias("hits"))
+    return found.select(F.inline(F.array(*(row(i, s, m) for i, (s, m) in enumerate(cells))))).where("n > 0")

@@ -31,21 +31,15 @@ def unseen(candidates: DataFrame, train: DataFrame) -> DataFrame:
     return candidates.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def most_seen(train: DataFrame) -> int:
-    """The longest history."""
-    return train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def bounded(few: DataFrame, most: int = 100_000) -> DataFrame:
-    """few, broadcast if it has no more rows than that: it grows with the longest history, which no one need bound."""
-    return F.broadcast(few) if few.count() <= most else few
-
-
 def popularity(train: DataFrame, m: int = M) -> DataFrame:
-    """The most popular train items: of m + (longest history) candidates at least m are unseen."""
-    top = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "item_id").limit(m + most_seen(train))
-    users = train.select("user_id").distinct()
-    return ranked(unseen(users.crossJoin(bounded(top)), train), m)
+    """The most popular train items: each user takes the first m places of the popular order that hold no seen item, m + (items seen) of them at most."""
+    counts = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    placed, _ = ordinals(counts.select(F.struct((-F.col("n")).alias("less"), F.col("item_id")).alias("key")), "key")
+    order = placed.select(F.col("key.item_id").alias("item_id"), (-F.col("key.less")).cast("double").alias("score"), "at")
+    seen = train.select("user_id", "item_id").distinct().join(order.select("item_id", "at"), "item_id").groupBy("user_id").agg(F.collect_list("at").alias("taken"))
+    free = F.slice(F.array_except(F.sequence(F.lit(0).cast("bigint"), m - 1 + F.size("taken").cast("bigint")), "taken"), 1, m)
+    wanted = seen.select("user_id", F.posexplode(free).alias("place", "at"))
+    return wanted.join(order, "at").select("user_id", "item_id", "score", (F.col("place") + 1).cast("int").alias("rank"))
 
 
 def random_items(train: DataFrame, catalog: DataFrame, m: int = M) -> DataFrame:
