@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import re
 import tracemalloc
 import zlib
@@ -106,6 +107,32 @@ def test_toxicity_of_long_texts(spark):
     assert not rows.loc[900:906].any() and rows.loc[907:913].all()
 
 
+def test_toxicity_of_hidden_passages(spark):
+    """Toxic documents stay caught between clean ones, wherever their windows begin; clean ones in a row stay clean."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = docs_of(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    chain = toxicity.train(docs, labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic"), toxicity.CATEGORIES)
+    judged = toxicity.predict(docs.join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id"), chain, toxicity.CATEGORIES).orderBy("doc_id").toPandas()
+    assert (judged.toxic == (judged.label == 1)).mean() > 0.97
+    bad, clean = (judged[(judged.label == y) & (judged.toxic == bool(y))].text.tolist() for y in (1, 0))
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(clean[i] for i in rng.integers(0, len(clean), n))
+    texts, group = [], []
+    for around in (1, 5, 60):
+        before, after = some(around), some(around)
+        for shift in (0, 50):
+            texts += [" ".join([*before.split()[shift:], t, after]) for t in bad]
+            group += [f"{around}+{shift}"] * len(bad)
+    for n in (10, 40, 120):
+        texts += [some(n) for _ in range(20)]
+        group += ["clean"] * 20
+    rows = toxicity.predict(table(spark, texts), chain, toxicity.CATEGORIES).orderBy("doc_id").toPandas()
+    share = rows.toxic.groupby(np.array(group)).mean()
+    assert share.drop("clean").min() >= 0.9 and share["clean"] <= 0.05, share
+
+
 def test_toxicity_chain(spark):
     """The verdict's model is fitted on out-of-fold log-odds of the category before it, and its probability is what a plain sum gives."""
     rng = np.random.default_rng(4)

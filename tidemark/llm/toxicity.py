@@ -7,8 +7,9 @@ they come from the models fitted on all rows. Every model is a logistic regressi
 penalty on the features that a chi-square screening keeps, of those that speak for the category; their weights
 are not negative, so no length of ordinary words excuses a toxic one.
 
-A text is judged in windows of WINDOW words, and its odds are the mean of their odds: what one window
-says counts by its part of the text, so that a long clean text doesn't add up to a toxic one.
+A text is judged in windows of WINDOW words that overlap by half, and its odds are the root of the mean of their squared odds (a
+power mean of order ORDER): one strong window decides a long text too, yet must say more the longer the text is,
+so that a long clean text doesn't add up to a toxic one. A passage of half a window is whole in some window wherever it starts.
 
 The models are fitted on the driver on at most SAMPLE rows for each combination of labels (those of
 least hashed id), of whole texts; a row drawn stands for as many as its combination has for each one
@@ -42,9 +43,9 @@ FEATURES, LEAST_ROWS, PENALTY, STEPS = 3000, 4, 1e-4, 300
 #: Lengths, in bytes, of the word beginnings that are features of longer words.
 BEGINNINGS = (4, 5, 6)
 #: A text is toxic from this probability on.
-THRESHOLD = 0.25
-#: Words whose evidence adds up.
-WINDOW = 200
+THRESHOLD = 0.4
+#: Words whose evidence adds up, and the order of the mean over a text's windows: 1 lets long texts hide a passage, the maximum flags whatever is long.
+WINDOW, ORDER = 200, 2
 CACHE = 200_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -52,12 +53,15 @@ _SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
 
 
 def windows(text: str, size: int) -> list[set[bytes]]:
-    """The different words of each window of a text, lower-cased A-Z and without ASCII punctuation, and the text's shares of symbols and capitals as pseudo-words."""
+    """The different words of each window of a text (windows of size words that overlap by half; one if the text isn't longer), lower-cased A-Z and without ASCII punctuation, and the text's shares of symbols and capitals as pseudo-words."""
     raw = text.encode("utf-8", "surrogatepass")
     share = lambda kind: min(9, 20 * (len(raw) - len(raw.translate(None, kind))) // (len(raw) + 1))
     every, shares = raw.translate(_WORDS).split(), (b"\x00s%d" % share(_SYMBOLS), b"\x00u%d" % share(_CAPITALS))
-    parts = max(1, -(-len(every) // size))  # of equal length, but for a word
-    return [{*every[len(every) * k // parts : len(every) * (k + 1) // parts], *shares} for k in range(parts)]
+    if len(every) <= size:
+        return [{*every, *shares}]
+    halves = -(-len(every) // max(1, size // 2))  # of equal length, but for a word
+    at = [len(every) * k // halves for k in range(halves + 1)]
+    return [{*every[at[k] : at[k + 2]], *shares} for k in range(halves - 1)]
 
 
 def words(text: str) -> set[bytes]:
@@ -215,7 +219,7 @@ def predict(docs: DataFrame, chain: list[Linear], categories: list[str], thresho
                 for k, window in enumerate(r):
                     if said := [v for v in map(get, window) if v is not nothing]:
                         each[k] = np.sort(np.array(said), axis=0).sum(axis=0)  # in an order that no set decides
-                odds[i] = np.logaddexp.reduce(each, axis=0) - np.log(len(r))
+                odds[i] = (np.logaddexp.reduce(ORDER * each, axis=0) - np.log(len(r))) / ORDER
             z = np.zeros((len(rows), 0))
             for c, model in enumerate(chain):
                 z = np.column_stack([z, np.clip(odds[:, c] + z @ model.links + model.constant, -8, 8)])
