@@ -293,6 +293,22 @@ def test_lm(spark, sf_dir):
     assert cost < 3.5 and (rows.score < 0).all()
 
 
+def test_lm_base_of_a_hot_word(spark, monkeypatch):
+    """Half of all tokens are one word, spread over many chunks and shards: sums are exact, and shards get the word once a chunk."""
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 1 << 16)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(x for w in rng.integers(0, 3000, 400) for x in ("the", f"w{w}")) for _ in range(400)] + ["", None, "the", "the"]
+    docs = spark.createDataFrame([(i if i % 50 else None, t or "", i, int(i % 4 > 0)) for i, t in enumerate(texts)], "doc_id long, text string, _h long, _train int")
+    assert len(texts) * 3000 > 8 * lm_scoring.SHARD_BYTES
+    rows = lm_scoring.unigram(docs.repartition(6)).toPandas().set_index("_h")
+    tokens = [[*words(t), None] for t in texts]
+    c = collections.Counter(w for i, t in enumerate(tokens) if i % 4 for w in t)
+    assert len(rows) == len(texts) and set(rows.train_tokens) == {sum(c.values())} and set(rows.train_types) == {len(c)}
+    for i, t in enumerate(tokens):
+        r = rows.loc[i]
+        assert (r.n_tokens, r.n_known) == (len(t), sum(w in c for w in t)) and r.log_sum == pytest.approx(sum(math.log10(c[w] + 1) for w in t))
+
+
 def test_lm_probabilities_add_up(spark):
     """The chances of all 257 symbols after any text add up to 1."""
     rng = np.random.default_rng(2)

@@ -20,8 +20,9 @@ to 2^MOST_BITS slots a predictor, which bounds what an executor holds. Scoring i
 whole texts.
 
 The plain base of the contract (add-one word counts) needs the count of every different word: each
-batch sends the 64-bit hashes of its words, with the documents they are in, to shards; a shard knows
-the counts of its words in training documents and returns each document's part of the sum.
+batch of texts (a chunk) sends the 64-bit hashes of its different words and their counts to shards; a shard
+adds them up and replies each word's whole count to every chunk that has it, where the documents'
+sums are made. A word, however common, is one number a chunk on both ways.
 
 Defined results: a null or empty text is its end symbol and end token; a null doc_id is taken as
 empty text for the split; repeated rows are each learnt from and scored, texts that share a doc_id each
@@ -423,48 +424,48 @@ def unigram(docs: DataFrame) -> DataFrame:
             train = np.add.reduceat(batch.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)[doc], new)
             many = np.diff(np.append(new, len(words)))
             cuts = np.searchsorted((kind % np.uint64(shards)).astype(np.int64), np.arange(shards + 1))
-            tokens = np.append(new, len(words))
             press = zstandard.ZstdCompressor(level=1).compress
-            ids, own = batch.column("doc_id").to_pylist(), batch.column("_h").to_pylist()
-            chunk = f"{TaskContext.get().partitionId()}/{k}"
-            rows = [(s, press(kind[a:b].tobytes()), press(train[a:b].astype(np.uint32).tobytes()), press(many[a:b].astype(np.uint32).tobytes()), press(doc[tokens[a] : tokens[b]].tobytes()), *((ids, own, n.tolist()) if s == 0 else (None,) * 3)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a or s == 0]
+            task = TaskContext.get().partitionId()
+            rows = [(s, press(kind[a:b].tobytes()), press(train[a:b].astype(np.uint32).tobytes()), *(None,) * 5) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            # what the chunk needs to use the replies: the documents of its words, in the order in which they were sent
+            rows.append((-1 - (task << 32 | k), None, None, press(many.astype(np.uint32).tobytes()), press(doc.tobytes()), batch.column("doc_id").to_pylist(), batch.column("_h").to_pylist(), n.tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (5, 6, 7))],
-                names=["chunk", "shard", "words", "train", "many", "docs", "ids", "own", "n"],
+                [pa.array([f"{task}/{k}"] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (5, 6, 7))],
+                names=["chunk", "shard", "words", "train", *own],
             )
 
-    sent = "chunk string, shard int, words binary, train binary, many binary, docs binary, ids array<long>, own array<long>, n array<long>"
+    own = ["many", "docs", "ids", "own", "n"]
+    kept = "many binary, docs binary, ids array<long>, own array<long>, n array<long>"
 
     def reply(table):
-        open_ = zstandard.ZstdDecompressor().decompress
-        column = lambda c, kind: [np.frombuffer(open_(x.as_py()), kind) for x in table.column(c)]
-        words, train = column("words", np.uint64), column("train", np.uint32)
-        flat = np.concatenate(words)
-        kinds, at = np.unique(flat, return_inverse=True)
-        count = np.bincount(at, np.concatenate(train), len(kinds))
-        value = np.log10(count + 1)
-        edges = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        met, sums, known = [], [], []
-        for i, (many, docs) in enumerate(zip(column("many", np.uint32), column("docs", np.uint32))):
-            kind = np.repeat(at[edges[i] : edges[i + 1]], many)
-            doc, own = np.unique(docs, return_inverse=True)  # only documents that have a word here
-            met.append(doc.tobytes())
-            sums.append(np.bincount(own, value[kind], len(doc)).tobytes())
-            known.append(np.bincount(own, count[kind] > 0, len(doc)).astype(np.uint32).tobytes())
-        one = [0] * len(words)
-        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), **{c: pa.array(x, pa.binary()) for c, x in (("docs", met), ("sums", sums), ("known", known))}, "ids": table.column("ids"), "own": table.column("own"), "n": table.column("n"), "tokens": pa.array([int(count.sum()), *one[1:]], pa.int64()), "types": pa.array([int((count > 0).sum()), *one[1:]], pa.int64())})
-
-    replied = materialise(docs.mapInArrow(tidied(send), sent).groupBy("shard").applyInArrow(reply, "chunk string, shard int, docs binary, sums binary, known binary, ids array<long>, own array<long>, n array<long>, tokens long, types long"))
+        k = len(table)
+        if table.column("shard")[0].as_py() < 0:  # a chunk's own
+            counts, tokens, types = [None] * k, 0, 0
+        else:
+            open_ = zstandard.ZstdDecompressor().decompress
+            column = lambda c, kind: [np.frombuffer(open_(x.as_py()), kind) for x in table.column(c)]
+            words = column("words", np.uint64)
+            kinds, at = np.unique(np.concatenate(words), return_inverse=True)
+            count = np.bincount(at, np.concatenate(column("train", np.uint32)), len(kinds)).astype(np.int64)
+            press = zstandard.ZstdCompressor(level=1).compress
+            counts = [press(count[x].tobytes()) for x in np.split(at, np.cumsum([len(w) for w in words])[:-1])]
+            tokens, types = int(count.sum()), int((count > 0).sum())
+        one = [0] * (k - 1)
+        new = {"counts": pa.array(counts, pa.binary()), "tokens": pa.array([tokens, *one], pa.int64()), "types": pa.array([types, *one], pa.int64())}
+        return pa.table({**{c: table.column(c) for c in ("chunk", "shard", *own)}, **new})
+
+    sent = docs.mapInArrow(tidied(send), f"chunk string, shard long, words binary, train binary, {kept}")
+    replied = materialise(sent.groupBy("shard").applyInArrow(reply, f"chunk string, shard long, {kept}, counts binary, tokens long, types long"))
     total = replied.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
 
     def join(table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
-        sums, known = np.zeros(len(rows[0]["n"])), np.zeros(len(rows[0]["n"]), np.int64)
-        for r in rows:
-            at = np.frombuffer(r["docs"], np.uint32)
-            sums[at] += np.frombuffer(r["sums"])
-            known[at] += np.frombuffer(r["known"], np.uint32)
-        return pa.table({"doc_id": pa.array(rows[0]["ids"], pa.int64()), "_h": pa.array(rows[0]["own"], pa.int64()), "n_tokens": pa.array(rows[0]["n"], pa.int64()), "n_known": pa.array(known, pa.int64()), "log_sum": pa.array(sums)})
+        chunk, *rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        open_ = zstandard.ZstdDecompressor().decompress
+        count = np.concatenate([np.frombuffer(open_(r["counts"]), np.int64) for r in rows])
+        many, doc = (np.frombuffer(open_(chunk[c]), np.uint32) for c in ("many", "docs"))
+        sums = np.bincount(doc, np.repeat(np.log10(count + 1), many), len(chunk["n"]))
+        known = np.bincount(doc, np.repeat(count > 0, many), len(chunk["n"])).astype(np.int64)
+        return pa.table({"doc_id": pa.array(chunk["ids"], pa.int64()), "_h": pa.array(chunk["own"], pa.int64()), "n_tokens": pa.array(chunk["n"], pa.int64()), "n_known": pa.array(known, pa.int64()), "log_sum": pa.array(sums)})
 
     out = replied.groupBy("chunk").applyInArrow(join, "doc_id long, _h long, n_tokens long, n_known long, log_sum double")
     return out.withColumn("train_tokens", F.lit(total["n"]).cast("long")).withColumn("train_types", F.lit(total["v"]).cast("long"))
