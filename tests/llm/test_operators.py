@@ -69,6 +69,38 @@ def test_quality_finds_an_outlier(spark):
     assert not rows.loc[300].kept and not rows.loc[301].kept and rows.loc[:299].kept.all()
 
 
+def test_quality_distances_in_plain_python(spark):
+    """The robust distances from the definition: a median start, concentration steps on the closest half, numpy's covariance and inverse."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 300)]
+    texts = []
+    for _ in range(240):
+        t = [w.upper() if rng.random() < 0.02 * (1 + (k % 3)) else w for k, w in enumerate(rng.choice(vocabulary, rng.integers(25, 120)))]
+        texts.append("\n".join(" ".join(t[k : k + 9]) for k in range(0, len(t), 9)) + "#" * int(rng.integers(0, 4)))
+    texts += [texts[k] + "\n" + texts[k].split("\n")[0] for k in range(30)]
+    rows = quality_rules.judge(table(spark, texts)).orderBy("doc_id").toPandas()
+    rows = rows[~rows.base_failed]  # the others take no part
+    assert len(rows) >= 250 and (rows.n_dup_lines > 0).any() and (rows.n_symbols > 0).any()
+    logs = lambda x: np.array([math.floor(1000 * math.log(v) + 0.5) for v in x], float)
+    chars, n = rows.word_chars.to_numpy(float) + 50, rows.n_words.to_numpy(float)
+    thousandths = lambda v: np.floor(1000 * v + 0.5)
+    x = np.column_stack([logs(chars / (n + 10)), logs(1 + 50 * rows.n_symbols / chars), logs(1 + 20 * rows.n_upper / chars), thousandths(rows.n_dup_lines / (rows.n_lines + 5)), thousandths(rows.n_repeat_words / (n + 20))])
+    least = np.array([60.0, 80.0, 120.0, 90.0, 60.0])  # thousandths
+    lower = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
+    centre = np.array([lower(c) for c in x.T])
+    spread = np.maximum(1.4826 * np.array([lower(np.abs(c - m)) for c, m in zip(x.T, centre)]), least)
+    d2 = (((x - centre) / spread) ** 2).sum(axis=1)
+    for _ in range(3):
+        bins = np.floor(200 * np.log1p(d2))
+        half = x[bins <= np.sort(bins)[(len(x) + 6) // 2 - 1]]
+        away = x - half.mean(axis=0)
+        d2 = np.einsum("ij,jk,ik->i", away, np.linalg.inv(np.cov(half.T, bias=True) + np.diag(least**2)), away)
+    most = np.sort(np.floor(200 * np.log1p(d2)))[(len(x) + 6) // 2 - 1]
+    want = d2 / max((math.exp((most + 1) / 200) - 1) / 4.35146, 1.0)
+    np.testing.assert_allclose(rows.distance.to_numpy(), want, rtol=1e-6)
+    assert (rows.kept == (want <= 60)).all()
+
+
 # 1 toxicity
 
 
@@ -262,6 +294,69 @@ def test_reputation_of_single_hosts(spark):
     assert {r["host"]: r["mean"] for r in alone} == {"a.b.de": pytest.approx(0.75), "x": pytest.approx(0.75)}
 
 
+def plain_reputation(rows):
+    """(mean, lower bound) of each host, from the definition, for hosts of one-label suffixes."""
+    hosts = sorted({h for h, _ in rows})
+    up = {"host": lambda h: ".".join(h.split(".")[-2:]), "domain": lambda d: d.split(".")[-1], "suffix": lambda s: "all"}
+    n, k, above, keys = {}, {}, {}, hosts
+    for h in hosts:
+        seen = [bad for other, bad in rows if other == h and bad is not None]
+        n["host", h], k["host", h] = len(seen), sum(seen)
+    for level, parent in (("host", "domain"), ("domain", "suffix"), ("suffix", "one")):
+        for x in keys:
+            y = above[level, x] = (parent, up[level](x))
+            n[y], k[y] = n.get(y, 0) + n[level, x], k.get(y, 0) + k[level, x]
+        keys = sorted({above[level, x][1] for x in keys})
+    prior = {("one", "all"): (0.5, 1.0)}
+    for level in ("suffix", "domain", "host"):
+        children = [x for x in above if x[0] == level]
+        families = {y: [x for x in children if above[x] == y] for y in {above[x] for x in children}}
+        spread = room = 0.0
+        for y, family in families.items():  # the spread of labelled children around their parent, beyond that of chance
+            family = [x for x in family if n[x]]
+            if family:
+                p = k[y] / n[y]
+                chance = p * (1 - p) * (len(family) - 1)
+                spread += sum(n[x] * (k[x] / n[x] - p) ** 2 for x in family) - chance
+                room += p * (1 - p) * (n[y] - sum(n[x] ** 2 for x in family) / n[y]) - chance
+        share = spread / room if room > 0 else 0.0  # of the room for differences, how much is used: 1 / (strength + 1)
+        strength = min(1000.0, max(2.0, 1 / share - 1)) if share > 0 else 1000.0
+        new = {}
+        for y, family in families.items():
+            mean, known = prior[y]
+            pages = {x: n[x] * (strength + 1) / (strength + n[x]) if n[x] else 0.0 for x in family}
+            for x in family:
+                others = sum(pages[o] for o in family if o != x)
+                bad = sum(pages[o] * k[o] / n[o] for o in family if o != x and n[o])
+                rate = (known * mean + bad) / (known + others)
+                sure = known if others <= 1e-9 else 1 / (1 / (strength + 1) + 1 / (known + others + 1)) - 1
+                new[x] = (rate, sure)
+        prior |= new
+    out = {}
+    for h in hosts:
+        (m, a), x = prior["host", h], ("host", h)
+        mean = (k[x] + a * m) / (n[x] + a)
+        out[h] = (mean, mean - 1.645 * math.sqrt(mean * (1 - mean) / (n[x] + a + 1)))
+    return out
+
+
+def test_reputation_in_plain_python(spark):
+    """Posterior means and bounds against a reading of the definition, level by level, without the operator's expressions."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for suffix in ("com", "org", "net", "io"):
+        for d in range(6 if suffix != "io" else 1):
+            rate = rng.beta(0.6, 2)
+            for h in range(int(rng.integers(1, 5))):
+                rows += [(f"h{h}.d{d}.{suffix}", None if rng.random() < 0.1 else bool(rng.random() < rate)) for _ in range(int(rng.integers(1, 40)))]
+    rows += [("h0.none.com", None), ("h1.none.com", None), ("h9.d0.com", None)]
+    want = plain_reputation(rows)
+    got = {r["host"]: (r["mean"], r["lower"]) for r in url_filters.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert set(got) == set(want)
+    for h in want:
+        assert got[h] == pytest.approx(want[h], rel=1e-9), h
+
+
 def test_equal_rules_and_odd_pages(spark):
     rules = [("allow", "a.com/x"), ("block", "a.com/x"), ("block", "b.com"), ("allow", "b.com/")]
     urls = ["http://a.com/x", "http://b.com/" + "y" * 100_000, "http://b.com/y", "http://b.com/y", None]
