@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import datetime as dt
 import gzip
 import json
 import random
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.literals import joined, name_in, parse
+from tidemark.plans import queries
 from tidemark.plans.preparation import prepare
 from tidemark.sources import intake
 from tidemark.streaming import tail
@@ -185,3 +187,20 @@ def test_streamed_tail_forgets_old_items(spark, tmp_path):
     assert now([(1, 1, day(0)), (1, 2, day(0)), (2, 2, day(0))]) == {1}
     assert now([(1, 3, day(30))]) >= {3}
     assert now([(1, 4, day(31))]) == {3, 4}  # item 1 has gone: the watermark has passed its time
+
+
+def test_repeated_line_items_keep_the_order_of_the_table(spark, tmp_path):
+    """Of two first lines of one order about one part, the text of the earlier row is taken, also where a later file is read first."""
+    day, n = dt.datetime(2024, 1, 1), 20
+    orders = spark.createDataFrame([(3 * k + 1, 1, day + dt.timedelta(days=k)) for k in range(n)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"part {k}", "brand", "type") for k in range(n)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    for number, flag, more in ((0, "A", 0), (1, "R", 5000)):  # the second file is larger
+        rows = [(3 * k + 1, k, 1, flag, "O") for k in range(n)] + [(-1 - k, k, 1, flag, "O") for k in range(more)]
+        made = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string")
+        made.coalesce(1).write.parquet(f"{tmp_path}/{number}")
+        folder = tmp_path / "lineitem.parquet"
+        folder.mkdir(exist_ok=True)
+        next((tmp_path / str(number)).glob("*.parquet")).rename(folder / f"part-{number}.parquet")
+    rows = queries.prepared_rows(spark, str(tmp_path)).collect()
+    assert len(rows) == n and {r["embedding_input"].split(" ")[0] for r in rows} == {"A"}
