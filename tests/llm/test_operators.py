@@ -513,6 +513,23 @@ def test_ann_recall_beside_outliers(spark):
     assert len(got) == 20 and hits >= 0.9 * 200
 
 
+@pytest.mark.parametrize("kind", ["offset", "clusters"])
+def test_ann_of_rows_that_codes_cannot_tell_apart(spark, kind):
+    """Rows beside a far common point, or in tight clusters larger than the shortlist: the nearest are found all the same."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x = x + 1e4 if kind == "offset" else rng.normal(size=(2, 32))[np.arange(6000) % 2] + 1e-6 * x
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, every=500).orderBy("rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 12
+    for q, found in got.items():
+        d = ann.distances(x, x[q][None])
+        d[q] = np.inf
+        assert found == np.lexsort((np.arange(len(d)), d))[:10].tolist()
+
+
 def test_ann_repeated_query_ids(spark):
     """Of rows that share a query's vec_id the least vector asks, and none of them answers."""
     df = spark.createDataFrame([(100, [5.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 1.0]), (2, [5.0, 1.0])], "vec_id long, embedding array<double>")

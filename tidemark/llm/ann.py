@@ -3,15 +3,17 @@
 A vector is coded as a sum of BOOKS full-dimensional codewords. The codebooks are fitted on the driver on
 at most SAMPLE vectors (those of least hashed id): residual k-means, then rounds of beam-search
 encoding and a least-squares update of all codewords at once. Every row is encoded by beam search
-and stored with its codes and its norm.
+and stored with its codes.
 
-Vectors are coded by their direction: every row is divided by its own norm, which is stored in double precision, so that no
+Vectors are coded by their direction: every row is divided by its own norm in double precision, so that no
 large or small vector spoils the codes of the others.
 
 Rows and queries are dealt into groups and blocks, and each (block, group) cell is a task's work: inner
-products with all codewords go into lookup tables, and the sums over a row's codes together with its stored norm
-rank the group's rows for each query. The best RERANK rows of all groups together are a query's
-shortlist; they alone are compared by the exact distance on the original vectors.
+products with all codewords go into lookup tables, and the sums over a row's codes together with its norm
+rank the group's rows for each query. The best RERANK rows of a group are compared by the exact distance on the original
+vectors first. No row is nearer than its code less the error of its code, so the k-th best distance rules out the rows whose codes lie
+further away; every row that it doesn't rule out is compared too. So the k nearest of all rows are found whatever the codes are worth;
+good codes save comparisons. A cell passes on k rows a query.
 
 Nearness is the Euclidean distance in double precision; ties go to the smaller vec_id, also where
 more rows than RERANK share one code. The queries are the rows whose vec_id is divisible by 100; of rows
@@ -24,8 +26,6 @@ count as its own; equal vectors are all returned; vectors may have any finite si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +38,13 @@ BOOKS, WORDS, BEAM = 16, 256, 6
 SAMPLE, ROUNDS, KMEANS_STEPS = 8000, 2, 8
 #: Queries of a block and rows of a group; queries whose tables are held at once.
 QUERY_BLOCK, GROUP, HELD = 4096, 16384, 256
-#: Length of a query's shortlist.
+#: Bytes of vectors of a group at most.
+GROUP_BYTES = 16 << 20
+#: Rows of a group that are compared first.
 RERANK = 512
 BATCH = 4096
-#: Bytes of query vectors up to which they are broadcast.
-FEW_BYTES = 8 << 20
+#: What the rounding of single precision may take from a cosine or a length of 1.
+SLACK = 2e-5
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -99,13 +101,18 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 1) ->
     return out
 
 
-def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def directions64(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows divided by their norms, and the norms; no square leaves the range of numbers."""
     most = np.abs(x).max(axis=1, keepdims=True)
     part = x / most
     length = np.sqrt((part**2).sum(axis=1, keepdims=True))
     with np.errstate(over="ignore"):
-        return (part / length).astype(np.float32), (most * np.minimum(length, np.finfo(float).max / most))[:, 0]
+        return part / length, (most * np.minimum(length, np.finfo(float).max / most))[:, 0]
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unit, norm = directions64(x)
+    return unit.astype(np.float32), norm
 
 
 def valid(vectors: DataFrame, vector: str) -> DataFrame:
@@ -115,7 +122,7 @@ def valid(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, np.ndarray | None]:
-    """(vec_id, embedding, codes, norm, _row: a number of its own) of every valid row, and the codebooks (None without rows)."""
+    """(vec_id, embedding, codes, _row: a number of its own) of every valid row, and the codebooks (None without rows)."""
     rows = valid(vectors, vector).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
@@ -131,10 +138,9 @@ def build_index(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFram
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                unit, norm = directions(x)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in encode(unit, books)], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in encode(directions(x)[0], books)], pa.binary())], names=["vec_id", "embedding", "codes"])
 
-    coded = rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary, norm double")
+    coded = rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, codes binary")
     return materialise(coded.withColumn("_row", F.monotonically_increasing_id())), books
 
 
@@ -161,48 +167,87 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return out
 
 
-def shortlists(index: DataFrame, asked: DataFrame, books: np.ndarray, rerank: int) -> DataFrame:
-    """query_id and _row of each query's `rerank` rows of least quantised distance (ties by vec_id) over the whole index; asked: query_id and query."""
-    groups, blocks = (max(1, -(-x.count() // n)) for x, n in ((index, GROUP), (asked, QUERY_BLOCK)))
+def first_found(query: np.ndarray, rows: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k rows nearest to the query, ties by vec."""
+    d = distances(rows, query[None])
+    order = np.lexsort((vec, d))[:k]
+    return order, d[order]
+
+
+def nearest_of_cell(q: np.ndarray, own: np.ndarray, x: np.ndarray, vec: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and distances of each query's k nearest rows of a cell; own: the queries' ids, whose rows don't count.
+
+    The sums of table entries choose the `rerank` rows that are compared first. A row is no nearer than its code is, less the error of its code;
+    so the k-th best distance found rules out the rows whose codes lie beyond, and the others are compared too.
+    """
+    unit64, norm = directions64(x)
+    code = decoded(codes, books).astype(float)
+    error, length = np.sqrt(((unit64 - code) ** 2).sum(axis=1)) + SLACK, (code**2).sum(axis=1)
+    asked64, size = directions64(q)
+    cosine = np.zeros((len(q), len(x)), np.float32)
+    for book, c in zip(books, codes.T):
+        cosine += np.take(asked64.astype(np.float32) @ book.T, c, axis=1)
+    with np.errstate(over="ignore", under="ignore"):
+        ratio = np.minimum(norm / size[:, None], 1e150)
+    score = ratio * (ratio - 2 * cosine)
+    with np.errstate(invalid="ignore"):
+        bound = np.sqrt(np.maximum(1 - 2 * ratio * (cosine + SLACK) + ratio**2 * length, 0)) - ratio * error - SLACK
+    mine = own[:, None] == vec
+    score[mine] = np.inf
+    first = lowest(score, rerank)
+    out, plain = [], None
+    for i in range(len(q)):
+        at = first[i][~mine[i, first[i]]]
+        best, far = first_found(q[i], x[at], vec[at], k)
+        with np.errstate(over="ignore"):
+            left = ~mine[i] if len(far) < k else ~mine[i] & ~(bound[i] > far[-1] / size[i] * (1 + 1e-9))
+        left[at] = False
+        left = np.flatnonzero(left)
+        if 4 * len(left) > len(x):  # little is ruled out: the squares of all, as products, with the bounds of their rounding
+            if plain is None:
+                plain = asked64 @ unit64.T
+            with np.errstate(over="ignore", invalid="ignore"):
+                r = ratio[i, left]
+                square, blur = 1 + r * r - 2 * r * plain[i, left], (1 + r) ** 2 * (x.shape[1] + 8) * 4e-16
+                if len(far) == k:
+                    left = left[~(square - blur > (far[-1] / size[i]) ** 2 * (1 + 1e-9))]
+                elif len(left) > k:
+                    left = left[~(square - blur > np.partition(np.where(np.isfinite(square + blur), square + blur, np.inf), k - 1)[k - 1])]
+        if len(left):
+            every = np.concatenate([at[best], left])
+            some, far = first_found(q[i], x[every], vec[every], k)
+            out.append((every[some], far))
+        else:
+            out.append((at[best], far))
+    return out
+
+
+def nearest(index: DataFrame, asked: DataFrame, books: np.ndarray, k: int, rerank: int) -> DataFrame:
+    """query_id, vec_id and score of each query's k nearest rows of every group of the index; asked: query_id and query."""
+    group = max(k, min(GROUP, GROUP_BYTES // (8 * books.shape[2])))
+    groups, blocks = (max(1, -(-x.count() // n)) for x, n in ((index, group), (asked, QUERY_BLOCK)))
     shared = index.sparkSession.sparkContext.broadcast(books)
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.select("vec_id", "_row", "codes", "norm", number("_row", groups).alias("g"), every(blocks).alias("b"))
+    rows = index.select("vec_id", "_row", "codes", "embedding", number("_row", groups).alias("g"), every(blocks).alias("b"))
     queries = asked.select("query_id", "query", number("query_id", blocks).alias("b"), every(groups).alias("g"))
 
     def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
         books = shared.value
-        rows = rows.sort_by([("vec_id", "ascending"), ("_row", "ascending")])
-        vec, row, norm = (rows.column(c).to_numpy() for c in ("vec_id", "_row", "norm"))
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(vec), len(books))
-        ids = queries.column("query_id").to_numpy()
-        asked, size = directions(queries.column("query").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)) if len(ids) else (None, None)
-        out = []
-        for i in range(0, len(ids) if len(vec) else 0, HELD):
-            q = asked[i : i + HELD]
-            cosine = np.zeros((len(q), len(vec)), np.float32)
-            for book, c in zip(books, codes.T):
-                cosine += np.take(q @ book.T, c, axis=1)
-            with np.errstate(over="ignore"):  # the squared distance, less that of the query from zero, in units of the query's square
-                ratio = np.minimum(norm / size[i : i + HELD, None], 1e150)
-            score = ratio * (ratio - 2 * cosine)
-            score[ids[i : i + HELD, None] == vec] = np.inf
-            at = lowest(score, rerank)
-            out += [[x.tobytes() for x in (vec[a], row[a], s[a])] for a, s in zip(at, score)]
-        return pa.table({"query_id": pa.array(ids[: len(out)], pa.int64()), **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("vec", "row", "score"))}})
-
-    def best(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for batch in batches:  # one cell after another: no more than two shortlists are held
-            for r in range(batch.num_rows):
-                held = [np.append(h, np.frombuffer(batch.column(c)[r].as_py(), h.dtype)) for h, c in zip(held, ("vec", "row", "score"))]
-                order = np.lexsort((held[1], held[0], held[2]))[:rerank]
-                held = [h[order] for h in held]
-        found = held[1][np.isfinite(held[2])]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found)], names=["query_id", "_row"])
-
-    cells = rows.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInArrow(cell, "query_id long, vec binary, row binary, score binary")
-    return cells.groupBy("query_id").applyInArrow(best, "query_id long, _row long")
+        vec, ids = rows.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
+        found = []
+        if len(vec) and len(ids):
+            order = np.lexsort((rows.column("_row").to_numpy(), vec))
+            x, q = (t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((rows, "embedding"), (queries, "query")))
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(vec), len(books))[order]
+            x, vec = x[order], vec[order]
+            for i in range(0, len(ids), HELD):
+                near = nearest_of_cell(q[i : i + HELD], ids[i : i + HELD], x, vec, codes, books, k, rerank)
+                found += [(np.full(len(at), ids[i + n]), vec[at], far) for n, (at, far) in enumerate(near)]
+        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(np.concatenate([empty[c], *(f[c] for f in found)])) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    return rows.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInArrow(cell, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK, vector: str = "embedding") -> DataFrame:
@@ -211,16 +256,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERA
     if books is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
-    asked = materialise(asked)
-    near = shortlists(index, asked, books, rerank)
-    near = near.join(F.broadcast(asked) if 8 * asked.count() * books.shape[2] <= FEW_BYTES else asked, "query_id").join(index.select("_row", "vec_id", "embedding"), "_row")
-
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("query", "embedding"))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(distances(a, b))], names=["query_id", "vec_id", "score"])
-
-    found = near.select("query_id", "query", "vec_id", "embedding").mapInArrow(tidied(run), "query_id long, vec_id long, score double")
+    found = nearest(index, materialise(asked), books, k, rerank)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
