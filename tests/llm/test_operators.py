@@ -598,6 +598,14 @@ def test_near_duplicates_weigh_by_their_own_frequency(spark):
     assert got == {i: i if i != 498 else 497 for i in range(500)}
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """25 copies of one text with three other words each, 0.8 alike or more by counts, are one class among 3,000 texts."""
+    texts = [" ".join(f"n{i}x{k}" if k in (4 * i + 4, 4 * i + 104, 4 * i + 204) else f"w{k}" for k in range(310)) for i in range(25)]
+    texts += [f"one{i} two{i} three{i} four{i} five{i} six{i}" for i in range(2975)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: i if i >= 25 else 0 for i in range(3000)}
+
+
 def test_near_duplicates_edges(spark, odd):
     rows = near_dedup.near_duplicates(odd.withColumn("class_id", F.lit(9))).toPandas()
     assert len(rows) == 10

@@ -1,7 +1,8 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles (operator 6).
 
 Texts are words lower-cased A-Z; shingles are runs of five words (all words of a shorter text), and a
-shingle weighs its count times its inverse document frequency. Two documents are near duplicates at
+shingle weighs its count times its inverse document frequency, which is that of 1% of the documents for all
+rarer ones: what a large group of copies shares isn't common for that. Two documents are near duplicates at
 a weighted Jaccard similarity of 0.8 or more, and the classes are the connected components.
 
 1. Document frequencies of all shingles over all documents: each chunk of texts sends its sorted shingle
@@ -42,8 +43,8 @@ from .common import append_columns, materialise, null_safe_text, release, sliced
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-#: Least part of all documents from which on a shingle has its own document frequency: none, all have.
-COMMON = 0
+#: Part of all documents from which on a shingle counts as common; rarer ones weigh alike, so that copies don't weigh less the more there are.
+COMMON = 0.01
 #: Bytes of text for each shard of the shingle counts.
 SHARD_BYTES = 16 << 20
 CHUNK = 1 << 20
@@ -129,13 +130,14 @@ def shingles(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
 
 
 class Weights:
-    """Counts times inverse document frequencies, of which the largest (of a shingle in one document) is 1."""
+    """Counts times inverse document frequencies, of which the largest (of a shingle in COMMON of the documents, or in two, at most) is 1."""
 
     def __init__(self, n_docs: int):
-        self.n_docs = n_docs
+        self.n_docs, self.least = n_docs, max(2, int(np.ceil(COMMON * n_docs)))
 
     def __call__(self, counts: np.ndarray, df: np.ndarray) -> np.ndarray:
-        return counts * (1 + np.log(self.n_docs / np.minimum(df, self.n_docs))) / (1 + np.log(self.n_docs))
+        idf = lambda x: 1 + np.log(self.n_docs / np.minimum(np.maximum(x, self.least), max(self.n_docs, self.least)))
+        return counts * idf(df) / idf(self.least)
 
     def of(self, batch, text: str = "text", df: str = "df") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """shingles() of texts without counts and keys, and with the weights; df: the packed document frequencies of each text's shingles."""
