@@ -147,3 +147,26 @@ def test_the_long_tail_queries_have_a_long_tail(spark, sf_dir):
     assert QUERIES["tail_items"](spark, sf_dir).count() > 100
     assert QUERIES["tail_data_profile"](spark, sf_dir).first()["pct_tail"] > 5
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_neighbours_from_met_histories(spark, text):
+    """Groups of users with items of their own: a block meets the histories of its groups alone, and lists are those of the blocked product."""
+    rng = np.random.default_rng(9)
+    pairs = [(int(u), int(100 * (u // 20) + i)) for u in range(400) for i in rng.choice(60, 6, replace=False)] + [(400, 5000), (401, 5001), (401, 5002)]
+    train = train_of(spark, pairs)
+    if text:
+        train = train.select(F.format_string("u%05d", "user_id").alias("user_id"), F.format_string("i%05d", "item_id").alias("item_id"))
+    near = B.met_histories(train)
+    assert near.where("own").count() == 402 and near.count() < 3 * 402
+    got = listed(R.ranked(B.met_products(train, near, 10), 10))
+    assert got == listed(R.ranked(B.product_blocks(train, 10), 10)) and len(got) == 4020
+
+
+def test_many_met_histories_take_the_blocked_product(spark, monkeypatch):
+    train = train_of(spark, [(u, i) for u in range(40) for i in range(u % 7, 12)])
+    assert B.met_histories(train) is not None
+    monkeypatch.setattr(B, "BLOCK_PAIRS", 100)
+    assert B.met_histories(train) is None
+    monkeypatch.setattr(B, "CO_USERS", 1)
+    assert B.met_histories(train) is None and len(listed(R.item_neighbours(train))) > 0
