@@ -170,3 +170,13 @@ def test_many_met_histories_take_the_blocked_product(spark, monkeypatch):
     assert B.met_histories(train) is None
     monkeypatch.setattr(B, "CO_USERS", 1)
     assert B.met_histories(train) is None and len(listed(R.item_neighbours(train))) > 0
+
+
+@pytest.mark.parametrize("cell", [4, 1000])
+def test_items_of_one_vector_are_compared_once(spark, cell):
+    """300 items of 10 vectors: lists are the plain ones, whatever users have seen of a vector's items."""
+    x = np.random.default_rng(10).normal(size=(10, 4))
+    vectors = spark.createDataFrame([(i, x[i % 10].tolist()) for i in range(300)], "item_id long, v array<double>")
+    asked = spark.createDataFrame([(u, (x[u % 10] + 0.1).tolist()) for u in range(12)], "user_id long, v array<double>")
+    train = train_of(spark, [(u, i) for u in range(12) for i in range(u % 10, 300, 10)[: 3 * u]] + [(5, i) for i in range(0, 300, 7)])
+    assert listed(R.nearest_items(asked, train, vectors, 10, cell)) == listed(R.nearest_items_plain(asked, train, vectors, 10))
