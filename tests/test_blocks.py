@@ -180,3 +180,11 @@ def test_items_of_one_vector_are_compared_once(spark, cell):
     asked = spark.createDataFrame([(u, (x[u % 10] + 0.1).tolist()) for u in range(12)], "user_id long, v array<double>")
     train = train_of(spark, [(u, i) for u in range(12) for i in range(u % 10, 300, 10)[: 3 * u]] + [(5, i) for i in range(0, 300, 7)])
     assert listed(R.nearest_items(asked, train, vectors, 10, cell)) == listed(R.nearest_items_plain(asked, train, vectors, 10))
+
+
+def test_neighbours_of_many_items_with_few_users(spark):
+    """More items in a block than a user has sums: the same lists."""
+    rng = np.random.default_rng(11)
+    train = train_of(spark, sorted({(int(u), int(i)) for u in range(300) for i in rng.choice(5000, 5)}))
+    got = listed(R.ranked(B.met_products(train, B.met_histories(train), 10), 10))
+    assert got == listed(R.ranked(B.product_blocks(train, 10), 10)) and len(got) == 3000
