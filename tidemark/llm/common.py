@@ -58,14 +58,19 @@ def tidied(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint in shared_folder()."""
     shared_folder(df.sparkSession)

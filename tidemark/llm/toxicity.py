@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, append_columns, null_safe_text
+from .common import Recent, append_columns, give_back, null_safe_text
 
 #: Most training rows for each combination of labels.
 SAMPLE = 3000
@@ -83,13 +83,23 @@ class Linear:
 
 
 class Rows:
-    """Binary features of rows: features of row i are cols[at[i]:at[i + 1]], numbers into names."""
+    """Binary features of rows: features of row i are cols[at[i]:at[i + 1]], numbers into names. least: features in fewer rows are left out."""
 
-    def __init__(self, found: list[np.ndarray]):
+    def __init__(self, found: list[np.ndarray], least: int = 1):
         self.n = len(found)
         flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        self.names, self.cols = np.unique(flat, return_inverse=True)
-        self.rows = np.repeat(np.arange(self.n), [len(f) for f in found])
+        flat.sort()  # a row holds a feature once: one in `least` rows or more is found again least - 1 places further
+        begins = flat[: max(0, len(flat) - least + 1)]
+        self.names = np.unique(begins[begins == flat[least - 1 :]])
+        del flat, begins
+        kept = []
+        for f in found:
+            at = np.searchsorted(self.names, f).astype(np.int32)
+            inside = at < len(self.names)
+            inside[inside] = self.names[at[inside]] == f[inside]
+            kept.append(at[inside])
+        self.cols = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(k) for k in kept])
 
 
 def fit_linear(x: Rows, links: np.ndarray, y: np.ndarray, use: np.ndarray, stands: np.ndarray) -> Linear:
@@ -182,15 +192,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         return work
 
     rows = docs.select("doc_id", null_safe_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows a combination
-    rows = append_columns(rows, make, "_f binary", drop=("text",)).groupBy("doc_id", "_h", *ys).agg(F.min("_f").alias("_f")).toPandas()
-    rows = rows.sort_values(["_h", "_f"]).reset_index(drop=True)
+    rows = append_columns(rows, make, "_f binary", drop=("text",)).groupBy("doc_id", "_h", *ys).agg(F.min("_f").alias("_f")).select("_h", "_f", *ys).toArrow()
+    rows = rows.sort_by([("_h", "ascending"), ("_f", "ascending")]) if len(rows) else rows
     # a row stands for as many as its combination of labels has in all
     total = {tuple(r[y] for y in ys): r["n"] for r in labels.groupBy(*ys).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a combination
-    drawn = Counter(rows[ys].itertuples(index=False, name=None))
-    stands = np.array([total[c] / drawn[c] for c in rows[ys].itertuples(index=False, name=None)]) if len(rows) else np.zeros(0)
-    x = Rows([np.frombuffer(f, np.uint32) for f in rows["_f"]])
-    folds = np.array([zlib.crc32(f) % FOLDS for f in rows["_f"]], int)  # copies of a text share a fold
-    return fit_chain(x, rows[ys].to_numpy(dtype=int).reshape(len(rows), len(ys)), folds, stands / max(stands.mean(), 1e-300) if len(rows) else stands)
+    own = np.array([rows.column(y).to_numpy() for y in ys], int).T.reshape(len(rows), len(ys))
+    drawn = Counter(map(tuple, own.tolist()))
+    stands = np.array([total[c] / drawn[c] for c in map(tuple, own.tolist())])
+    found = [np.frombuffer(f.as_buffer(), np.uint32) for f in rows.column("_f")]
+    folds = np.array([zlib.crc32(f) % FOLDS for f in found], int)  # copies of a text share a fold
+    x = Rows(found, LEAST_ROWS)  # no model of any fold takes a feature in fewer rows
+    del rows, found
+    chain = fit_chain(x, own, folds, stands / max(stands.mean(), 1e-300) if len(stands) else stands)
+    del x
+    give_back()
+    return chain
 
 
 def predict(docs: DataFrame, chain: list[Linear], categories: list[str], threshold: float = THRESHOLD) -> DataFrame:
