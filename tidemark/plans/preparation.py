@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import interactions as I
 from ..operators.ordinals import seeded_sample
 from ..sources import intake, tables
+from ..sources.shared import keep
 
 RATINGS = tables.RATINGS
 REVIEWS = tables.REVIEWS
@@ -58,7 +59,7 @@ def prepare(spark: SparkSession, raw: str, store: str, low: int = 20, high: int
     chosen = I.filter_users(pairs.select("user_id", "item_id", T.time_order(F.col("timestamp")).alias("ts")), low, high)
     if users is not None:
         chosen = chosen.join(seeded_sample(chosen, "user_id", users, seed).select("user_id"), "user_id", "left_semi")
-    split = I.chrono_split(chosen, fraction)
+    split = keep(I.chrono_split(chosen, fraction))  # three uses
     texts = first_rows(reviews.join(split.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"), ["user_id", "item_id"]).select("user_id", "item_id", "text")
     wanted = split.select("item_id").distinct()
     known = first_rows(metadata.join(wanted, "item_id", "left_semi"), ["item_id"])

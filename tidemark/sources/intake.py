@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StringType, StructType
 
+from .shared import release
 from .tables import LISTENS
 
 #: Partitions that the lines of a file which can't be split are dealt to before they are parsed.
@@ -49,6 +50,7 @@ def take(spark: SparkSession, path: str, table: str, kind: str, schema: str, pat
         parsed(numbered, kind, schema).withColumn("ok", F.col("row").isNotNull()).write.mode("overwrite").partitionBy("ok").parquet(f"{table}/rows/batch={number}")
 
     lines.writeStream.foreachBatch(keep).option("checkpointLocation", f"{table}/done").trigger(availableNow=True).start().awaitTermination()
+    release(spark)
     return _kept(spark, table, schema).where("ok").select("batch", "file", "line", "row.*")
 
 
