@@ -188,3 +188,15 @@ def test_neighbours_of_many_items_with_few_users(spark):
     train = train_of(spark, sorted({(int(u), int(i)) for u in range(300) for i in rng.choice(5000, 5)}))
     got = listed(R.ranked(B.met_products(train, B.met_histories(train), 10), 10))
     assert got == listed(R.ranked(B.product_blocks(train, 10), 10)) and len(got) == 3000
+
+
+def test_met_histories_shuffle_pairs_once(spark, monkeypatch):
+    """Pairs become histories in one shuffle; after it no shuffle has a row for each user and item. Repeated pairs count once."""
+    kept, keep = [], B.keep
+    monkeypatch.setattr(B, "keep", lambda df: (kept.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    train = train_of(spark, [(u, 100 * (u // 20) + (7 * u + 3 * k) % 60) for u in range(200) for k in range(6)])
+    near = B.met_histories(train.unionByName(train))
+    shuffles = [x for plan in kept for x in plan.splitlines() if "Exchange" in x]
+    assert sum("rangepartitioning" in x for x in shuffles) == 1 and not any("hashpartitioning(user_id" in x or "hashpartitioning(user_id#" in x for x in shuffles)
+    got = listed(R.ranked(B.met_products(train, near, 10), 10))
+    assert got == listed(R.ranked(B.product_blocks(train, 10), 10)) and len(got) == 2000
